@@ -165,7 +165,7 @@ def unwrap_jsonp(col: Column) -> Column:
         F.concat(F.lit('["'), as_json, F.lit('"]')), "array<string>",
         {"allowUnquotedControlChars": "true"},
     )
-    called = F.regexp_extract(col, r"(?s)\((.*)\)", 1)
+    called = F.regexp_extract(col, r"(?s)\(\s*([{\[].*[}\]])\s*\)", 1)
     return F.when(quoted != "", F.get(decoded, F.lit(0))).otherwise(called)
 
 
