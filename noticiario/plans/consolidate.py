@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from noticiario.functions import text
 from noticiario.operators import reports
@@ -35,9 +36,19 @@ def clean(
     return drop_empty_text(dedup_keep_first(corpus, order))
 
 
-def consolidate(spark: SparkSession, root: str, content_first: bool = False) -> DataFrame:
-    """All stored departments as one clean corpus; unreadable files are skipped."""
-    return clean(read_corpus(spark, root, tolerate_bad=True), content_first=content_first)
+def consolidate(
+    spark: SparkSession,
+    root: str,
+    content_first: bool = False,
+    row_type: StructType | None = None,
+) -> DataFrame:
+    """All stored departments as one clean corpus; unreadable files are skipped.
+
+    Without ``row_type`` the columns of all files are merged and checked; a store
+    of very many files is better read with a known row type.
+    """
+    stored = read_corpus(spark, root, tolerate_bad=True, row_type=row_type)
+    return clean(stored, content_first=content_first)
 
 
 def summaries(stored: DataFrame, cleaned: DataFrame) -> dict[str, DataFrame]:

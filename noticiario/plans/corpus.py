@@ -22,7 +22,7 @@ from noticiario.operators.dedup import joined_terms, merge_by_url, recent_first
 from noticiario.operators.filters import in_date_range, is_relevant
 from noticiario.operators.joins import zero_result_sources
 from noticiario.operators.sets import sort_recent
-from noticiario.session import broadcast_if_small, shared_table
+from noticiario.session import broadcast_if_small, is_small, pin, shared_table
 from noticiario.sources.dimensions import MIN_ARTICLES
 from noticiario.sources.registry import BACKUP, LOCAL, STAND_IN, search_terms
 from noticiario.sources.writers import existing_corpus, resume_plan, write_corpus
@@ -63,7 +63,7 @@ def _with_stand_in(matched: DataFrame, plan: DataFrame, per: Sequence[str]) -> D
     )
     # At most one row per search of the plan, so it is as small as the plan is.
     needed = missing.select(*per).distinct().withColumn("_needed", F.lit(True))
-    if broadcast_is_safe(plan):
+    if is_small(plan):
         needed = F.broadcast(needed)
     return (
         matched.join(needed, list(per), "left")
@@ -72,11 +72,6 @@ def _with_stand_in(matched: DataFrame, plan: DataFrame, per: Sequence[str]) -> D
     )
 
 
-def broadcast_is_safe(plan: DataFrame) -> bool:
-    """Whether results with at most one row per plan row may be broadcast."""
-    return broadcast_if_small(plan) is not plan
-
-
 def first_found(tie: Sequence[str]) -> list[Column]:
     """Order in which the copies of a URL are found: topic, latest date, source."""
     return [F.col("tema_pos"), *recent_first(), F.col("fuente_pos"), *map(F.col, tie)]
@@ -210,7 +205,7 @@ def department_corpus(
         .select("departamento", F.lit(True).alias("_enough"))
     )
     # At most one row per department of the plan.
-    if broadcast_is_safe(plan):
+    if is_small(plan):
         enough = F.broadcast(enough)
     return (
         merged.join(enough, "departamento", "left")
@@ -238,10 +233,8 @@ def all_departments_corpus(
     are scanned once. The result is read back from ``root``.
     """
     pending = resume_plan(departments, root, force).select("departamento")
-    todo = plan.join(broadcast_if_small(pending), "departamento", "left_semi")
-    # The plan is small; a fixed copy keeps its size known and its content stable
-    # while the partitions it was derived from are being written.
-    todo = settle(todo)
+    # Pinned, as the stored partitions it depends on change while they are written.
+    todo = pin(plan.join(pending, "departamento", "left_semi"))
     corpus = department_corpus(
         candidates, todo, lo, hi, min_articles, use_backup, tie, settle
     )

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest optimizer size estimate for which a side may be broadcast.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
+# Most rows of a configuration table that are fixed in the driver.
+PIN_LIMIT_ROWS = 100_000
+
 # SQL settings every job relies on. All can be changed on a live session.
 SETTINGS = {
     # Article dates are compared as UTC instants.
@@ -45,13 +50,32 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+    return estimated_bytes(df) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast only when its estimated size is within ``limit``.
 
     Beyond the limit the frame is returned unhinted, so the join becomes a
     shuffle join that adaptive execution may still split where keys are skewed.
     """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def local_table(spark: SparkSession, rows: Sequence[dict], schema: pa.Schema) -> DataFrame:
+    """Configuration rows as a local relation, whose size the optimizer knows exactly."""
+    return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=schema))
+
+
+def pin(df: DataFrame, max_rows: int = PIN_LIMIT_ROWS) -> DataFrame:
+    """A configuration table with its content and exact size fixed.
+
+    Estimates of joined dimensions are far too high to allow a broadcast. At most
+    ``max_rows + 1`` rows are fetched; a larger table is returned as it was.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return df if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,8 +6,11 @@ territories, sources or topics only need other rows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from noticiario.session import local_table
+
 # ── Fixed values ─────────────────────────────────────────────────────────────
 
 TOPICS = ["conflicto", "comunidades", "derechos", "violencia", "corrupcion"]
@@ -112,39 +115,42 @@ GROUPS = [
 
 # ── As tables ────────────────────────────────────────────────────────────────
 
+_S, _I = pa.string(), pa.int32()
+
 
 def sources_table(spark: SparkSession) -> DataFrame:
-    rows = [row + (row[0] in NATIONAL,) for row in SOURCES]
-    return spark.createDataFrame(
-        rows,
-        "id string, nombre string, region string, tipo string, base string, "
-        "is_national boolean",
-    )
+    names = ["id", "nombre", "region", "tipo", "base"]
+    rows = [dict(zip(names, row), is_national=row[0] in NATIONAL) for row in SOURCES]
+    fields = [(name, _S) for name in names] + [("is_national", pa.bool_())]
+    return local_table(spark, rows, pa.schema(fields))
 
 
-def routing_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(ROUTING.items()), "departamento string, periodicos array<string>"
-    )
+def routing_table(spark: SparkSession, routing: dict[str, list[str]] = ROUTING) -> DataFrame:
+    rows = [{"departamento": name, "periodicos": ids} for name, ids in routing.items()]
+    return local_table(spark, rows, pa.schema([("departamento", _S), ("periodicos", pa.list_(_S))]))
 
 
 def thresholds_table(spark: SparkSession) -> DataFrame:
-    rows = [(name, 3 if name in THREE_MENTIONS else 2) for name in ROUTING]
-    return spark.createDataFrame(rows, "departamento string, min_menciones int")
+    rows = [
+        {"departamento": name, "min_menciones": 3 if name in THREE_MENTIONS else 2}
+        for name in ROUTING
+    ]
+    return local_table(spark, rows, pa.schema([("departamento", _S), ("min_menciones", _I)]))
 
 
 def groups_table(spark: SparkSession) -> DataFrame:
     rows = [
-        (number, place, name)
+        {"grupo": number, "pos": place, "departamento": name}
         for number, names in enumerate(GROUPS, 1)
         for place, name in enumerate(names, 1)
     ]
-    return spark.createDataFrame(rows, "grupo int, pos int, departamento string")
+    return local_table(
+        spark, rows, pa.schema([("grupo", _I), ("pos", _I), ("departamento", _S)])
+    )
 
 
 def departments_table(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """Departments in the order they are to be reported."""
     names = [n for group in GROUPS for n in group] if names is None else names
-    return spark.createDataFrame(
-        list(enumerate(names, 1)), "pos int, departamento string"
-    )
+    rows = [{"pos": place, "departamento": name} for place, name in enumerate(names, 1)]
+    return local_table(spark, rows, pa.schema([("pos", _I), ("departamento", _S)]))

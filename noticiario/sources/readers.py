@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from noticiario import schema
@@ -19,18 +20,19 @@ def read_corpus(
     root: str,
     tolerate_bad: bool = False,
     merge_schema: bool = False,
+    row_type: T.StructType | None = None,
 ) -> DataFrame:
     """All department partitions under ``root``, with the file of each row.
 
-    ``tolerate_bad`` skips unreadable files; compare with :func:`corpus_files` to
-    report them. The schema is read from one file unless ``merge_schema``.
+    ``tolerate_bad`` skips unreadable files; :func:`bad_files` reports them. The
+    columns are those of ``row_type``, which spares opening files, else those of one
+    file, or with ``merge_schema`` or ``tolerate_bad`` of all readable files.
     """
-    return (
-        spark.read.option("mergeSchema", merge_schema)
-        .option("ignoreCorruptFiles", tolerate_bad)
-        .parquet(root)
-        .withColumn("archivo", F.col("_metadata.file_path"))
-    )
+    reader = spark.read.option("mergeSchema", merge_schema or tolerate_bad)
+    if row_type is not None:
+        reader = reader.schema(row_type)
+    stored = reader.option("ignoreCorruptFiles", tolerate_bad).parquet(root)
+    return stored.withColumn("archivo", F.col("_metadata.file_path"))
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = tuple(schema.REQUIRED)) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.functions.text import DEFAULT_MIN_MENTIONS, territory
-from noticiario.session import broadcast_if_small
+from noticiario.session import broadcast_if_small, pin
 from noticiario.sources import dimensions
 
 LOCAL, STAND_IN, BACKUP = 0, 1, 2
@@ -126,7 +126,7 @@ def search_plan(
     fallback: str | None = dimensions.FALLBACK,
     min_mentions: int | None = None,
 ) -> DataFrame:
-    """All searches of a run as one small table.
+    """All searches of a run as one small table, computed once.
 
     ``min_mentions`` overrides the department thresholds. National sources always
     need one mention. Unknown source ids are left out.
@@ -174,4 +174,4 @@ def search_plan(
     searches = searches.withColumn(
         "umbral", F.when(F.col("is_national"), 1).otherwise(F.col("min_menciones"))
     )
-    return search_terms(searches, topics, "departamento").select(*PLAN_COLUMNS)
+    return pin(search_terms(searches, topics, "departamento").select(*PLAN_COLUMNS))

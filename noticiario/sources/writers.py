@@ -18,7 +18,7 @@ def write_corpus(df: DataFrame, root: str) -> None:
     """
     (
         df.select(*[field.name for field in schema.CORPUS.fields])
-        .hint("rebalance", "departamento")
+        .hint("rebalance", F.col("departamento"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("departamento")
@@ -34,7 +34,8 @@ def stored_departments(df_inventory: DataFrame, root: str, readable: bool = True
         spark = df_inventory.sparkSession
         # Reads no column data, only file footers and the partition names.
         found = (
-            read_corpus(spark, root, tolerate_bad=True).select("departamento")
+            read_corpus(spark, root, tolerate_bad=True, row_type=schema.CORPUS)
+            .select("departamento")
             if not df_inventory.isEmpty()
             else df_inventory.select("departamento")
         )
@@ -55,7 +56,9 @@ def resume_plan(departments: DataFrame, root: str, force: bool = False) -> DataF
 
 def existing_corpus(departments: DataFrame, root: str) -> DataFrame:
     """Stored rows of the departments in the plan."""
-    corpus = read_corpus(departments.sparkSession, root, tolerate_bad=True)
+    corpus = read_corpus(
+        departments.sparkSession, root, tolerate_bad=True, row_type=schema.CORPUS
+    )
     names = broadcast_if_small(departments.select("departamento"))
     return corpus.join(names, "departamento", "left_semi")
 
