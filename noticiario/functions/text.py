@@ -18,10 +18,19 @@ def territory(term: Column) -> Column:
 
 
 def count_mentions(text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of ``needle``; an empty needle fits length + 1 times."""
-    missing = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    exact = F.floor(missing / F.length(needle))
-    return F.when(needle == "", F.length(text) + 1).otherwise(exact).cast("long")
+    """Non-overlapping occurrences of ``needle``; an empty needle fits length + 1 times.
+
+    The needle is searched literally, in one pass over the text.
+    """
+    end = "\\E"
+    literal = F.concat(
+        F.lit("\\Q"), F.replace(needle, F.lit(end), F.lit(end + "\\\\E\\Q")), F.lit(end)
+    )
+    return (
+        F.when(needle == "", F.length(text) + 1)
+        .otherwise(F.regexp_count(text, literal))
+        .cast("long")
+    )
 
 
 def mention_score(text: Column, title: Column, place: Column) -> Column:

@@ -167,7 +167,8 @@ def department_corpus(
     URL keeps its first local copy with the local terms, or else its first backup
     copy with the backup terms. Backup-only URLs are then dropped for departments
     that have ``min_articles`` local ones. ``settle`` is applied to the relevant
-    rows and to the grouped ones, the two results that are read twice.
+    rows; beside the grouping they are read for the searches without results and for
+    the article counts, both without the texts.
     """
     if not use_backup:
         plan = plan.filter(F.col("origen") != BACKUP)
@@ -177,40 +178,37 @@ def department_corpus(
     backup = F.col("origen") == BACKUP
     payload = [name for name in schema.CANONICAL if name != "url"]
     grouped = found.groupBy("departamento", "url").agg(
-        F.min_by(
-            F.struct(*payload, backup.alias("respaldo")),
-            F.struct(backup, *first_found(tie)),
-        ).alias("_first"),
+        F.min(backup).alias("_only_backup"),
+        F.min_by(F.struct(*payload), F.struct(backup, *first_found(tie))).alias("_first"),
         joined_terms(F.col("tema"), ~backup).alias("_local_terms"),
         joined_terms(F.col("tema"), backup).alias("_backup_terms"),
     )
-    respaldo = F.col("_first.respaldo")
-    merged = settle(
-        grouped.select(
-            *[F.col(f"_first.{name}").alias(name) for name in payload], "url",
-            F.when(
-                F.col("url").isNotNull(),
-                F.when(respaldo, F.col("_backup_terms")).otherwise(F.col("_local_terms")),
-            ).alias("terminos_encontrado"),
-            "departamento", respaldo.alias("respaldo"),
-        )
-    )
+    if use_backup:
+        grouped = _drop_unneeded_backup(grouped, min_articles, is_small(plan))
+    terms = F.when(F.col("_only_backup"), F.col("_backup_terms")).otherwise(F.col("_local_terms"))
     columns = [field.name for field in schema.CORPUS.fields]
-    if not use_backup:
-        return merged.select(*columns)
+    return grouped.select(
+        *[F.col(f"_first.{name}").alias(name) for name in payload], "url",
+        F.when(F.col("url").isNotNull(), terms).alias("terminos_encontrado"),
+        "departamento",
+    ).select(*columns)
+
+
+def _drop_unneeded_backup(grouped: DataFrame, min_articles: int, small: bool) -> DataFrame:
+    """Without the backup-only URLs of departments with enough local articles."""
     enough = (
-        merged.groupBy("departamento")
-        .agg(F.count_if(~F.col("respaldo")).alias("_local"))
+        grouped.groupBy("departamento")
+        .agg(F.count_if(~F.col("_only_backup")).alias("_local"))
         .filter(F.col("_local") >= min_articles)
         .select("departamento", F.lit(True).alias("_enough"))
     )
     # At most one row per department of the plan.
-    if is_small(plan):
+    if small:
         enough = F.broadcast(enough)
     return (
-        merged.join(enough, "departamento", "left")
-        .filter(~F.col("respaldo") | F.col("_enough").isNull())
-        .select(*columns)
+        grouped.join(enough, "departamento", "left")
+        .filter(~F.col("_only_backup") | F.col("_enough").isNull())
+        .drop("_enough")
     )
 
 
