@@ -33,6 +33,16 @@ MONTHS_EN = {
 }
 
 
+# Separates the parts of a date while they travel as one string.
+_SEP = "\u0001"
+
+# White space as text stripping understands it.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def _month(name: Column, months: dict[str, int]) -> Column:
     table = F.create_map(*[F.lit(v) for v in chain.from_iterable(months.items())])
     return F.try_element_at(table, name)
@@ -42,56 +52,62 @@ def _number(digits: Column) -> Column:
     return digits.try_cast("int")
 
 
-def _timestamp(
-    year: Column,
-    month: Column,
-    day: Column,
-    hour: Column | None = None,
-    minute: Column | None = None,
-    second: Column | None = None,
-) -> Column:
-    zero = F.lit(0)
-    made = F.try_make_timestamp(
-        year, month, day,
-        zero if hour is None else hour,
-        zero if minute is None else minute,
-        (zero if second is None else second).cast("decimal(8,6)"),
-    )
-    return F.when(year.between(1, 9999), made)
+def _integer(word: Column) -> Column:
+    """Whole number of a word. Tested first, as a failing cast is slow."""
+    return F.when(word.rlike(r"^[+-]?\d{1,9}$"), word.try_cast("int"))
+
+
+def _strip(col: Column) -> Column:
+    return F.btrim(col, F.lit(_BLANKS))
 
 
 def _clean(col: Column) -> Column:
     """Lower case without surrounding white space of any kind."""
-    return F.regexp_replace(F.lower(col), r"(?U)^\s+|\s+$", "")
+    return _strip(F.lower(col))
 
 
-def _strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+def _parts(text: Column, pattern: str, *groups: int) -> list[Column]:
+    """The given groups of the first match, null where there is none.
+
+    The match is found once: its groups are joined and split again, so all parts
+    share one subexpression that is evaluated once per row. An unmatched text is
+    left whole in front of the first separator, where no part is taken.
+    """
+    joined = "".join(f"{_SEP}${group}" for group in groups)
+    found = F.split(F.regexp_replace(text, f"(?s)^.*?{pattern}.*$", joined), _SEP)
+    return [F.get(found, F.lit(place)) for place in range(1, len(groups) + 1)]
+
+
+def _day(year: Column, month: Column, day: Column) -> Column:
+    zero = F.lit(0)
+    return F.try_make_timestamp(year, month, day, zero, zero, zero.cast("decimal(8,6)"))
 
 
 def _named_date(
     text: Column, pattern: str, months: dict[str, int], year: int, month: int, day: int
 ) -> Column:
     """Date from the first match of ``pattern``; the numbers are group positions."""
-    part = lambda group: F.regexp_extract(text, pattern, group)
-    return _timestamp(_number(part(year)), _month(part(month), months), _number(part(day)))
+    y, m, d = _parts(text, pattern, year, month, day)
+    return _day(_number(y), _month(m, months), _number(d))
 
 
 # ── Spanish text ─────────────────────────────────────────────────────────────
 
-_MONTH_DAY_YEAR = r"(?U)(\w+)\s+(\d{1,2}),?\s+(\d{4})"
-_DAY_DE_MONTH = r"(?U)(\d{1,2})\s+de\s+(\w+)[,\s]+(\d{4})"
-_DAY_ABBR_YEAR = r"(?U)(\d{1,2})\s+(\w{3})\s+(\d{4})"
+# The year 0000 is no date.
+_YEAR = r"(?!0000)(\d{4})"
+_MONTH_DAY_YEAR = rf"(?U)(\w+)\s+(\d{{1,2}}),?\s+{_YEAR}"
+_DAY_DE_MONTH = rf"(?U)(\d{{1,2}})\s+de\s+(\w+)[,\s]+{_YEAR}"
+_DAY_ABBR_YEAR = rf"(?U)(\d{{1,2}})\s+(\w{{3}})\s+{_YEAR}"
 
 
 def es_month_day(col: Column) -> Column:
     """``marzo 3, 2026`` anywhere in the text; the comma is optional."""
-    return _named_date(_clean(col), _MONTH_DAY_YEAR, MONTHS_ES, year=3, month=1, day=2)
+    return _named_date(F.lower(col), _MONTH_DAY_YEAR, MONTHS_ES, year=3, month=1, day=2)
 
 
 def es_day_de_month(col: Column) -> Column:
     """``martes 24 de febrero, 2026`` anywhere in the text."""
-    return _named_date(_clean(col), _DAY_DE_MONTH, MONTHS_ES, year=3, month=2, day=1)
+    return _named_date(F.lower(col), _DAY_DE_MONTH, MONTHS_ES, year=3, month=2, day=1)
 
 
 def es_text(col: Column) -> Column:
@@ -99,8 +115,8 @@ def es_text(col: Column) -> Column:
 
     A first form that names a known month but an impossible day ends the search.
     """
-    text = _clean(col)
-    known = _month(F.regexp_extract(text, _DAY_DE_MONTH, 2), MONTHS_ES).isNotNull()
+    named = F.regexp_extract(F.lower(col), _DAY_DE_MONTH, 2)
+    known = _month(named, MONTHS_ES).isNotNull()
     return F.when(known, es_day_de_month(col)).otherwise(es_month_day(col))
 
 
@@ -115,16 +131,16 @@ def _positional_parts(col: Column, allow_de: bool) -> tuple[Column, Column, Colu
         text = F.replace(text, F.lit(" de "), F.lit(" "))
     parts = F.split(_strip(F.replace(text, F.lit(","), F.lit(""))), r"(?U)\s+")
     return (
-        _number(F.get(parts, F.lit(2))),
+        _integer(F.get(parts, F.lit(2))),
         _month(F.get(parts, F.lit(0)), MONTHS_ES),
-        _number(F.get(parts, F.lit(1))),
+        _integer(F.get(parts, F.lit(1))),
     )
 
 
 def es_positional(col: Column, allow_de: bool = False) -> Column:
     """``agosto 13, 2024`` read by position; ``allow_de`` accepts ``agosto 13 de 2024``."""
     year, month, day = _positional_parts(col, allow_de)
-    return _timestamp(year, month, day)
+    return F.when(year.between(1, 9999), _day(year, month, day))
 
 
 def es_positional_text(col: Column) -> Column:
@@ -144,7 +160,7 @@ def es_relative(col: Column, now: Column | str) -> Column:
     """``4 meses ago`` counted back from ``now``: year 365 days, month 30 days."""
     now = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
     parts = F.split(_clean(col), r"(?U)\s+")
-    amount = _number(F.get(parts, F.lit(0)))
+    amount = _integer(F.get(parts, F.lit(0)))
     unit = F.get(parts, F.lit(1))
     minutes_per_unit = (
         F.when(unit.contains("año") | unit.contains("ano"), 365 * 1440)
@@ -162,40 +178,27 @@ def es_relative(col: Column, now: Column | str) -> Column:
 
 # ── ISO ──────────────────────────────────────────────────────────────────────
 
-_ISO_DAY = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-_ISO_TIME = (
-    r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2}(?:[.,]\d{1,6})?)\d*)?"
-    r"(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)?$"
-)
-_ISO_SHORT_OFFSET = (
-    r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})(?:Z|[+-]\d{4})$"
-)
-_ISO_NO_OFFSET = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})$"
-
-
-def _iso_day(text: Column) -> Column:
-    part = lambda group: _number(F.regexp_extract(text, _ISO_DAY, group))
-    return _timestamp(part(1), part(2), part(3))
+_DATE = r"\d{4}-\d{2}-\d{2}"
+_SHORT_DATE = r"\d{4}-\d{1,2}-\d{1,2}"
+_CLOCK = r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?"
+_SHORT_CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
+_OFFSET = r"(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)"
 
 
-def _iso_time(text: Column, pattern: str) -> Column:
-    part = lambda group: F.regexp_extract(text, pattern, group)
-    seconds = F.replace(part(6), F.lit(","), F.lit("."))
-    return _timestamp(
-        _number(part(1)), _number(part(2)), _number(part(3)),
-        _number(part(4)), _number(part(5)),
-        F.when(seconds == "", F.lit("0")).otherwise(seconds).try_cast("decimal(8,6)"),
-    )
+def _whole(text: Column, kept: str, tail: str = "") -> Column:
+    """Timestamp of the part ``kept`` if the text is exactly ``kept`` and ``tail``."""
+    local = F.regexp_extract(text, f"^(?!0000)({kept}){tail}$", 1)
+    return F.try_to_timestamp(F.replace(local, F.lit(","), F.lit(".")))
 
 
 def iso_date(col: Column) -> Column:
     """First ten characters as an ISO date."""
-    return _iso_day(F.substring(col, 1, 10))
+    return _whole(F.substring(col, 1, 10), _DATE)
 
 
 def iso_datetime(col: Column) -> Column:
     """ISO date or date-time; an offset is dropped and the wall clock kept."""
-    return F.coalesce(_iso_time(col, _ISO_TIME), _iso_day(col))
+    return _whole(col, f"{_DATE}(?:[T ]{_CLOCK})?", rf"\d*{_OFFSET}?")
 
 
 def iso_datetime_short_offset(col: Column) -> Column:
@@ -204,10 +207,10 @@ def iso_datetime_short_offset(col: Column) -> Column:
     """
     text = _strip(col)
     return F.coalesce(
-        _iso_time(F.substring(text, 1, 24), _ISO_SHORT_OFFSET),
-        _iso_time(F.substring(text, 1, 22), _ISO_NO_OFFSET),
-        _iso_day(F.substring(text, 1, 13)),
-        _iso_day(F.substring(text, 1, 10)),
+        _whole(F.substring(text, 1, 24), f"{_SHORT_DATE}T{_SHORT_CLOCK}", r"(?:Z|[+-]\d{4})"),
+        _whole(F.substring(text, 1, 22), f"{_SHORT_DATE}T{_SHORT_CLOCK}"),
+        _whole(F.substring(text, 1, 13), _SHORT_DATE),
+        _whole(F.substring(text, 1, 10), _SHORT_DATE),
     )
 
 
@@ -218,7 +221,8 @@ def to_utc_naive(col: Column) -> Column:
 
 # ── English and feed formats ─────────────────────────────────────────────────
 
-_EN_MONTH_DAY = r"(?U)^([\w&&[^\d_]]+)\s+(\d{1,2}),\s+(\d{4})$"
+# The whole text, hence a group that nothing may precede or follow.
+_EN_MONTH_DAY = rf"(?U)(?<![\s\S])([\w&&[^\d_]]+)\s+(\d{{1,2}}),\s+{_YEAR}(?![\s\S])"
 
 
 def en_abbr(col: Column) -> Column:
@@ -245,21 +249,26 @@ def es_as_en(col: Column) -> Column:
 
 
 _RFC2822 = (
-    r"^(?:[a-z]+,?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{2,4})\s+"
-    r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\s*[+-]\d{4}|\s+.*)?$"
+    r"(?<![\s\S])(?:[a-z]+,?\s+)?(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{2,4})\s+"
+    r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?(?:\s*[+-]\d{4}|\s+.*)?(?![\s\S])"
 )
 
 
 def rfc2822(col: Column) -> Column:
     """``Tue, 05 Mar 2024 10:00:00 +0000``; the offset is dropped."""
-    text = _clean(col)
-    part = lambda group: F.regexp_extract(text, _RFC2822, group)
-    year = _number(part(3))
-    full_year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    return _timestamp(
-        full_year, _month(part(2), MONTHS_EN_ABBR), _number(part(1)),
-        _number(part(4)), _number(part(5)),
-        F.coalesce(_number(part(6)), F.lit(0)),
+    year, month, day, hour, minute, second = _parts(
+        F.lower(_strip(col)), _RFC2822, 3, 2, 1, 4, 5, 6
+    )
+    # Two digits: 69 to 99 are of the last century.
+    full = (
+        F.when(F.length(year) > 2, year)
+        .when(year >= "69", F.concat(F.lit("19"), year))
+        .otherwise(F.concat(F.lit("20"), year))
+    )
+    seconds = F.coalesce(second.try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+    return F.try_make_timestamp(
+        _number(full), _month(month, MONTHS_EN_ABBR), _number(day),
+        _number(hour), _number(minute), seconds,
     )
 
 
@@ -268,16 +277,14 @@ def rfc2822(col: Column) -> Column:
 
 def slash_crumb(col: Column) -> Column:
     """``› 2023/07/09`` anywhere in the text."""
-    pattern = r"(?U)›\s*(\d{4})/(\d{2})/(\d{2})"
-    part = lambda group: _number(F.regexp_extract(col, pattern, group))
-    return _timestamp(part(1), part(2), part(3))
+    parts = _parts(col, rf"(?U)›\s*{_YEAR}/(\d{{2}})/(\d{{2}})", 1, 2, 3)
+    return _day(*map(_number, parts))
 
 
 def bullet_dmy(col: Column) -> Column:
     """``Judicial • 09/07/2023`` anywhere in the text, day first."""
-    pattern = r"(?U)•\s*(\d{2})/(\d{2})/(\d{4})"
-    part = lambda group: _number(F.regexp_extract(col, pattern, group))
-    return _timestamp(part(3), part(2), part(1))
+    parts = _parts(col, rf"(?U)•\s*(\d{{2}})/(\d{{2}})/{_YEAR}", 3, 2, 1)
+    return _day(*map(_number, parts))
 
 
 # ── Choice by name ───────────────────────────────────────────────────────────

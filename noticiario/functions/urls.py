@@ -53,6 +53,6 @@ def is_article(href: Column, min_segments: int, year_segment: int | None = None)
     parts = segments(href)
     ok = href.startswith("/") & (F.size(parts) >= min_segments)
     if year_segment is not None:
-        year = F.get(parts, F.lit(year_segment - 1)).try_cast("int")
-        ok = ok & F.coalesce(year.between(2000, 2030), F.lit(False))
+        year = F.get(parts, F.lit(year_segment - 1))
+        ok = ok & F.coalesce(year.rlike("^[+]?0*(20[0-2][0-9]|2030)$"), F.lit(False))
     return F.coalesce(ok, F.lit(False))

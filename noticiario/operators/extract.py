@@ -94,12 +94,17 @@ def blocks(html: Column, rule: ExtractRule) -> Column:
     return found
 
 
-def _block_date(rule: ExtractRule, now: Column | str | None) -> Column:
-    tries = [F.lit(None).cast("timestamp")]
-    for pattern, formats in rule.dates:
-        shown = F.regexp_replace(F.regexp_extract("_block", pattern, 1), r"<[^>]*>", " ")
-        tries.append(dates.parse_date(F.trim(shown), formats, now))
-    return F.coalesce(*tries)
+def _read_block(block: Column, rule: ExtractRule) -> Column:
+    """Address and date texts of one block."""
+    href = F.trim(F.regexp_extract(block, rule.link, 1))
+    shown = [
+        F.trim(F.regexp_replace(F.regexp_extract(block, pattern, 1), r"<[^>]*>", " "))
+        for pattern, _ in rule.dates
+    ]
+    return F.struct(
+        F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href"),
+        *[text.alias(f"shown{i}") for i, text in enumerate(shown)],
+    )
 
 
 def extract_links(
@@ -112,14 +117,16 @@ def extract_links(
     ``now`` is needed where dates are relative.
     """
     others = [name for name in pages.columns if name != "html"]
-    rows = pages.select(*others, F.posexplode(blocks(F.col("html"), rule)).alias("pos", "_block"))
-    href = F.replace(F.trim(F.regexp_extract("_block", rule.link, 1)), F.lit("&amp;"), F.lit("&"))
-    raw, link = F.col("_href"), F.col("link")
+    # Blocks are read inside the generator, so the tests below use plain columns
+    # and no block text is carried along.
+    read = F.transform(blocks(F.col("html"), rule), lambda block: _read_block(block, rule))
+    rows = pages.select(*others, F.posexplode(read).alias("pos", "_item"))
+    raw = F.col("_item.href")
     if rule.base:
         complete = urls.absolutise_rooted if rule.rooted else urls.absolutise
-        completed = complete(raw, rule.base)
+        link = complete(raw, rule.base)
     else:
-        completed = raw
+        link = raw
     tests = [raw != ""]
     if rule.drop_external:
         tests.append(~urls.is_external(raw, rule.base))
@@ -131,12 +138,18 @@ def extract_links(
         tests.append(urls.in_domain(link, rule.domain))
     if rule.excluded:
         tests.append(~urls.is_excluded(link, rule.excluded))
-    rows = rows.withColumn("_href", href).withColumn("link", completed)
+    if rule.date_required:
+        tests.append(F.col("_item.shown0") != "")
     for test in tests:
         rows = rows.filter(test)
-    if rule.date_required:
-        rows = rows.filter(F.col("_block").rlike(rule.dates[0][0]))
-    return rows.select(*others, "pos", "link", _block_date(rule, now).alias("fecha"))
+    fecha = [
+        dates.parse_date(F.col(f"_item.shown{i}"), formats, now)
+        for i, (_, formats) in enumerate(rule.dates)
+    ]
+    return rows.select(
+        *others, "pos", link.alias("link"),
+        F.coalesce(*fecha, F.lit(None).cast("timestamp")).alias("fecha"),
+    )
 
 
 # ── Article pages ────────────────────────────────────────────────────────────
@@ -155,21 +168,22 @@ ENTITIES = {
 
 def unescape(col: Column) -> Column:
     """Decode named and decimal character references."""
-    text = col
+    named = col
     for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
     found = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#(\d{1,5});"), F.lit(1)))
     numeric = F.aggregate(
         found,
-        text,
+        named,
         lambda done, digits: F.replace(
             done,
             F.concat(F.lit("&#"), digits, F.lit(";")),
             F.decode(F.unhex(F.lpad(F.hex(digits.cast("int")), 4, "0")), "UTF-16BE"),
         ),
     )
-    text = F.when(F.contains(col, F.lit("&#")), numeric).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = F.when(F.contains(col, F.lit("&#")), numeric).otherwise(named)
+    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(col, F.lit("&")), text).otherwise(col)
 
 
 _DROPPED = (
@@ -180,23 +194,30 @@ _BREAKS = r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article|blockquote)>"
 
 
 def page_title(html: Column) -> Column:
-    """Text of the title element."""
-    return F.trim(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    """Content of the title element, references kept."""
+    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
-def page_text(html: Column) -> Column:
-    """Visible text of the article element, or of the body, or of the page.
+def without_furniture(html: Column) -> Column:
+    """The page without comments, scripts, styles, navigation and the like."""
+    return F.regexp_replace(html, _DROPPED, " ")
+
+
+def element(html: Column, name: str) -> Column:
+    """Content from the first opening to the last closing tag, or the empty string."""
+    return F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*)</{name}>", 1)
 
-    Paragraph ends become line ends; blanks are squeezed and empty lines removed.
-    """
-    clean = F.regexp_replace(html, _DROPPED, " ")
-    article = F.regexp_extract(clean, r"(?is)<article\b[^>]*>(.*)</article>", 1)
-    body = F.regexp_extract(clean, r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    main = F.when(article != "", article).when(body != "", body).otherwise(clean)
-    lines = F.regexp_replace(F.regexp_replace(main, r"\s+", " "), _BREAKS, "\n")
-    bare = unescape(F.regexp_replace(lines, r"<[^>]*>", ""))
-    squeezed = F.regexp_replace(bare, r"[ \t\x0B\f\r ]+", " ")
-    return F.regexp_replace(F.regexp_replace(squeezed, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+
+def strip_markup(html: Column) -> Column:
+    """Markup as text, with line ends at paragraph ends and references kept."""
+    lines = F.regexp_replace(F.regexp_replace(html, r"\s+", " "), _BREAKS, "\n")
+    return F.regexp_replace(lines, r"<[^>]*>", "")
+
+
+def squeeze(text: Column) -> Column:
+    """Single blanks, no empty lines, nothing around the text."""
+    blanks = F.regexp_replace(text, r"[ \t\x0B\f\r\u00A0]+", " ")
+    return F.btrim(F.regexp_replace(blanks, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def page_date(html: Column) -> Column:
@@ -211,8 +232,24 @@ def page_date(html: Column) -> Column:
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
-    """Article pages to ``titulo, fecha, texto``; other columns are kept."""
-    html = F.col("html")
-    return pages.withColumns(
-        {"titulo": page_title(html), "fecha": page_date(html), "texto": page_text(html)}
-    ).drop("html")
+    """Article pages to ``titulo, fecha, texto``; other columns are kept.
+
+    The text is that of the article element, else of the body, else of the page.
+    The steps are separate columns because each result is used more than once.
+    """
+    html, clean, article, body = map(F.col, ["html", "_clean", "_article", "_body"])
+    main = F.when(article != "", article).when(body != "", body).otherwise(clean)
+    return (
+        pages.withColumn("_clean", without_furniture(html))
+        .withColumn("_article", element(clean, "article"))
+        .withColumn("_body", F.when(article == "", element(clean, "body")))
+        .withColumns({"_title": page_title(html), "_bare": strip_markup(main)})
+        .withColumns(
+            {
+                "titulo": F.trim(unescape(F.col("_title"))),
+                "fecha": page_date(html),
+                "texto": squeeze(unescape(F.col("_bare"))),
+            }
+        )
+        .drop("html", "_clean", "_article", "_body", "_title", "_bare")
+    )

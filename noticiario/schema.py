@@ -48,4 +48,5 @@ PAGE = T.StructType(
 
 # Payload shapes of the listing APIs.
 WP_POSTS = "array<struct<link:string,date:string>>"
+QUERYLY = "struct<items:array<map<string,string>>,metadata:struct<total:bigint>>"
 RSS_FEED = "struct<channel:struct<item:array<struct<guid:string,pubDate:string>>>>"

@@ -123,9 +123,8 @@ def read_wp_posts(payloads: DataFrame) -> DataFrame:
 
 def _first_key(item: Column, keys: Sequence[str]) -> Column:
     """First non-empty value among ``keys``; keys are case-sensitive."""
-    return F.coalesce(
-        *[F.nullif(F.get_json_object(item, f"$.{key}"), F.lit("")) for key in keys]
-    )
+    values = [F.try_element_at(item, F.lit(key)) for key in keys]
+    return F.coalesce(*[F.when(value != "", value) for value in values])
 
 
 def read_queryly(
@@ -135,22 +134,21 @@ def read_queryly(
 
     Date and link are looked up under their known names, an empty value falling
     through to the next. ``total`` is the number of results the service reports.
+    Each response is parsed once; items become maps, in which names that differ
+    only in case remain apart.
     """
-    found = payloads.withColumn(
-        "total", F.coalesce(F.get_json_object("body", "$.metadata.total").try_cast("long"), F.lit(0))
-    )
-    # Items stay text so that names that differ only in case remain apart.
-    items = F.from_json(F.get_json_object("body", "$.items"), "array<string>")
-    rows = _items(found, items)
-    return (
-        rows.withColumn("link", _first_key(F.col("item"), ["link", "url", "permalink"]))
-        .withColumn(
-            "fecha",
-            dates.parse_date(_first_key(F.col("item"), ["pubdate", "date", "pubDate"]), formats),
-        )
-        .drop("item")
-        .filter("link IS NOT NULL")
+    others = [name for name in payloads.columns if name != "body"]
+    parsed = payloads.select(*others, F.from_json("body", schema.QUERYLY).alias("_response"))
+    total = F.coalesce(F.col("_response.metadata.total"), F.lit(0).cast("long"))
+    rows = parsed.select(
+        *others, total.alias("total"), F.posexplode("_response.items").alias("pos", "item")
     )
+    found = rows.select(
+        *others, "total", "pos",
+        _first_key(F.col("item"), ["link", "url", "permalink"]).alias("link"),
+        _first_key(F.col("item"), ["pubdate", "date", "pubDate"]).alias("_shown"),
+    ).filter("link IS NOT NULL")
+    return found.withColumn("fecha", dates.parse_date(F.col("_shown"), formats)).drop("_shown")
 
 
 def unwrap_jsonp(col: Column) -> Column:
