@@ -77,14 +77,14 @@ def replay_listing(spark, sf):
 # Thinned so that runs of pages without kept rows occur: the last digit of the
 # position decides whether a row is there, has a link, and passes the link test.
 _SPARSE_SQL = """sparse AS (SELECT periodico, termino, page, pos, fecha,
-  CASE WHEN page % 9 <> 4 THEN link END AS link, link LIKE '%1' OR link LIKE '%4' AS ok FROM listing)"""
+  CASE WHEN page % 29 <> 20 THEN link END AS link, link LIKE '%1' OR link LIKE '%4' AS ok FROM listing)"""
 
 
 def sparse(spark, sf):
     link = F.col("link")
     return views.listing(spark, sf).select(
         "periodico", "termino", "page", "pos", "fecha",
-        F.when(F.col("page") % 9 != 4, link).alias("link"),
+        F.when(F.col("page") % 29 != 20, link).alias("link"),
         (link.endswith("1") | link.endswith("4")).alias("ok"),
     )
 

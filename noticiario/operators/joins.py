@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.session import broadcast_if_small
 
 
+def listing_place() -> Column:
+    """Order of a row within its listing as one number, from ``page`` and ``pos``.
+
+    A number instead of a pair keeps minima and maxima in hash aggregation.
+    """
+    return F.col("page").cast("long") * F.lit(1 << 32) + F.col("pos").cast("long")
+
+
 def last_listing_dates(
     listing: DataFrame, keys: Sequence[str] = ("periodico", "link"), skip_null: bool = False
 ) -> DataFrame:
@@ -19,11 +27,8 @@ def last_listing_dates(
     link without any dated row is absent.
     """
     rows = listing.filter(F.col("fecha").isNotNull()) if skip_null else listing
-    # The date is wrapped because it may be null and still be the last one.
-    last = F.max_by(F.struct("fecha"), F.struct("page", "pos"))
-    return rows.groupBy(*keys).agg(last.alias("_last")).select(
-        *keys, F.col("_last.fecha").alias("fecha_listado")
-    )
+    # A null date is kept if it is the last one.
+    return rows.groupBy(*keys).agg(F.max_by("fecha", listing_place()).alias("fecha_listado"))
 
 
 def listing_date(

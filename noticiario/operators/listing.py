@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from noticiario.operators.dedup import first_per_group
 from noticiario.operators.filters import day_start
+from noticiario.operators.joins import listing_place
 
 LISTING_KEYS = ("periodico", "termino")
 
@@ -60,11 +61,6 @@ def filter_listing(listing: DataFrame, lo: str, hi: str) -> DataFrame:
 # ── Rules on single rows and pages: one aggregation per listing ──────────────
 
 
-def _place() -> Column:
-    """Order of a row within its listing as one number."""
-    return F.col("page").cast("long") * F.lit(1 << 32) + F.col("pos").cast("long")
-
-
 def _before(listing: DataFrame, stops: DataFrame, keys: Sequence[str], keep: Column) -> DataFrame:
     """Rows for which ``keep`` holds or whose listing has no ``_stop``.
 
@@ -92,8 +88,8 @@ def cut_at_first_older(
     older = F.col("fecha") < day_start(lo)
     if accepted is not None:
         older = older & accepted
-    stops = listing.filter(older).groupBy(*keys).agg(F.min(_place()).alias("_stop"))
-    return _before(listing, stops, keys, _place() < F.col("_stop"))
+    stops = listing.filter(older).groupBy(*keys).agg(F.min(listing_place()).alias("_stop"))
+    return _before(listing, stops, keys, listing_place() < F.col("_stop"))
 
 
 def replay(

@@ -58,9 +58,16 @@ def sort_counts(df: DataFrame, key: str, n: str = "n") -> DataFrame:
     return df.orderBy(F.col(n).desc(), F.col(key))
 
 
-def order_by_config(df: DataFrame, config: DataFrame, key: str) -> DataFrame:
-    """Rows in the order of a configuration table ``(pos, key)``."""
-    return df.join(broadcast_if_small(config.select(key, "pos")), key).orderBy("pos")
+def order_by_config(
+    df: DataFrame, config: DataFrame, key: str, tie: Sequence[str | Column] = ()
+) -> DataFrame:
+    """Rows in the order of a configuration table ``(pos, key)``.
+
+    Give tie columns for frames with many rows per key, so that the range sort can
+    split them.
+    """
+    placed = df.join(broadcast_if_small(config.select(key, "pos")), key)
+    return placed.orderBy("pos", *tie)
 
 
 def head(df: DataFrame, n: int, order: Sequence[Column] = ()) -> DataFrame:

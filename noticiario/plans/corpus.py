@@ -21,7 +21,7 @@ from noticiario import schema
 from noticiario.operators.dedup import joined_terms, merge_by_url, recent_first
 from noticiario.operators.filters import in_date_range, is_relevant
 from noticiario.operators.joins import zero_result_sources
-from noticiario.operators.sets import sort_recent
+from noticiario.operators.sets import order_by_config
 from noticiario.session import broadcast_if_small, is_small, pin, shared_table
 from noticiario.sources.dimensions import MIN_ARTICLES
 from noticiario.sources.registry import BACKUP, LOCAL, STAND_IN, search_terms
@@ -244,14 +244,5 @@ def all_departments_corpus(
 
 def in_department_order(corpus: DataFrame, departments: DataFrame) -> DataFrame:
     """Rows by configured department order, then latest first."""
-    order = broadcast_if_small(departments.select("departamento", "pos"))
-    return (
-        corpus.join(order, "departamento")
-        .orderBy("pos", F.col("fecha").desc_nulls_last(), "url")
-        .drop("pos")
-    )
-
-
-def recent(corpus: DataFrame) -> DataFrame:
-    """The corpus latest first, undated articles last."""
-    return sort_recent(corpus)
+    latest = F.col("fecha").desc_nulls_last()
+    return order_by_config(corpus, departments, "departamento", [latest, "url"]).drop("pos")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.operators.extract import extract_articles
-from noticiario.operators.joins import last_listing_dates, listing_date
+from noticiario.operators.joins import last_listing_dates
+from noticiario.session import is_small
 
 
 def candidates_from_pages(
@@ -20,15 +21,21 @@ def candidates_from_pages(
     """Articles of the kept links, parsed from their stored pages.
 
     ``links`` are the kept listing rows, ``listing`` all rows (for the dates) and
-    ``pages`` stored article pages ``url, html``. Only pages some link asks for are
-    parsed, each once; the result is then attached to every search that found it.
+    ``pages`` stored article pages ``url, html``. Listing dates are attached to the
+    links first and pages are parsed where they are read, so the only wide join
+    moves extracted texts, never pages.
     """
-    wanted = links.select(F.col("link").alias("url")).distinct()
-    articles = extract_articles(pages.select("url", "html").join(wanted, "url", "left_semi"))
-    found = links.select(*keys, "link").distinct().join(
-        articles, F.col("link") == F.col("url")
-    )
-    dated = listing_date(
-        found, last_listing_dates(listing, [*keys, "link"]), [*keys, "link"]
+    found = links.select(*keys, "link").distinct()
+    listed = last_listing_dates(listing, [*keys, "link"]).withColumn("_listed", F.lit(True))
+    dated = found.join(listed, [*keys, "link"], "left")
+
+    stored = pages.select("url", "html")
+    wanted = links.select(F.col("link").alias("url"))
+    if is_small(wanted):
+        # Spares parsing pages nobody asked for.
+        stored = stored.join(F.broadcast(wanted), "url", "left_semi")
+    articles = extract_articles(stored)
+    fecha = F.when(F.col("_listed"), F.col("fecha_listado")).otherwise(F.col("fecha"))
+    return dated.join(articles, F.col("link") == F.col("url")).select(
+        *keys, "titulo", fecha.alias("fecha"), "texto", "url"
     )
-    return dated.select(*keys, "titulo", "fecha", "texto", "url")

@@ -29,6 +29,11 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     # Rewriting one department must leave the other partitions alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Seen URLs of a stream are kept on local disk with durable snapshots, not in
+    # executor memory.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
@@ -81,9 +86,11 @@ def pin(df: DataFrame, max_rows: int = PIN_LIMIT_ROWS) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder.
+    A checkpoint folder set on the context serves as well. Only a local-mode
+    session without either gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
