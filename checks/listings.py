@@ -273,7 +273,7 @@ def known_links(spark, sf):
 _PAGE_LINKS = """links AS (SELECT 'p' || (page_id % 3) AS periodico, 't' || (page_id % 2) AS termino,
     CAST(page_id AS INTEGER) AS page, 0 AS pos, url AS link,
     CASE WHEN page_id % 4 <> 0 THEN TIMESTAMP '2023-01-01' + to_days(CAST(page_id AS INTEGER)) END AS fecha
-    FROM pages WHERE page_id % 5 <> 0)"""
+    FROM pages)"""
 
 
 @query(
@@ -285,7 +285,7 @@ _PAGE_LINKS = """links AS (SELECT 'p' || (page_id % 3) AS periodico, 't' || (pag
 def candidates_from_pages_query(spark, sf):
     page = F.col("page_id")
     pages = views.read(spark, sf, "pages")
-    links = pages.filter(page % 5 != 0).select(
+    links = pages.select(
         F.concat(F.lit("p"), page % 3).alias("periodico"), F.concat(F.lit("t"), page % 2).alias("termino"),
         page.cast("int").alias("page"), F.lit(0).alias("pos"), F.col("url").alias("link"),
         F.when(page % 4 != 0, F.timestamp_seconds(F.lit(1672531200) + page * 86400)).alias("fecha"),

@@ -42,7 +42,7 @@ def stored(spark, sf, rows=None):
     ),
 )
 def write_and_read_corpus(spark, sf):
-    rows = readers.read_corpus(spark, stored(spark, sf)).drop("archivo")
+    rows = readers.read_corpus(spark, stored(spark, sf))
     return readers.require_columns(rows).withColumn("fecha", shown())
 
 
@@ -51,14 +51,14 @@ def write_and_read_corpus(spark, sf):
     with_views(
         ["articles"],
         "SELECT departamento, count(*) AS n, count(*) FILTER (url IS NULL) AS sin_url FROM articles "
-        "WHERE departamento <> 'Der' OR doc_id % 2 = 0 GROUP BY 1",
+        "WHERE departamento <> 'Der' OR fecha IS NOT NULL GROUP BY 1",
     ),
 )
 def write_replaces_departments(spark, sf):
     """A second write replaces one department and leaves the others."""
     root = stored(spark, sf)
     rows = corpus_rows(spark, sf)
-    writers.write_corpus(rows.filter("departamento = 'Der' AND doc_id % 2 = 0"), root)
+    writers.write_corpus(rows.filter("departamento = 'Der' AND fecha IS NOT NULL"), root)
     return readers.read_corpus(spark, root, row_type=schema.CORPUS).groupBy("departamento").agg(
         F.count("*").alias("n"), F.count_if(F.col("url").isNull()).alias("sin_url")
     )
@@ -76,7 +76,9 @@ def read_corpus_skips_bad_files(spark, sf):
     root = stored(spark, sf)
     broken = f"{root}/departamento=X/x.parquet"
     corpus_rows(spark, sf).select("titulo").write.text(broken)
-    rows = readers.read_corpus(spark, root, tolerate_bad=True, row_type=schema.CORPUS)
+    rows = readers.read_corpus(
+        spark, root, tolerate_bad=True, row_type=schema.CORPUS, with_file=True
+    )
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     listed = files.select(F.col("path").alias("archivo"))
     bad = readers.bad_files(listed, rows).select(
@@ -103,7 +105,7 @@ def corpus_inventory(spark, sf):
 )
 def file_counts(spark, sf):
     """Articles per file, added up to departments as files may be split."""
-    counts = reports.file_counts(readers.read_corpus(spark, stored(spark, sf)))
+    counts = reports.file_counts(readers.read_corpus(spark, stored(spark, sf), with_file=True))
     name = F.url_decode(F.regexp_extract("archivo", "departamento=([^/]*)/", 1))
     return counts.groupBy(F.url_decode(name).alias("departamento")).agg(F.sum("n").alias("n"))
 

@@ -52,7 +52,10 @@ def consolidate(
 
 
 def summaries(stored: DataFrame, cleaned: DataFrame) -> dict[str, DataFrame]:
-    """Reports of a consolidation, each its own small result."""
+    """Reports of a consolidation, each its own small result.
+
+    ``stored`` is read with its files.
+    """
     return {
         "duplicados": reports.dedup_stats(stored),
         "fechas": reports.date_span(cleaned),

@@ -21,8 +21,9 @@ def read_corpus(
     tolerate_bad: bool = False,
     merge_schema: bool = False,
     row_type: T.StructType | None = None,
+    with_file: bool = False,
 ) -> DataFrame:
-    """All department partitions under ``root``, with the file of each row.
+    """All department partitions under ``root``; ``with_file`` adds ``archivo``.
 
     ``tolerate_bad`` skips unreadable files; :func:`bad_files` reports them. The
     columns are those of ``row_type``, which spares opening files, else those of one
@@ -32,7 +33,7 @@ def read_corpus(
     if row_type is not None:
         reader = reader.schema(row_type)
     stored = reader.option("ignoreCorruptFiles", tolerate_bad).parquet(root)
-    return stored.withColumn("archivo", F.col("_metadata.file_path"))
+    return stored.withColumn("archivo", F.col("_metadata.file_path")) if with_file else stored
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = tuple(schema.REQUIRED)) -> DataFrame:

@@ -194,7 +194,7 @@ def test_bad_file_is_reported_and_rebuilt(spark, tmp_path):
     bad = root / "departamento=Arauca"
     bad.mkdir()
     (bad / "part-0.parquet").write_bytes(b"not parquet at all")
-    stored = readers.read_corpus(spark, str(root), tolerate_bad=True)
+    stored = readers.read_corpus(spark, str(root), tolerate_bad=True, with_file=True)
     assert rows(stored, "url") == [("u1",), ("u2",)]
     inventory = readers.corpus_inventory(spark, str(root))
     assert rows(readers.bad_files(inventory, stored), "departamento") == [("Arauca",)]
