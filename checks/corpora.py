@@ -239,11 +239,19 @@ def department_corpus(spark, sf):
     return built.withColumn("fecha", shown())
 
 
+_TEN = ", ".join(f"'src{n}'" for n in range(10))
+
+
 @query(
     "municipality_corpus",
-    with_views(["articles"], "").rstrip()
-    + f""", hits AS (SELECT * FROM articles WHERE (fecha IS NULL OR fecha BETWEEN TIMESTAMP '2023-01-01'
-        AND TIMESTAMP '2023-12-31 23:59:59') AND {views.SCORE} >= CASE WHEN fuente IN ('src18', 'src19') THEN 1 ELSE 4 END),
+    with_views(["articles", "departments", "topics"], "").rstrip()
+    + f""", reached AS (SELECT * FROM articles WHERE (fecha IS NULL OR fecha BETWEEN TIMESTAMP '2023-01-01'
+        AND TIMESTAMP '2023-12-31 23:59:59') AND fuente IN ({_TEN}, 'src19')
+        AND {views.SCORE} >= CASE WHEN fuente = 'src19' THEN 1 ELSE 4 END),
+    active AS (SELECT departamento, tema FROM reached WHERE fuente <> 'src19' GROUP BY ALL
+      HAVING count(DISTINCT fuente) = 10),
+    hits AS (SELECT * FROM reached r WHERE fuente <> 'src19' OR NOT EXISTS (SELECT 1 FROM active a
+      WHERE a.departamento = r.departamento AND a.tema = r.tema)),
     terms AS (SELECT departamento, url, {_TERMS} AS terminos_encontrado FROM hits WHERE url IS NOT NULL GROUP BY ALL),
     firsts AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY departamento, url
       ORDER BY tema_pos, {_RECENT}, doc_id) = 1)
@@ -253,8 +261,9 @@ def department_corpus(spark, sf):
 )
 def municipality_corpus(spark, sf):
     places = views.departments(spark).select(F.col("departamento").alias("municipio"))
+    ten = views.registry(spark).filter(F.col("id").isin([f"src{n}" for n in range(10)]))
     built = corpus.municipality_corpus(
         views.articles(spark, sf).drop("departamento", "tema", "tema_pos"), places,
-        views.registry(spark), views.TOPICS, 4, LO, HI, tie=["doc_id"],
+        ten, views.TOPICS, 4, LO, HI, fallback="src19", tie=["doc_id"],
     )
     return built.withColumn("fecha", shown())

@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticiario import schema
+from noticiario.functions.text import DEFAULT_MIN_MENTIONS
 from noticiario.operators.dedup import joined_terms, merge_by_url, recent_first
-from noticiario.operators.filters import in_date_range, is_relevant
+from noticiario.operators.filters import effective_minimum, in_date_range, is_relevant
 from noticiario.operators.joins import zero_result_sources
 from noticiario.operators.sets import order_by_config
 from noticiario.session import broadcast_if_small, is_small, pin, shared_table
-from noticiario.sources.dimensions import MIN_ARTICLES
+from noticiario.sources.dimensions import FALLBACK, MIN_ARTICLES, TOPICS
 from noticiario.sources.registry import BACKUP, LOCAL, STAND_IN, search_terms
 from noticiario.sources.writers import existing_corpus, resume_plan, write_corpus
 
@@ -61,12 +62,20 @@ def _with_stand_in(matched: DataFrame, plan: DataFrame, per: Sequence[str]) -> D
     missing = zero_result_sources(
         plan.filter(own), matched.filter(own), [*per, "fuente"]
     )
-    # At most one row per search of the plan, so it is as small as the plan is.
-    needed = missing.select(*per).distinct().withColumn("_needed", F.lit(True))
-    if is_small(plan):
-        needed = F.broadcast(needed)
+    return _keep_needed(matched, missing.select(*per).distinct(), per, is_small(plan))
+
+
+def _keep_needed(
+    matched: DataFrame, needed: DataFrame, per: Sequence[str], small: bool
+) -> DataFrame:
+    """Without the stand-in rows of searches that are not in ``needed``.
+
+    ``needed`` has at most one row per search of the plan, so it may be broadcast
+    where the plan is small.
+    """
+    flagged = needed.withColumn("_needed", F.lit(True))
     return (
-        matched.join(needed, list(per), "left")
+        matched.join(F.broadcast(flagged) if small else flagged, list(per), "left")
         .filter((F.col("origen") != STAND_IN) | F.col("_needed"))
         .drop("_needed")
     )
@@ -119,32 +128,55 @@ def municipality_corpus(
     candidates: DataFrame,
     municipalities: DataFrame,
     sources: DataFrame,
-    topics: Sequence[str],
-    min_mentions: int = 3,
+    topics: Sequence[str] = tuple(TOPICS),
+    min_mentions: int = DEFAULT_MIN_MENTIONS,
     lo: str | None = None,
     hi: str | None = None,
+    fallback: str | None = FALLBACK,
     tie: Sequence[str] = ("fuente", "titulo"),
+    settle: Settle = _recompute,
 ) -> DataFrame:
-    """Merged topics of each municipality, searched in all given sources."""
-    searches = search_terms(municipalities.select("municipio"), topics, "municipio")
-    plan = broadcast_if_small(searches)
-    reach = broadcast_if_small(
-        sources.select(F.col("id").alias("fuente"), "is_national")
-    )
+    """Merged topics of each municipality, searched in the given sources.
+
+    All municipalities share one source list, so terms and sources are joined one
+    after the other instead of being multiplied into a plan. ``fallback`` stands in
+    for searches in which a local source returned nothing, unless it is in the list.
+    """
+    listed = pin(sources.select(F.col("id").alias("fuente"), "is_national"))
+    stands_in = fallback is not None and listed.filter(F.col("fuente") == fallback).isEmpty()
+    reach = listed.withColumn("origen", F.lit(LOCAL))
+    if stands_in:
+        reach = reach.unionByName(
+            reach.limit(1).select(
+                F.lit(fallback).alias("fuente"), F.lit(True).alias("is_national"),
+                F.lit(STAND_IN).alias("origen"),
+            )
+        )
+    searches = search_terms(municipalities.select("municipio").distinct(), topics, "municipio")
+
     rows = candidates
     if lo is not None and hi is not None:
         rows = rows.filter(in_date_range(F.col("fecha"), lo, hi))
-    minimum = F.when(F.col("is_national"), 1).otherwise(min_mentions)
-    found = (
-        rows.join(plan, "termino").join(reach, "fuente")
-        .filter(is_relevant(minimum, F.col("territorio")))
-        .withColumn("fuente_pos", F.lit(0))
-        .select(
-            "municipio", *schema.CANONICAL, "tema", "tema_pos", "fuente_pos",
-            *[name for name in tie if name not in schema.CANONICAL],
+    minimum = effective_minimum(min_mentions, F.col("is_national"))
+    joined = rows.join(broadcast_if_small(reach), "fuente").join(
+        broadcast_if_small(searches), "termino"
+    )
+    found = settle(joined.filter(is_relevant(minimum, F.col("territorio"))))
+    if stands_in:
+        per = ["municipio", "tema"]
+        local = ~F.col("is_national") & (F.col("origen") == LOCAL)
+        active = found.filter(local).groupBy(*per).agg(F.count_distinct("fuente").alias("_n"))
+        expected = listed.filter(~F.col("is_national")).count()
+        needed = (
+            searches.select(*per).join(active, per, "left")
+            .filter(F.coalesce("_n", F.lit(0)) < expected).select(*per)
         )
+        found = _keep_needed(found, needed, per, is_small(searches))
+    kept = found.withColumn("fuente_pos", F.lit(0)).select(
+        "municipio", *schema.CANONICAL, "tema", "tema_pos", "fuente_pos",
+        *[name for name in tie if name not in schema.CANONICAL],
     )
-    merged = merge_by_url(found, first_found(tie), ["municipio", "url"])
+    merged = merge_by_url(kept, first_found(tie), ["municipio", "url"])
     return merged.select(*schema.CANONICAL, "terminos_encontrado", "municipio")
 
 

@@ -72,10 +72,3 @@ def write_health_report(runs: DataFrame, summary: DataFrame, path: str) -> None:
     runs.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/scrapers")
     summary.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/resumen")
 
-
-def as_json(df: DataFrame, key: str, name: str = "json") -> DataFrame:
-    """Each row as a JSON object beside its key column."""
-    fields = [c for c in df.columns if c != key]
-    return df.select(
-        key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias(name)
-    )

@@ -150,6 +150,21 @@ def test_municipality(spark):
     ]
 
 
+def test_municipality_stand_in(spark):
+    found = spark.createDataFrame(
+        [
+            candidate("llanoalmundo", "Granada paz", "u1", 1, text="Granada granada GRANADA"),
+            candidate("eltiempo", "Granada paz", "u2", 2, text="Granada"),
+            candidate("eltiempo", "Granada agua", "u3", 3, text="Granada"),
+        ],
+        CANDIDATE,
+    )
+    places = spark.createDataFrame([("Granada",)], "municipio string")
+    local = registry.select_sources(dimensions.sources_table(spark), ["llanoalmundo"])
+    got = corpus.municipality_corpus(found, places, local, ["paz", "agua"], tie=["n"])
+    assert rows(got, "url") == [("u1",), ("u3",)]
+
+
 def test_run_resumes_and_replaces(spark, tmp_path):
     root = str(tmp_path / "corpus")
     routing = {"Meta": ["llanoalmundo"], "San Andrés y Providencia": ["eltiempo"], "Cesar": []}
