@@ -267,3 +267,22 @@ def municipality_corpus(spark, sf):
         ten, views.TOPICS, 4, LO, HI, fallback="src19", tie=["doc_id"],
     )
     return built.withColumn("fecha", shown())
+
+
+@query(
+    "search_report",
+    with_views(["found", "topics"], "").rstrip()
+    + """, local AS (SELECT * FROM found WHERE origen <> 2),
+    merged AS (SELECT DISTINCT departamento, url, tema FROM local WHERE url IS NOT NULL)
+    SELECT t.tema, (SELECT count(*) FROM local l WHERE l.tema = t.tema) AS filas,
+      nullif((SELECT count(*) FROM merged m WHERE m.tema = t.tema), 0) AS urls FROM topics t""",
+)
+def search_report(spark, sf):
+    """Rows found per topic beside the URLs each topic covers after merging."""
+    candidates = views.articles(spark, sf).drop("departamento", "tema", "tema_pos")
+    plan = views.plan(spark)
+    found = corpus.search_sources(candidates, plan, LO, HI)
+    merged = corpus.search_topics(candidates, plan, LO, HI, tie=["doc_id"])
+    parts = corpus.search_report(found, merged)
+    topics = parts["temas"].select("tema", F.col("n").alias("filas"))
+    return topics.join(parts["cobertura"].withColumnRenamed("n", "urls"), "tema", "left")

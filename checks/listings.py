@@ -280,7 +280,7 @@ _PAGE_LINKS = """links AS (SELECT 'p' || (page_id % 3) AS periodico, 't' || (pag
     "candidates_from_pages",
     "WITH " + _PAGE_LINKS + r"""
     SELECT periodico, termino, link AS url, strftime(links.fecha, '%Y-%m-%d %H:%M:%S') AS fecha,
-      length(html) AS n_html FROM links JOIN pages ON link = url""",
+      CAST(length(html) AS INTEGER) AS n_html FROM links JOIN pages ON link = url""",
 )
 def candidates_from_pages_query(spark, sf):
     page = F.col("page_id")

@@ -236,7 +236,7 @@ def read_pages(spark, sf):
 
 @query(
     "extract_links",
-    "SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN 'https://news.example.com' || href "
+    "SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(href, '/') THEN 'https://news.example.com' || href "
     f"ELSE href END AS link, CAST(NULL AS VARCHAR) AS fecha FROM ({_LINKS_SQL})",
 )
 def extract_links(spark, sf):
@@ -252,7 +252,7 @@ def _hrefs(spark, sf):
 
 @query(
     "absolutise",
-    "SELECT page_id, pos, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://b.example' || href "
+    "SELECT page_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(href, 'http') THEN href ELSE 'https://b.example' || href "
     "END AS siempre, CASE WHEN starts_with(href, '/') THEN 'https://b.example' || href ELSE href END "
     f"AS con_barra FROM ({_LINKS_SQL})",
 )

@@ -9,7 +9,7 @@ from checks.registered import query
 from checks.views import HI, LO, SCORE, shown, with_views
 from noticiario.functions import text
 from noticiario.operators import dedup, filters, joins, reports, sets
-from noticiario.plans.health import health_report
+from noticiario.plans.health import error_report, health_report
 from noticiario.sources.dimensions import TOPICS
 
 _STAMP = "strftime({0}({1}), '%Y-%m-%d %H:%M:%S')"
@@ -224,6 +224,11 @@ def sort_errors(spark, sf):
     return reports.sort_errors(reports.error_counts(views.errors(spark, sf)))
 
 
+@query("error_report", with_views(["errors"], _NOTED))
+def error_report_table(spark, sf):
+    return error_report(views.errors(spark, sf))[0]
+
+
 @query(
     "error_totals",
     with_views(["errors"], "SELECT count(*) AS eventos, count(DISTINCT periodico) AS periodicos FROM errors"),

@@ -166,31 +166,41 @@ ENTITIES = {
 }
 
 
+def _decoded(name: Column) -> Column:
+    """Character of a reference without its ``&`` and ``;``, null if unknown."""
+    table = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+    digits = F.substring(name, 2, 5)
+    numeric = F.decode(F.unhex(F.lpad(F.hex(digits.try_cast("int")), 4, "0")), "UTF-16BE")
+    return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table, name))
+
+
 def unescape(col: Column) -> Column:
-    """Decode named and decimal character references."""
-    named = col
-    for name, char in ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    found = F.array_distinct(F.regexp_extract_all(col, F.lit(r"&#(\d{1,5});"), F.lit(1)))
-    numeric = F.aggregate(
-        found,
-        named,
-        lambda done, digits: F.replace(
-            done,
-            F.concat(F.lit("&#"), digits, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.hex(digits.cast("int")), 4, "0")), "UTF-16BE"),
+    """Decode named and decimal character references.
+
+    The references a text holds are found in one pass, and each distinct one is
+    replaced once. The ampersand comes last, so nothing is decoded twice.
+    """
+    found = F.array_distinct(
+        F.regexp_extract_all(col, F.lit(r"&(#\d{1,5}|[A-Za-z]{2,8});"), F.lit(1))
+    )
+    others = F.filter(found, lambda name: ~name.isin("amp", "#38"))
+    text = F.aggregate(
+        others,
+        col,
+        lambda done, name: F.coalesce(
+            F.replace(done, F.concat(F.lit("&"), name, F.lit(";")), _decoded(name)), done
         ),
     )
-    text = F.when(F.contains(col, F.lit("&#")), numeric).otherwise(named)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    for ampersand in ("&#38;", "&amp;"):
+        text = F.replace(text, F.lit(ampersand), F.lit("&"))
     return F.when(F.contains(col, F.lit("&")), text).otherwise(col)
 
 
+# Comments, and elements that are not part of the article.
 _DROPPED = (
-    r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>"
-    r"|<header\b.*?</header>|<footer\b.*?</footer>|<aside\b.*?</aside>|<form\b.*?</form>"
+    r"(?is)<(?:!--.*?--|(script|style|nav|header|footer|aside|form)\b.*?</\1)>"
 )
-_BREAKS = r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article|blockquote)>"
+_BREAKS = r"(?i)<(?:br\s*/?|/(?:p|div|li|h[1-6]|tr|section|article|blockquote))>"
 
 
 def page_title(html: Column) -> Column:
@@ -216,7 +226,7 @@ def strip_markup(html: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Single blanks, no empty lines, nothing around the text."""
-    blanks = F.regexp_replace(text, r"[ \t\x0B\f\r\u00A0]+", " ")
+    blanks = F.regexp_replace(text, r"[ \t\x0B\f\r\u00A0]{2,}|[\t\x0B\f\r\u00A0]", " ")
     return F.btrim(F.regexp_replace(blanks, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 

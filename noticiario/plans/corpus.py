@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from noticiario import schema
 from noticiario.functions.text import DEFAULT_MIN_MENTIONS
+from noticiario.operators import reports
 from noticiario.operators.dedup import joined_terms, merge_by_url, recent_first
 from noticiario.operators.filters import effective_minimum, in_date_range, is_relevant
 from noticiario.operators.joins import zero_result_sources
@@ -278,3 +279,20 @@ def in_department_order(corpus: DataFrame, departments: DataFrame) -> DataFrame:
     """Rows by configured department order, then latest first."""
     latest = F.col("fecha").desc_nulls_last()
     return order_by_config(corpus, departments, "departamento", [latest, "url"]).drop("pos")
+
+
+def search_report(
+    found: DataFrame, merged: DataFrame, topics: Sequence[str] = tuple(TOPICS)
+) -> dict[str, DataFrame]:
+    """Summary of a search: rows per topic, duplicates, coverage, sources, dates.
+
+    ``found`` is the result of :func:`search_sources`, ``merged`` that of
+    :func:`search_topics` or :func:`department_corpus`.
+    """
+    return {
+        "temas": reports.term_counts(found, topics),
+        "duplicados": reports.dedup_stats(found),
+        "cobertura": reports.term_coverage(merged),
+        "periodicos": reports.count_by_source(merged),
+        "fechas": reports.date_span(merged),
+    }

@@ -1,4 +1,4 @@
-"""Health report over the log of source runs."""
+"""Reports over the logs: health of the source runs, errors of a corpus run."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 
 from noticiario.operators.reports import (
     SLOW_FROM_SECONDS,
+    error_counts,
+    error_notes,
+    error_totals,
     health_by_type,
     health_status,
     health_summary,
+    sort_errors,
 )
 from noticiario.sources.writers import write_health_report
 
@@ -25,3 +29,8 @@ def health_report(
     if path is not None:
         write_health_report(classified, summary, path)
     return classified, summary, health_by_type(classified)
+
+
+def error_report(errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counted errors with notes, first-page errors first, and the totals."""
+    return sort_errors(error_notes(error_counts(errors))), error_totals(errors)

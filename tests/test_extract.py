@@ -125,6 +125,16 @@ def test_article_page(spark):
     assert rows[4].texto is None
 
 
+def test_references_are_decoded_once(spark):
+    from noticiario.operators.extract import unescape
+
+    df = spark.createDataFrame(
+        [("&amp;lt; &#38;gt; &lt; &unknown; &#8364; & &aacute;&aacute;",), ("a",), (None,)], "t string"
+    )
+    got = [r[0] for r in df.select(unescape(F.col("t"))).collect()]
+    assert got == ["&lt; &gt; < &unknown; € & áá", "a", None]
+
+
 def test_payloads_that_are_no_json(spark):
     bad = spark.createDataFrame([(1, "broken"), (2, None), (3, "[]"), (4, "{}")], "i int, body string")
     assert readers.read_wp_posts(bad).count() == 0
