@@ -12,7 +12,6 @@ from checks.corpora import DEPARTMENT_SQL
 from checks.registered import query
 from checks.views import HI, LO, shown, with_views
 from noticiario import schema
-from noticiario.functions import text
 from noticiario.operators import reports
 from noticiario.plans import consolidate, corpus, progress
 from noticiario.plans.health import health_report

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,12 +51,21 @@ def is_blank(col: Column) -> Column:
     return col.isNull() | col.rlike(r"(?U)^\s*$")
 
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and their plain letters in the same order."""
+    blocks = [range(0x00DF, 0x0250), range(0x1E00, 0x1F00)]
+    pairs = [
+        (chr(code), unicodedata.normalize("NFD", chr(code))[0])
+        for block in blocks
+        for code in block
+        if chr(code).islower()
+    ]
+    pairs = [(marked, plain) for marked, plain in pairs if plain.isascii()]
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
 def slug(name: Column) -> Column:
     """``San Andrés y Providencia`` -> ``san_andres_y_providencia``."""
-    plain = F.translate(F.lower(name), _ACCENTED, _PLAIN)
+    plain = F.translate(F.lower(name), *_accents())
     ascii_only = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
     return F.replace(ascii_only, F.lit(" "), F.lit("_"))

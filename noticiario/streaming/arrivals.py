@@ -25,15 +25,16 @@ def stream_articles(
 ) -> DataFrame:
     """Rows of article files under ``root`` as a stream, in the window and relevant.
 
-    Adds ``llegada``, the arrival time of the file. Relevance needs a ``termino``
-    column and is skipped for a minimum of zero.
+    Adds ``llegada``, the time at which the row was taken in; being the clock of
+    the micro-batch it never runs backwards, so no row is late. Relevance needs a
+    ``termino`` column and is skipped for a minimum of zero.
     """
     reader = spark.readStream.schema(row_type)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if name_filter is not None:
         reader = reader.option("pathGlobFilter", name_filter)
-    rows = reader.parquet(root).withColumn("llegada", F.col("_metadata.file_modification_time"))
+    rows = reader.parquet(root).withColumn("llegada", F.current_timestamp())
     if lo is not None and hi is not None:
         rows = filter_date_range(rows, lo, hi)
     if min_mentions > 0:
@@ -54,7 +55,11 @@ def stream_dedup(stream: DataFrame, delay: str = "7 days", key: str = "url") ->
 def write_stream(
     stream: DataFrame, root: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Append the stream to a corpus partitioned by department."""
+    """Append the stream to a corpus partitioned by department.
+
+    The folder must be its own: readers of a streamed folder see exactly the files
+    the stream has committed, and no others.
+    """
     columns = [field.name for field in schema.CORPUS.fields if field.name in stream.columns]
     writer = (
         stream.select(*columns).writeStream.format("parquet")

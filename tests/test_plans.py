@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from checks import corpora, listings, storage, views
+from checks import corpora, storage, views
 from noticiario.operators import dedup, filters, listing
 from noticiario.plans import corpus, listings as listing_jobs
 from noticiario.session import broadcast_if_small, pin, shared_folder, shared_table
