@@ -8,7 +8,8 @@ from checks import views
 from checks.registered import query
 from checks.views import LIST_HI, LIST_LO, shown, with_views
 from noticiario.operators import dedup, joins, listing
-from noticiario.plans.listings import candidates_from_pages
+from noticiario.plans.listings import candidates_from_pages, replay_source
+from noticiario.sources.rules import ListingRule
 
 _COLUMNS = "periodico, termino, page, pos, link"
 _LO, _HI = f"TIMESTAMP '{LIST_LO}'", f"TIMESTAMP '{LIST_HI}'"
@@ -293,3 +294,41 @@ def candidates_from_pages_query(spark, sf):
     found = candidates_from_pages(links, links, pages)
     sizes = pages.select("url", F.length("html").alias("n_html"))
     return found.join(sizes, "url").select("periodico", "termino", "url", shown(), "n_html")
+
+
+@query(
+    "stop_after_articles",
+    with_views(["listing"], "").rstrip()
+    + f""", stops AS (SELECT periodico, termino, page AS stop FROM listing
+        QUALIFY row_number() OVER ({_GROUP} ORDER BY page, pos, link) = 60)
+    SELECT l.periodico, l.termino, l.page, l.pos, l.link FROM listing l LEFT JOIN stops USING (periodico, termino)
+    WHERE stop IS NULL OR page <= stop""",
+)
+def stop_after_articles(spark, sf):
+    return columns(listing.stop_after_articles(views.listing(spark, sf), 60))
+
+
+@query(
+    "stop_at_empty_page",
+    with_views(["listing"], "").rstrip()
+    + f""", {_SPARSE_SQL}, stops AS (SELECT periodico, termino, min(page) AS stop FROM (
+        SELECT periodico, termino, page FROM sparse GROUP BY ALL HAVING count(link) = 0) GROUP BY ALL)
+    SELECT s.periodico, s.termino, s.page, s.pos, s.link FROM sparse s LEFT JOIN stops USING (periodico, termino)
+    WHERE stop IS NULL OR page < stop""",
+)
+def stop_at_empty_page(spark, sf):
+    return columns(listing.stop_at_empty_page(sparse(spark, sf)))
+
+
+@query(
+    "replay_source",
+    with_views(["listing"], "").rstrip()
+    + f""", capped AS (SELECT * FROM listing WHERE page <= ceil(5000 / 20)),
+    places AS (SELECT c.* FROM capped c LEFT JOIN (SELECT periodico, termino, min((page, pos)) AS place FROM capped
+        WHERE {_OLDER} GROUP BY ALL) p USING (periodico, termino) WHERE place IS NULL OR (c.page, c.pos) < place)
+    SELECT {_COLUMNS} FROM places WHERE {_KEPT}
+    QUALIFY row_number() OVER (PARTITION BY periodico, termino, link ORDER BY page, pos) = 1""",
+)
+def replay_source_query(spark, sf):
+    rule = ListingRule(first_older=True, max_articles=5000, page_size=20)
+    return columns(replay_source(views.listing(spark, sf), rule, LIST_LO, LIST_HI))

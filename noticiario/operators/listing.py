@@ -214,14 +214,22 @@ def stop_after_empty_pages(
         counts = counts & (F.col("_newer") == 0)
     stops = stop_after_run(pages.withColumn("_counts", counts), n, keys)
     if empty_page_ends:
-        ended = pages.filter(F.col("_links") == 0).groupBy(*keys).agg(
-            (F.min("page") - 1).alias("_stop")
-        )
-        stops = stops.unionByName(ended).groupBy(*keys).agg(F.min("_stop").alias("_stop"))
+        stops = stops.unionByName(_empty_pages(listing, keys)).groupBy(*keys).agg(F.min("_stop").alias("_stop"))
     rows = _before(listing, stops, keys, F.col("page") <= F.col("_stop"))
     return rows.filter(linked)
 
 
+def stop_at_empty_page(listing: DataFrame, keys: Sequence[str] = LISTING_KEYS) -> DataFrame:
+    """Rows before the first page without any link (a row whose link is null)."""
+    return _before(listing, _empty_pages(listing, keys), keys, F.col("page") <= F.col("_stop"))
+
+
+def _empty_pages(listing: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Last page before the first one without links, per listing that has one."""
+    pages = listing.groupBy(*keys, "page").agg(F.count("link").alias("_links"))
+    return pages.filter(F.col("_links") == 0).groupBy(*keys).agg((F.min("page") - 1).alias("_stop"))
+
+
 def stop_after_old_pages(
     listing: DataFrame, lo: str, n: int = 2, keys: Sequence[str] = LISTING_KEYS
 ) -> DataFrame:
@@ -259,6 +267,20 @@ def cap_per_group(
     )
 
 
+def stop_after_articles(
+    listing: DataFrame, n: int, keys: Sequence[str] = LISTING_KEYS, salts: int = 32
+) -> DataFrame:
+    """Whole pages up to the one in which the ``n``-th row appears."""
+    first = cap_per_group(listing.select(*keys, "page", "pos", "link"), n, keys, salts)
+    stops = (
+        first.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), F.max("page").alias("_stop"))
+        .filter(F.col("_n") >= n)
+        .drop("_n")
+    )
+    return _before(listing, stops, keys, F.col("page") <= F.col("_stop"))
+
+
 def cap_pages(listing: DataFrame, n: int, page_size: int, total: Column | None = None) -> DataFrame:
     """Whole pages covering the first ``n`` results, or ``total`` if that is less.
 

@@ -1,4 +1,4 @@
-"""From stored listing pages and article pages to candidates."""
+"""From stored listing pages, payloads and article pages to candidates."""
 
 from __future__ import annotations
 
@@ -7,9 +7,75 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticiario.functions import urls
+from noticiario.operators import listing as steps
+from noticiario.operators.dedup import dedup_links
 from noticiario.operators.extract import extract_articles
+from noticiario.operators.filters import filter_date_range
 from noticiario.operators.joins import last_listing_dates
 from noticiario.session import is_small
+from noticiario.sources.readers import read_queryly
+from noticiario.sources.rules import (
+    HISTORICAL_ARTICLES,
+    HISTORICAL_EMPTY_PAGES,
+    ListingRule,
+    QuerylyRule,
+)
+
+
+def links_from_payloads(payloads: DataFrame, rule: QuerylyRule) -> DataFrame:
+    """Search-service responses of one source to rows ``pos, link, fecha``."""
+    rows = read_queryly(payloads, rule.formats)
+    if rule.min_segments is not None:
+        rows = rows.filter(urls.is_article(F.col("link"), rule.min_segments, rule.year_segment))
+    complete = urls.absolutise_rooted if rule.rooted else urls.absolutise
+    return rows.withColumn("link", complete(F.col("link"), rule.base))
+
+
+def replay_source(
+    listing: DataFrame,
+    rule: ListingRule,
+    lo: str,
+    hi: str,
+    historical: bool = False,
+    keys: Sequence[str] = ("periodico", "termino"),
+) -> DataFrame:
+    """Kept links of the listings of one source, each once at its first place.
+
+    ``listing`` holds all stored rows, a page without links being one row whose
+    link is null. Pages are counted from 1. ``historical`` applies the deeper
+    limits of runs over past years.
+    """
+    articles, empty_pages = rule.max_articles, rule.empty_pages
+    if historical:
+        articles = HISTORICAL_ARTICLES if articles and rule.deeper else articles
+        empty_pages = HISTORICAL_EMPTY_PAGES if empty_pages and not rule.first_older else empty_pages
+
+    rows = listing
+    if rule.max_pages:
+        rows = rows.filter(F.col("page") <= rule.max_pages)
+    if articles and rule.page_size:
+        rows = steps.cap_pages(rows, articles, rule.page_size)
+    if rule.first_older:
+        rows = steps.cut_at_first_older(rows, lo, F.col("link").isNotNull(), keys)
+    if empty_pages:
+        rows = steps.stop_after_empty_pages(
+            rows, lo, hi, empty_pages, rule.newer_resets, rule.empty_page_ends, keys=keys
+        )
+    elif rule.empty_page_ends:
+        rows = steps.stop_at_empty_page(rows, keys)
+    rows = rows.filter(F.col("link").isNotNull())
+    if rule.old_pages:
+        rows = steps.stop_after_old_pages(rows, lo, rule.old_pages, keys)
+    if rule.older_batch:
+        rows = steps.stop_batch_all_older(rows, lo, keys)
+    if articles and not rule.page_size:
+        rows = steps.stop_after_articles(rows, articles, keys)
+    if rule.whole_last_day or not rule.keep_undated:
+        rows = filter_date_range(rows, lo, hi, keep_null=rule.keep_undated)
+    elif rule.filter_dates:
+        rows = steps.filter_listing(rows, lo, hi)
+    return dedup_links(rows, keys)
 
 
 def candidates_from_pages(

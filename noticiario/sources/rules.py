@@ -3,6 +3,11 @@
 A new source is a new rule; the operators stay the same.
 """
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from noticiario.operators.extract import (
     ExtractRule,
     href_inside,
@@ -124,15 +129,78 @@ RULES = {
     ),
 }
 
-# The one source whose undated results are dropped.
-DROP_UNDATED = ["elheraldo"]
 
-# Search-service sources: base address, date formats, link test, result limit.
+
+@dataclass(frozen=True)
+class QuerylyRule:
+    """How one source uses the search service."""
+
+    base: str
+    formats: Sequence[str]
+    rooted: bool = False
+    min_segments: int | None = None
+    year_segment: int | None = None
+
+
+# Address, date form and link test of the search-service sources.
 QUERYLY = {
-    "elpais": {"base": "https://www.elpais.com.co", "formats": ["en_abbr_or_iso"]},
-    "eluniversal": {
-        "base": "https://www.eluniversal.com.co", "formats": ["es_as_en"],
-        "min_segments": 4, "year_segment": 2,
-    },
-    "vanguardia": {"base": "https://www.vanguardia.com", "formats": ["en_abbr"], "limit": 300},
+    "elpais": QuerylyRule("https://www.elpais.com.co", ["en_abbr_or_iso"]),
+    "eluniversal": QuerylyRule(
+        "https://www.eluniversal.com.co", ["es_as_en"], min_segments=4, year_segment=2
+    ),
+    "vanguardia": QuerylyRule("https://www.vanguardia.com", ["en_abbr"], rooted=True),
+}
+
+
+@dataclass(frozen=True)
+class ListingRule:
+    """Which part of a source's listing counts.
+
+    ``max_articles`` limits whole pages: by ``page_size`` where the site states a
+    total, else by the rows that were read. ``deeper`` tells whether a historical
+    run changes the limit.
+    """
+
+    filter_dates: bool = True
+    keep_undated: bool = True
+    whole_last_day: bool = False
+    first_older: bool = False
+    empty_page_ends: bool = False
+    empty_pages: int = 0
+    newer_resets: bool = True
+    old_pages: int = 0
+    older_batch: bool = False
+    max_articles: int = 0
+    page_size: int = 0
+    max_pages: int = 0
+    deeper: bool = True
+
+
+# Listing rules of each source, and the limits of historical runs.
+LISTINGS = {
+    "eldiario": ListingRule(first_older=True),
+    "elcolombiano": ListingRule(filter_dates=False),
+    "bcnoticias": ListingRule(first_older=True, empty_page_ends=True),
+    "elpais": ListingRule(first_older=True, empty_page_ends=True),
+    "diariooccidente": ListingRule(first_older=True, empty_page_ends=True, empty_pages=3),
+    "diariodelsur": ListingRule(first_older=True, empty_page_ends=True),
+    "eltiempo": ListingRule(filter_dates=False),
+    "larepublica": ListingRule(filter_dates=False, max_pages=30),
+    "portafolio": ListingRule(max_articles=300, page_size=20),
+    "publimetro": ListingRule(max_articles=300),
+    "las2orillas": ListingRule(max_articles=300, page_size=8, max_pages=30),
+    "elheraldo": ListingRule(keep_undated=False, whole_last_day=True, max_pages=30),
+    "eluniversal": ListingRule(old_pages=2, empty_page_ends=True),
+    "elpilon": ListingRule(),
+    "elmeridiano": ListingRule(max_pages=30),
+    "vanguardia": ListingRule(max_articles=300, page_size=20, empty_page_ends=True, deeper=False),
+    "tronchandosinfronteras": ListingRule(
+        empty_pages=3, newer_resets=False, max_articles=300, page_size=10
+    ),
+    "enlacetelevision": ListingRule(older_batch=True, max_articles=300, max_pages=30),
+    "corrillos": ListingRule(empty_pages=3, max_articles=2000, page_size=10),
 }
+# Sources of type wp_api ask their interface for the date range and are read whole.
+WHOLE_LISTING = ListingRule(filter_dates=False)
+HISTORICAL_EMPTY_PAGES = 10
+HISTORICAL_ARTICLES = 500

@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticiario.operators import joins, listing
+from noticiario.plans.listings import links_from_payloads, replay_source
+from noticiario.sources import dimensions
+from noticiario.sources.rules import LISTINGS, QUERYLY, RULES
 
 LO, HI = "2024-01-10", "2024-01-20"
 DLO, DHI = datetime(2024, 1, 10), datetime(2024, 1, 20)
@@ -214,3 +217,92 @@ def test_listing_dates_replace_article_dates(spark):
     assert got == {"a": None, "b": datetime(2024, 1, 3), "c": own}
     got = read(joins.listing_date(articles, joins.last_listing_dates(listed, skip_null=True)))
     assert got == {"a": datetime(2024, 1, 1), "b": datetime(2024, 1, 3), "c": own}
+
+
+def replay_loop(group, rule, historical):
+    """One listing read page by page, as a plain loop."""
+    limit = 500 if historical and rule.max_articles and rule.deeper else rule.max_articles
+    most_empty = 10 if historical and rule.empty_pages and not rule.first_older else rule.empty_pages
+    found, run_empty, run_old, read, seen = [], 0, 0, 0, set()
+    for number, page in by_page(group):
+        if rule.max_pages and number > rule.max_pages:
+            break
+        if limit and rule.page_size and number > -(-limit // rule.page_size):
+            break
+        links = [r for r in page if r[4] is not None]
+        if not links and rule.empty_page_ends:
+            break
+        older, new, newer, fresh = False, 0, False, []
+        for row in links:
+            if rule.first_older and row[5] is not None and row[5] < DLO:
+                older = True
+                break
+            if rule.older_batch:
+                if row[4] in seen:
+                    continue
+                seen.add(row[4])
+            fresh.append(row)
+            new += kept(row[5])
+            newer |= row[5] is not None and row[5] > DHI
+        found += fresh
+        read += len(fresh)
+        if older:
+            break
+        if most_empty:
+            counts = links and not new and not (rule.newer_resets and newer)
+            run_empty = run_empty + 1 if counts else 0
+            if run_empty >= most_empty:
+                break
+        dated = [r[5] for r in (fresh if rule.older_batch else links) if r[5] is not None]
+        if rule.old_pages and dated:
+            run_old = run_old + 1 if max(dated) < DLO else 0
+            if run_old >= rule.old_pages:
+                break
+        if rule.older_batch and dated and all(f < DLO for f in dated):
+            break
+        if limit and not rule.page_size and read >= limit:
+            break
+    if rule.whole_last_day:
+        last = DHI + timedelta(days=1, seconds=-1)
+        found = [r for r in found if r[5] is not None and DLO <= r[5] <= last]
+    elif rule.filter_dates:
+        found = [r for r in found if kept(r[5])]
+    first = {}
+    for row in found:
+        first.setdefault(row[4], row)
+    return list(first.values())
+
+
+@pytest.mark.parametrize("historical", [False, True])
+@pytest.mark.parametrize("source", list(LISTINGS))
+def test_replay_of_every_source(spark, source, historical):
+    rows = random_listing(7, sources=3, pages=120, empty_pages=0.03)
+    df = spark.createDataFrame(rows, SCHEMA)
+    rule = LISTINGS[source]
+    expected = [r for g in listings(rows).values() for r in replay_loop(g, rule, historical)]
+    got = replay_source(df, rule, LO, HI, historical)
+    assert as_set(got) == place(expected)
+
+
+def test_every_source_has_its_rules():
+    types = {row[0]: row[3] for row in dimensions.SOURCES}
+    html = {name for name, kind in types.items() if kind in ("html_static", "playwright")}
+    assert html - set(RULES) == {"diariodelsur"}  # an RSS feed
+    assert {name for name, kind in types.items() if kind == "queryly_api"} == set(QUERYLY)
+    assert {name for name, kind in types.items() if kind != "wp_api"} <= set(LISTINGS)
+
+
+@pytest.mark.parametrize(
+    "source, link, shown, expected",
+    [
+        ("elpais", "/cali/nota", "2024-04-22", ("https://www.elpais.com.co/cali/nota", datetime(2024, 4, 22))),
+        ("eluniversal", "/a/2023/b/c", "ene 5, 2023", ("https://www.eluniversal.com.co/a/2023/b/c", datetime(2023, 1, 5))),
+        ("eluniversal", "/a/b", "ene 5, 2023", None),
+        ("vanguardia", "/x", "Apr 22, 2024 10:30 AM", ("https://www.vanguardia.com/x", datetime(2024, 4, 22))),
+    ],
+)
+def test_search_service_sources(spark, source, link, shown, expected):
+    body = '{"items":[{"link":"%s","pubdate":"%s"}],"metadata":{"total":1}}' % (link, shown)
+    payloads = spark.createDataFrame([(1, body)], "page int, body string")
+    got = [(r.link, r.fecha) for r in links_from_payloads(payloads, QUERYLY[source]).collect()]
+    assert got == ([] if expected is None else [expected])
