@@ -19,15 +19,15 @@ def first_per_group(
     """First ``n`` rows of each group in a total order; null keys form one group.
 
     Spark cuts each group to ``n`` rows within every map task before the shuffle.
-    With ``salts`` above one, groups are first cut in that many slices by a hash of
-    the whole row: the best ``n`` of a group are among the best ``n`` of its slices.
+    With ``salts`` above one, groups are first cut in that many slices: the best
+    ``n`` of a group are among the best ``n`` of its slices. A slice is a set of
+    input partitions, so exact copies of a row are spread as well, and a task that
+    runs again puts its rows into the same slice.
     """
     position = "_position"
     if salts > 1:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        df = (
-            _cut(salted, [*keys, "_salt"], order, n, position).drop("_salt")
-        )
+        salted = df.withColumn("_salt", F.spark_partition_id() % salts)
+        df = _cut(salted, [*keys, "_salt"], order, n, position).drop("_salt")
     return _cut(df, keys, order, n, position)
 
 
