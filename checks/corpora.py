@@ -77,6 +77,13 @@ def merge_by_url(spark, sf):
     return merged.select("doc_id", "url", "titulo", shown(), "terminos_encontrado")
 
 
+@query("merge_by_url_salted", with_views(["articles"], _MERGED))
+def merge_by_url_salted(spark, sf):
+    order = [F.col("tema_pos"), *_recent()]
+    merged = dedup.merge_by_url(views.articles(spark, sf), order, salts=16)
+    return merged.select("doc_id", "url", "titulo", shown(), "terminos_encontrado")
+
+
 @query("attach_terms", with_views(["articles"], _MERGED))
 def attach_terms(spark, sf):
     """The same as three separate steps."""

@@ -86,19 +86,35 @@ def attach_terms(df: DataFrame, terms: DataFrame, keys: Sequence[str] = ("url",)
 
 
 def merge_by_url(
-    df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ("url",), term: str = "tema"
+    df: DataFrame,
+    order: Sequence[Column],
+    keys: Sequence[str] = ("url",),
+    term: str = "tema",
+    salts: int = 1,
 ) -> DataFrame:
     """First row and all terms of each URL in one aggregation.
 
     Same result as :func:`dedup_keep_first`, :func:`terms_by_url` and
     :func:`attach_terms` together, with one shuffle instead of three. Groups are
-    combined within each map task, so a URL found many times travels once per task.
+    combined within each map task, so a URL found many times travels once per task;
+    ``salts`` above one combines hot groups in that many slices before.
     """
     payload = [name for name in df.columns if name not in (*keys, term)]
-    merged = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*payload), F.struct(*order)).alias("_first"),
-        joined_terms(F.col(term)).alias("_terms"),
-    )
+    first = F.min_by(F.struct(*payload), F.struct(*order)).alias("_first")
+    if salts > 1:
+        slices = (
+            df.withColumn("_salt", F.spark_partition_id() % salts)
+            .groupBy(*keys, "_salt")
+            .agg(first, F.min(F.struct(*order)).alias("_order"), F.collect_set(term).alias("_set"))
+        )
+        # At most ``salts`` short arrays per group.
+        terms = F.array_distinct(F.flatten(F.collect_list("_set")))
+        merged = slices.groupBy(*keys).agg(
+            F.min_by("_first", "_order").alias("_first"),
+            F.array_join(F.array_sort(terms), ", ").alias("_terms"),
+        )
+    else:
+        merged = df.groupBy(*keys).agg(first, joined_terms(F.col(term)).alias("_terms"))
     return merged.select(
         *keys,
         *[F.col(f"_first.{name}").alias(name) for name in payload],

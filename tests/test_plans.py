@@ -137,3 +137,13 @@ def test_hot_url_gives_the_same_result_with_salt(spark):
     salted = dedup.first_per_group(rows, ["url"], [F.col("n")], n=5, salts=8)
     assert sorted(plain.collect()) == sorted(salted.collect())
     assert plain.filter("url = 'hot'").count() == 5
+
+
+def test_hot_url_merges_the_same_with_salt(spark):
+    rows = spark.range(20000).select(
+        F.when(F.col("id") % 3 != 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("url"),
+        F.col("id").alias("n"), F.concat(F.lit("t"), F.col("id") % 7).alias("tema"),
+    ).repartition(16, "n")
+    plain = dedup.merge_by_url(rows, [-F.col("n")])
+    salted = dedup.merge_by_url(rows, [-F.col("n")], salts=8)
+    assert sorted(plain.collect()) == sorted(salted.collect())
