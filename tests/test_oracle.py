@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, connect
+from checks.registered import ORACLE, QUERIES
 
 # Queries that are empty on the smallest tables only.
 MAY_BE_EMPTY = {"sources_by_region", "select_sources_region", "zero_result_sources"}
@@ -14,14 +15,18 @@ def con(sf_small):
     return connect(sf_small)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, sf_small, con, name):
-    sql = entry.oracle_sql().get(name)
-    assert sql is not None
-    state, rows = compare(spark, sf_small, entry.queries()[name], sql, con)
+    sql = ORACLE[name]
+    state, rows = compare(spark, sf_small, QUERIES[name], sql, con)
     assert state == "ok" or (state == "no rows" and name in MAY_BE_EMPTY), state
 
 
+def test_every_query_is_listed():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert ORACLE.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == [
