@@ -24,7 +24,7 @@ from .common import bounded_batches, empty_if_null, fresh, stored
 
 FIT_ROWS = 20_000
 FIT_WORDS = 200  # most telling words of each category
-LEAST_Z = 4.5  # how many standard errors a word's log odds are from 0
+LEAST_Z = 5.0  # how many standard deviations a word's counts are from chance
 LEAST_TEXTS = 5
 FOLDS = 5
 RIDGE = 1.0
@@ -110,6 +110,10 @@ def _hits(texts: pd.Series, place: dict[str, int]) -> np.ndarray:
     return out
 
 
+def _xlogx(x: Column) -> Column:
+    return F.when(x > 0, x * F.ln(x.cast("double"))).otherwise(0.0)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, categories: Sequence[str],
     doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS,
@@ -152,10 +156,16 @@ def fit(
     )
     words: set[str] = set()
     for y in ys:
-        a, b = F.col(y) + 0.5, F.col("n") - F.col(y) + 0.5
-        c, d = sums[y] - F.col(y) + 0.5, sums["n"] - sums[y] - F.col("n") + F.col(y) + 0.5
-        z = F.ln(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-        best = counts.select("word", F.abs(z).alias("z")).where(F.col("z") >= LEAST_Z)
+        # root of the likelihood ratio of the word's two-by-two table
+        with_word, without = (F.col(y), F.col("n") - F.col(y)), (
+            sums[y] - F.col(y), sums["n"] - sums[y] - F.col("n") + F.col(y))
+        cells = sum(_xlogx(c) for c in (*with_word, *without)) + _xlogx(F.lit(float(sums["n"])))
+        margins = (
+            _xlogx(F.col("n")) + _xlogx(sums["n"] - F.col("n"))
+            + _xlogx(F.lit(sums[y])) + _xlogx(F.lit(sums["n"] - sums[y]))
+        )
+        z = F.sqrt(F.greatest(F.lit(0.0), 2 * (cells - margins)))
+        best = counts.select("word", z.alias("z")).where(F.col("z") >= LEAST_Z)
         words |= {r["word"] for r in best.orderBy(F.desc("z"), "word").limit(FIT_WORDS).collect()}
     place = {w: k for k, w in enumerate(sorted(words))}
 
