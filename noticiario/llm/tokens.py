@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-# A worker forgets the words it has seen when it knows this many (about 100 MB).
-KNOWN_WORDS = 400_000
+# A worker keeps the words of two generations of this many (about 60 MB each).
+KNOWN_WORDS = 300_000
+# Texts are cut into pieces so many characters at a time.
+BATCH_CHARS = 1 << 20
+
+# Texts whose letters change case one by one and have no combining marks.
+_ODD = re.compile("[^\x00-\u024f]|\u0130|<\\|")
+# In such texts, lower-cased: a new piece begins after letters, where something else follows.
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
+_PIECE = re.compile(f"[^ \\n{_LETTERS}]*[{_LETTERS}]+|[^ \\n{_LETTERS}]+")
 
 
 class Encoder:
-    """Encodes texts with a tokenizer of the tokenizers library, word by word.
+    """Encodes texts with a tokenizer of the tokenizers library, piece by piece.
 
-    Exact for tokenizers that never join characters across a blank or a line feed and
-    drop both (``splits_at_blanks`` tells; others get whole texts): the ids of a text
-    are those of its blank-separated pieces in order. Pieces recur, so most are
-    looked up. Special tokens written in a text are recognised as the library does.
+    Exact for tokenizers that lower-case, drop white space, and never join letters with what
+    follows them (``splits_at_blanks`` tells; others get whole texts): the ids of a text are
+    those of its pieces in order. Pieces recur, so most are looked up. A plain text is cut
+    at blanks, line feeds and after letters; one with special tokens, combining marks or
+    letters beyond Latin is cut at blanks and line feeds alone.
     """
 
     def __init__(self, spec: str):
@@ -27,16 +38,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.by_piece = self.splits_at_blanks()
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def splits_at_blanks(self) -> bool:
         """Whether blank-separated pieces can be encoded alone, judged by its parts."""
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
         splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
         split = next((s for s in splitters if s["type"] == "Split"), None)
+        normalizers = json.dumps(spec.get("normalizer"))
         drops = (
-            split is not None and split["behavior"] == "Removed" and split["invert"]
+            '"Lowercase"' in normalizers and "\\\\s+" in normalizers
+            and split is not None and split["behavior"] == "Removed" and split["invert"]
             and r"[^\s\p{L}\p{N}]+" in split["pattern"].get("Regex", "")
             and not any(s.get("add_prefix_space") for s in splitters)
         )
@@ -49,17 +61,37 @@ class Encoder:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _pieces(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return text.replace("\n", " ").split(" ")
+        return _PIECE.findall(text.lower())
+
+    def _learn(self, pieces: list[list[str]]) -> None:
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        new = list({w for p in pieces for w in p if w not in known})
+        if older:
+            known.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in older]
+        known.update(zip(new, self._library(new), strict=True))
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if not self.by_piece:
             return list(self._library(texts))
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = list({w for p in pieces for w in p if w not in known})
-        known.update(zip(new, self._library(new), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and chars < BATCH_CHARS:
+                chars += len(texts[to])
+                to += 1
+            pieces = [self._pieces(t) for t in texts[at:to]]
+            self._learn(pieces)
+            out += [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+            at = to
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
