@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, exact_dedup, html_text, mixing, packing, quality, token_codes, toxicity,
+    chat, exact_dedup, html_text, mixing, near_join, packing, quality, repeats, token_codes,
+    toxicity,
 )
 from .common import stored, table
 
@@ -79,12 +80,26 @@ def mixture_query(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op4_near_join")
+def near_join_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's class of near copies and its number of links."""
+    return near_join.near_classes(table(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"), "class_id", "n_links"
+    )
+
+
 @query("op5_best_fit_packing")
 def packing_query(spark: SparkSession, sf: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query("op6_repeated_windows")
+def repeats_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Words left in each document without the windows that occur elsewhere."""
+    return repeats.digests(table(spark, sf, "documents"))
+
+
 @query("op7_exact_dedup", """
 WITH texts AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -105,8 +120,12 @@ def exact_dedup_query(spark: SparkSession, sf: str) -> DataFrame:
 CATEGORIES = ("low_quality", "toxic")
 
 
+def with_low_quality(labels: DataFrame) -> DataFrame:
+    return labels.withColumn("low_quality", 1 - F.col("quality"))
+
+
 def toxicity_chain(spark: SparkSession, sf: str) -> toxicity.Chain:
-    labels = table(spark, sf, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    labels = with_low_quality(table(spark, sf, "labels"))
     return toxicity.fit(table(spark, sf, "documents"), labels, CATEGORIES)
 
 
