@@ -11,9 +11,9 @@ is lost and few are shuffled.
   it was met twice. The sketch has a fixed largest size (``MOST_CELLS``), below which it
   follows the input; beyond it, more windows pass to the exact step, none fewer.
 * The windows of one anchor form a run. Runs are grouped first, by the hash of all their
-  windows: a run found twice settles all its windows, and copies of whole documents
-  shrink to one run each. What is left is grouped window by window, against one copy of
-  each repeated run.
+  windows: a run found twice settles all its windows. Where different runs have the same
+  anchor, one copy of each is grouped window by window; copies of whole documents never
+  get that far.
 * Windows are compared by two independent 64-bit hashes.
 """
 
@@ -171,7 +171,7 @@ def sketch(docs: DataFrame, window: int, cells: int) -> list[np.ndarray]:
 
 FOUND = (
     "n_words long, kept_sha256 string, text string, "
-    "runs array<struct<start:int,n:int,a:bigint,b:bigint,h:array<bigint>,g:array<bigint>>>"
+    "runs array<struct<start:int,n:int,a:bigint,b:bigint,anchor:bigint>>"
 )
 
 
@@ -213,13 +213,11 @@ def _candidates(window: int, cells: int, merged):
                             np.cumsum(size) - size,
                         ) if len(x) else x
                         keys.append(W.mixed(total + size.astype(U)))
-                    bounds = pa.array(np.append(0, np.cumsum(size)), pa.int32())
                     lists = pa.StructArray.from_arrays(
                         [pa.array((first - w.first[owner]).astype(np.int32)),
                          pa.array(size.astype(np.int32)),
-                         *[pa.array(k.view(np.int64)) for k in keys],
-                         *[pa.ListArray.from_arrays(bounds, pa.array(x.view(np.int64))) for x in (h, g)]],
-                        names=["start", "n", "a", "b", "h", "g"],
+                         *[pa.array(k.view(np.int64)) for k in (*keys, anchors[hit])]],
+                        names=["start", "n", "a", "b", "anchor"],
                     )
                 per_text = np.bincount(owner, minlength=n)
                 if lists is None:
@@ -249,7 +247,7 @@ def _candidates(window: int, cells: int, merged):
 
 RUN = pa.struct([
     ("start", pa.int32()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
-    ("h", pa.list_(pa.int64())), ("g", pa.list_(pa.int64())),
+    ("anchor", pa.int64()),
 ])
 
 
@@ -283,21 +281,27 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> t
         .withColumn("row", F.monotonically_increasing_id()), "repeats",
     )
     runs = found.where(F.size("runs") > 0).select("row", F.explode("runs").alias("r")).select(
-        "row", "r.start", "r.n", "r.a", "r.b"
+        "row", "r.*"
     )
-    counted = runs.groupBy("a", "b").agg(
-        F.count("*").alias("k"), F.min(F.struct("row", "start")).alias("one")
+    counted = stored(runs.groupBy("a", "b").agg(
+        F.count("*").alias("k"), F.first("anchor").alias("anchor"),
+        F.min(F.struct("row", "start", "n")).alias("one"),
+    ), "runs")
+    again = F.col("k") > 1
+    # different runs with one anchor may share windows: one copy of each is compared
+    contested = counted.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    lists = counted.join(contested, "anchor", "left_semi").groupBy("one.row").agg(
+        F.collect_list(F.struct("one.start", "one.n", again.alias("again"))).alias("runs")
     )
-    judged = stored(
-        runs.join(counted, ["a", "b"]).select(
-            "row", "start", "n", (F.col("k") > 1).alias("again"),
-            (F.struct("row", "start") == F.col("one")).alias("one"),
-        ), "runs",
+    windows = stored(
+        found.select("row", "text").join(lists, "row").mapInArrow(
+            _window_hashes(window), "row long, start int, again boolean, h long, g long"
+        ), "windows",
     )
-    # windows of runs met once, against one copy of each run met more often
-    windows = _windows(found, judged)
-    twice = windows.groupBy("h", "g").agg(F.count("*").alias("k")).where("k > 1").select("h", "g")
-    spans = judged.where("again").select("row", "start", "n").unionByName(
+    twice = windows.groupBy("h", "g").agg(F.count("*").alias("k")).where("k > 1")
+    spans = runs.join(counted.where(again), ["a", "b"], "left_semi").select(
+        "row", "start", "n"
+    ).unionByName(
         windows.where(~F.col("again")).join(twice, ["h", "g"], "left_semi").select(
             "row", "start", F.lit(1).alias("n")
         )
@@ -307,16 +311,31 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> t
     )
 
 
-def _windows(found: DataFrame, judged: DataFrame) -> DataFrame:
-    """``row, start, again, h, g``: windows of one copy of each run."""
-    return (
-        found.where(F.size("runs") > 0).select("row", F.explode("runs").alias("r"))
-        .select("row", "r.start", "r.h", "r.g")
-        .join(judged.where("one").select("row", "start", "again"), ["row", "start"])
-        .select("row", "start", "again", F.posexplode(F.arrays_zip("h", "g")).alias("k", "x"))
-        .select("row", (F.col("start") + F.col("k")).alias("start"), "again",
-                F.col("x.h").alias("h"), F.col("x.g").alias("g"))
-    )
+def _window_hashes(window: int):
+    """Hashes of the windows of given runs of a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("runs")
+            for at, to, w in W.chunks(batch.column("text")):
+                part = lists.slice(at, to - at)
+                each = part.flatten()
+                counts = np.diff(part.offsets.to_numpy())
+                n = each.field("n").to_numpy().astype(np.int64)
+                start = each.field("start").to_numpy().astype(np.int64)
+                total = np.cumsum(n)
+                shift = np.arange(total[-1] if len(n) else 0) - np.repeat(total - n, n)
+                first = np.repeat(w.first, counts)
+                place = np.repeat(first + start, n) + shift
+                h, g = (w.gram_hashes(w.hashes(seed), window, seed)[place] for seed in (0, 1))
+                rows = batch.column("row").slice(at, to - at).to_numpy()
+                again = each.field("again").to_numpy(zero_copy_only=False).astype(bool)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(np.repeat(rows, counts), n)),
+                    pa.array((np.repeat(start, n) + shift).astype(np.int32)),
+                    pa.array(np.repeat(again, n)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)),
+                ], names=["row", "start", "again", "h", "g"])
+
+    return run
 
 
 def _finished(found: DataFrame, spans: DataFrame, apply, result: str) -> DataFrame:
