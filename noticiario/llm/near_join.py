@@ -275,9 +275,10 @@ def near_classes(
         clusters.join(sizes, "cluster").join(classes.select("class", "id", "copies"), "class"),
         "members",
     )
-    # the texts of the members, fetched once
+    # the texts of the members, fetched once; by a shuffle however few they are, so that
+    # the plan and its growth are the same at every size
     sent = asked.join(
-        members.withColumnRenamed("id", "member"), F.col("id").eqNullSafe(F.col("member"))
+        members.withColumnRenamed("id", "member").hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("member"))
     ).select("text", "class", "cluster", "copies", "size")
     blocks = F.ceil(F.col("size") / CLUSTER_BLOCK).cast("int")
     grams = (
