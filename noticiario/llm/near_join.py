@@ -338,10 +338,15 @@ def keep_one(
     ranked = kept.select(
         F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")
     )
-    classes = near_classes(ranked, n, threshold, "row")
-    best = (
-        classes.join(ranked.select(F.col("row").alias("id"), "doc_id"), "id").groupBy("class_id")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"))
-        .select(F.col("best.id").alias(row))
+    placed = stored(
+        near_classes(ranked, n, threshold, "row")
+        .join(ranked.select(F.col("row").alias("id"), "doc_id"), "id").select("class_id", "id", "doc_id"),
+        "placed",
     )
-    return kept.join(best, row, "left_semi").drop(row)
+    best = placed.groupBy("class_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"),
+        F.count("*").alias("n"),
+    ).where("n > 1")
+    # those that go are far fewer than those that stay
+    gone = placed.join(best, "class_id").where(F.col("id") != F.col("best.id"))
+    return kept.join(gone.select(F.col("id").alias(row)), row, "left_anti").drop(row)
