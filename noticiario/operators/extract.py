@@ -169,19 +169,25 @@ ENTITIES = {
 def _decoded(name: Column) -> Column:
     """Character of a reference without its ``&`` and ``;``, null if unknown."""
     table = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
-    digits = F.substring(name, 2, 5)
-    numeric = F.decode(F.unhex(F.lpad(F.hex(digits.try_cast("int")), 4, "0")), "UTF-16BE")
+    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+    code = F.when(
+        hexadecimal, F.conv(F.substring(name, 3, 8), 16, 10).try_cast("long")
+    ).otherwise(F.substring(name, 2, 9).try_cast("long"))
+    # halves of surrogate pairs and numbers beyond Unicode are no characters
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    digits = F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")
+    numeric = F.decode(F.unhex(digits), "UTF-32")
     return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table, name))
 
 
 def unescape(col: Column) -> Column:
-    """Decode named and decimal character references.
+    """Decode named, decimal and hexadecimal character references.
 
     The references a text holds are found in one pass, and each distinct one is
     replaced once. The ampersand comes last, so nothing is decoded twice.
     """
     found = F.array_distinct(
-        F.regexp_extract_all(col, F.lit(r"&(#\d{1,5}|[A-Za-z]{2,8});"), F.lit(1))
+        F.regexp_extract_all(col, F.lit(r"&(#\d{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z]{2,8});"), F.lit(1))
     )
     others = F.filter(found, lambda name: ~name.isin("amp", "#38"))
     text = F.aggregate(

@@ -148,3 +148,17 @@ def test_unwrap_decodes_script_escapes(spark):
     body = df.select(readers.unwrap_jsonp(F.col("raw")).alias("body"))
     row = readers.read_queryly(body, ["es_as_en"]).first()
     assert (row.link, row.fecha, row.total) == ("/a/b", D(2023, 1, 5), 7)
+
+
+def test_references_never_fail(spark):
+    from pyspark.sql import functions as F
+
+    from noticiario.operators.extract import unescape
+
+    cases = {
+        "&#55357;&#56832; x": "�� x", "&#65536;": "\U00010000", "&#128512;": "😀",
+        "&#x27;&#X1f600;": "'😀", "&#999999999;": "�", "&#0;&#xFFFFFFFF;": "��",
+        "&#233;&eacute;&amp;#39;": "éé&#39;", "&bogus;": "&bogus;", "plain": "plain",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    assert {r.t: r.u for r in df.select("t", unescape(F.col("t")).alias("u")).collect()} == cases
