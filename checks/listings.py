@@ -323,12 +323,11 @@ def stop_at_empty_page(spark, sf):
 @query(
     "replay_source",
     with_views(["listing"], "").rstrip()
-    + f""", capped AS (SELECT * FROM listing WHERE page <= ceil(5000 / 20)),
-    places AS (SELECT c.* FROM capped c LEFT JOIN (SELECT periodico, termino, min((page, pos)) AS place FROM capped
+    + f""", places AS (SELECT c.* FROM listing c LEFT JOIN (SELECT periodico, termino, min((page, pos)) AS place FROM listing
         WHERE {_OLDER} GROUP BY ALL) p USING (periodico, termino) WHERE place IS NULL OR (c.page, c.pos) < place)
     SELECT {_COLUMNS} FROM places WHERE {_KEPT}
     QUALIFY row_number() OVER (PARTITION BY periodico, termino, link ORDER BY page, pos) = 1""",
 )
 def replay_source_query(spark, sf):
-    rule = ListingRule(first_older=True, max_articles=5000, page_size=20)
+    rule = ListingRule(first_older=True)
     return columns(replay_source(views.listing(spark, sf), rule, LIST_LO, LIST_HI))

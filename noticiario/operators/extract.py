@@ -49,20 +49,22 @@ class ExtractRule:
 
 
 def tag_with_class(tag: str, *names: str) -> str:
-    """Pattern: opening tag whose class attribute holds all ``names``."""
-    held = "".join(rf'(?=[^>]*\bclass="[^"]*{name})' for name in names)
-    return rf"<{tag}\b{held}[^>]*>"
+    """Pattern: opening tag whose class attribute holds all ``names`` as whole classes."""
+    held = "".join(
+        rf"""(?=[^>]*\bclass\s*=\s*["'](?:[^"'>]*\s)?{name}[\s"'])""" for name in names
+    )
+    return rf"(?i:<{tag}\b){held}[^>]*>"
 
 
 def href_of(mark: str = "") -> str:
     """Pattern: address of the first anchor that carries ``mark`` in its tag."""
     held = rf"(?=[^>]*{mark})" if mark else ""
-    return rf'<a\b{held}[^>]*?\bhref="([^"]*)"'
+    return rf"""(?i:<a\b){held}[^>]*?(?i:\bhref\s*=\s*)["']([^"'>]*)["']"""
 
 
 def href_inside(tag: str, name: str) -> str:
     """Pattern: address of the first anchor after an opening tag of that class."""
-    return rf'(?s){tag_with_class(tag, name)}.*?<a\b[^>]*?\bhref="([^"]*)"'
+    return rf"(?s){tag_with_class(tag, name)}.*?{href_of()}"
 
 
 def text_inside(tag: str, mark: str) -> str:
@@ -73,7 +75,7 @@ def text_inside(tag: str, mark: str) -> str:
 def time_attribute(mark: str = "") -> str:
     """Pattern: ``datetime`` of the first time element that carries ``mark``."""
     held = rf"(?=[^>]*{mark})" if mark else ""
-    return rf'<time\b{held}[^>]*?\bdatetime="([^"]*)"'
+    return rf"""(?i:<time\b){held}[^>]*?(?i:\bdatetime\s*=\s*)["']([^"'>]*)["']"""
 
 
 def _split_at(html: Column, item: str) -> Column:
@@ -209,14 +211,30 @@ _DROPPED = (
 _BREAKS = r"(?i)<(?:br\s*/?|/(?:p|div|li|h[1-6]|tr|section|article|blockquote))>"
 
 
+# Opening and closing of what is dropped.
+_FURNITURE = [("!--", "-->")] + [
+    (rf"{name}\b", f"</{name}>")
+    for name in ("script", "style", "nav", "header", "footer", "aside", "form")
+]
+
+
 def page_title(html: Column) -> Column:
     """Content of the title element, references kept."""
-    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    closed = F.regexp_extract(html, r"(?is)^.*</title>", 0)
+    return F.regexp_extract(closed, r"(?is)<title\b[^<>]*>(.*?)</title>", 1)
 
 
 def without_furniture(html: Column) -> Column:
-    """The page without comments, scripts, styles, navigation and the like."""
-    return F.regexp_replace(html, _DROPPED, " ")
+    """The page without comments, scripts, styles, navigation and the like.
+
+    Openings behind the last closing of their kind are marked first, so that no search
+    for an end runs in vain and the work grows with the page alone. They stay as markup.
+    """
+    for opening, closing in _FURNITURE:
+        html = F.regexp_replace(
+            html, rf"(?is)^(.*{closing})|(<)(?={opening})", "$1$2" + _MARK
+        )
+    return F.replace(F.regexp_replace(html, _DROPPED, " "), F.lit(_MARK), F.lit(""))
 
 
 def element(html: Column, name: str) -> Column:
@@ -227,7 +245,8 @@ def element(html: Column, name: str) -> Column:
 def strip_markup(html: Column) -> Column:
     """Markup as text, with line ends at paragraph ends and references kept."""
     lines = F.regexp_replace(F.regexp_replace(html, r"\s+", " "), _BREAKS, "\n")
-    return F.regexp_replace(lines, r"<[^>]*>", "")
+    # behind an opening that nothing closes there is no more markup
+    return F.regexp_replace(lines, r"(?s)<[^>]*>|(<.*)$", "$1")
 
 
 def squeeze(text: Column) -> Column:
@@ -240,10 +259,10 @@ def page_date(html: Column) -> Column:
     """Publication date in UTC from the page metadata, else from a time element."""
     meta = F.regexp_extract(
         html,
-        r'(?i)<meta\b(?=[^>]*(?:article:published_time|datePublished|"date"))[^>]*?\bcontent="([^"]*)"',
+        r'(?i)<meta\b(?=[^<>]*(?:article:published_time|datePublished|"date"))[^<>]*?\bcontent="([^"<>]*)"',
         1,
     )
-    time = F.regexp_extract(html, r'(?i)<time\b[^>]*?\bdatetime="([^"]*)"', 1)
+    time = F.regexp_extract(html, r'(?i)<time\b[^<>]*?\bdatetime="([^"<>]*)"', 1)
     return dates.to_utc_naive(F.coalesce(F.nullif(meta, F.lit("")), F.nullif(time, F.lit(""))))
 
 

@@ -19,20 +19,23 @@ def listing_place() -> Column:
 
 
 def last_listing_dates(
-    listing: DataFrame, keys: Sequence[str] = ("periodico", "link"), skip_null: bool = False
+    listing: DataFrame, keys: Sequence[str] = ("periodico", "termino", "link"), skip_null: bool = False
 ) -> DataFrame:
-    """One date per link: that of its last listing row.
+    """One date per link: that of its last listing row, for each search by itself.
+
+    Of rows at the same place the latest date counts, so input order never matters.
 
     With ``skip_null`` rows without a date never replace an earlier date, and a
     link without any dated row is absent.
     """
     rows = listing.filter(F.col("fecha").isNotNull()) if skip_null else listing
     # A null date is kept if it is the last one.
-    return rows.groupBy(*keys).agg(F.max_by("fecha", listing_place()).alias("fecha_listado"))
+    last = F.max(F.struct(listing_place().alias("place"), "fecha")).alias("_last")
+    return rows.groupBy(*keys).agg(last).select(*keys, F.col("_last.fecha").alias("fecha_listado"))
 
 
 def listing_date(
-    articles: DataFrame, listed: DataFrame, keys: Sequence[str] = ("periodico", "link")
+    articles: DataFrame, listed: DataFrame, keys: Sequence[str] = ("periodico", "termino", "link")
 ) -> DataFrame:
     """Replace article dates by listing dates where the link was listed.
 

@@ -160,13 +160,16 @@ def error_totals(errors: DataFrame) -> DataFrame:
 # Fixed values of the health check.
 STATUSES = ["OK", "Lento", "Sin_resultados", "Roto"]
 SLOW_FROM_SECONDS = 60
+HEALTH_DAYS = 90
 
 
-def health_status(runs: DataFrame, slow_from: float = SLOW_FROM_SECONDS) -> DataFrame:
+def health_status(
+    runs: DataFrame, slow_from: float = SLOW_FROM_SECONDS, days: int = HEALTH_DAYS
+) -> DataFrame:
     """Add ``status`` and ``error`` to run records.
 
     ``runs``: ``id, termino, arts, tiempo_s, tipo, http_status, failure``. A run
-    that failed is broken whatever it counted.
+    that failed is broken whatever it counted. ``days`` is the window the runs covered.
     """
     failed = F.col("failure").isNotNull()
     reachable = F.coalesce(F.col("http_status").between(200, 399), F.lit(False))
@@ -184,7 +187,7 @@ def health_status(runs: DataFrame, slow_from: float = SLOW_FROM_SECONDS) -> Data
         .when(
             reachable,
             F.concat(
-                F.lit("0 arts en 90 días para '"), F.col("termino"),
+                F.lit(f"0 arts en {days} días para '"), F.col("termino"),
                 F.lit("' (sitio HTTP "), shown, F.lit(" OK)"),
             ),
         )

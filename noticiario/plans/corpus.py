@@ -30,14 +30,10 @@ from noticiario.sources.registry import BACKUP, LOCAL, STAND_IN, search_terms
 from noticiario.sources.writers import existing_corpus, resume_plan, write_corpus
 
 # How an intermediate result that is read twice is kept: a function of the frame.
-# The default recomputes it; :func:`shared_table` stores it once.
+# Stored once by default, so that candidates and their texts are scanned once.
 Settle = Callable[[DataFrame], DataFrame]
 
 
-def _recompute(df: DataFrame) -> DataFrame:
-    return df
-
-
 def match_plan(
     candidates: DataFrame, plan: DataFrame, lo: str | None = None, hi: str | None = None
 ) -> DataFrame:
@@ -95,7 +91,7 @@ def search_sources(
     plan: DataFrame,
     lo: str | None = None,
     hi: str | None = None,
-    settle: Settle = _recompute,
+    settle: Settle = shared_table,
 ) -> DataFrame:
     """Articles of every search of the plan: canonical columns and their search.
 
@@ -113,7 +109,7 @@ def search_topics(
     lo: str | None = None,
     hi: str | None = None,
     tie: Sequence[str] = ("fuente", "titulo"),
-    settle: Settle = _recompute,
+    settle: Settle = shared_table,
 ) -> DataFrame:
     """All topics of each department merged: one row per URL with its terms."""
     found = search_sources(candidates, plan, lo, hi, settle)
@@ -135,7 +131,7 @@ def municipality_corpus(
     hi: str | None = None,
     fallback: str | None = FALLBACK,
     tie: Sequence[str] = ("fuente", "titulo"),
-    settle: Settle = _recompute,
+    settle: Settle = shared_table,
 ) -> DataFrame:
     """Merged topics of each municipality, searched in the given sources.
 
@@ -192,7 +188,7 @@ def department_corpus(
     min_articles: int = MIN_ARTICLES,
     use_backup: bool = True,
     tie: Sequence[str] = ("fuente", "titulo"),
-    settle: Settle = _recompute,
+    settle: Settle = shared_table,
 ) -> DataFrame:
     """Corpus of every department of the plan, topped up where it is thin.
 

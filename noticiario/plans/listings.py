@@ -13,10 +13,8 @@ from noticiario.operators.dedup import dedup_links
 from noticiario.operators.extract import extract_articles
 from noticiario.operators.filters import filter_date_range
 from noticiario.operators.joins import last_listing_dates
-from noticiario.session import is_small
 from noticiario.sources.readers import read_queryly
 from noticiario.sources.rules import (
-    HISTORICAL_ARTICLES,
     HISTORICAL_EMPTY_PAGES,
     ListingRule,
     QuerylyRule,
@@ -43,19 +41,14 @@ def replay_source(
     """Kept links of the listings of one source, each once at its first place.
 
     ``listing`` holds all stored rows, a page without links being one row whose
-    link is null. Pages are counted from 1. ``historical`` applies the deeper
-    limits of runs over past years.
+    link is null. Pages are counted from 1. ``historical`` reads on
+    over more pages without new articles, as runs over past years do.
     """
-    articles, empty_pages = rule.max_articles, rule.empty_pages
-    if historical:
-        articles = HISTORICAL_ARTICLES if articles and rule.deeper else articles
-        empty_pages = HISTORICAL_EMPTY_PAGES if empty_pages and not rule.first_older else empty_pages
+    empty_pages = rule.empty_pages
+    if historical and empty_pages and not rule.first_older:
+        empty_pages = HISTORICAL_EMPTY_PAGES
 
     rows = listing
-    if rule.max_pages:
-        rows = rows.filter(F.col("page") <= rule.max_pages)
-    if articles and rule.page_size:
-        rows = steps.cap_pages(rows, articles, rule.page_size)
     if rule.first_older:
         rows = steps.cut_at_first_older(rows, lo, F.col("link").isNotNull(), keys)
     if empty_pages:
@@ -69,8 +62,6 @@ def replay_source(
         rows = steps.stop_after_old_pages(rows, lo, rule.old_pages, keys)
     if rule.older_batch:
         rows = steps.stop_batch_all_older(rows, lo, keys)
-    if articles and not rule.page_size:
-        rows = steps.stop_after_articles(rows, articles, keys)
     if rule.whole_last_day or not rule.keep_undated:
         rows = filter_date_range(rows, lo, hi, keep_null=rule.keep_undated)
     elif rule.filter_dates:
@@ -95,12 +86,9 @@ def candidates_from_pages(
     listed = last_listing_dates(listing, [*keys, "link"]).withColumn("_listed", F.lit(True))
     dated = found.join(listed, [*keys, "link"], "left")
 
-    stored = pages.select("url", "html")
-    wanted = links.select(F.col("link").alias("url"))
-    if is_small(wanted):
-        # Spares parsing pages nobody asked for.
-        stored = stored.join(F.broadcast(wanted), "url", "left_semi")
-    articles = extract_articles(stored)
+    # Parsing never fails, so pages nobody asked for do no harm; Spark may spare them by
+    # pushing a filter of the wanted links below the parsing.
+    articles = extract_articles(pages.select("url", "html"))
     fecha = F.when(F.col("_listed"), F.col("fecha_listado")).otherwise(F.col("fecha"))
     return dated.join(articles, F.col("link") == F.col("url")).select(
         *keys, "titulo", fecha.alias("fecha"), "texto", "url"

@@ -92,11 +92,41 @@ ROUTING = {
     "San Andrés y Providencia": ["eltiempo"],
 }
 
-# Departments with three required mentions; all others of ROUTING need two, and a
-# department outside ROUTING three.
-THREE_MENTIONS = [
-    "Antioquia", "Cundinamarca", "Valle del Cauca", "Atlántico", "Bolívar", "Santander",
-]
+# Department -> mentions it requires; a department that is not listed needs three.
+MIN_MENTIONS = {
+    "Antioquia": 3,
+    "Cundinamarca": 3,
+    "Valle del Cauca": 3,
+    "Atlántico": 3,
+    "Bolívar": 3,
+    "Santander": 3,
+    "Risaralda": 2,
+    "Caldas": 2,
+    "Quindío": 2,
+    "Nariño": 2,
+    "Cauca": 2,
+    "Chocó": 2,
+    "Meta": 2,
+    "Casanare": 2,
+    "Arauca": 2,
+    "Vichada": 2,
+    "Putumayo": 2,
+    "Cesar": 2,
+    "Córdoba": 2,
+    "Sucre": 2,
+    "Norte de Santander": 2,
+    "Magdalena": 2,
+    "Boyacá": 2,
+    "Tolima": 2,
+    "Huila": 2,
+    "La Guajira": 2,
+    "Caquetá": 2,
+    "Guaviare": 2,
+    "Amazonas": 2,
+    "Guainía": 2,
+    "Vaupés": 2,
+    "San Andrés y Providencia": 2,
+}
 
 # Run groups in order.
 GROUPS = [
@@ -131,10 +161,7 @@ def routing_table(spark: SparkSession, routing: dict[str, list[str]] = ROUTING)
 
 
 def thresholds_table(spark: SparkSession) -> DataFrame:
-    rows = [
-        {"departamento": name, "min_menciones": 3 if name in THREE_MENTIONS else 2}
-        for name in ROUTING
-    ]
+    rows = [{"departamento": name, "min_menciones": n} for name, n in MIN_MENTIONS.items()]
     return local_table(spark, rows, pa.schema([("departamento", _S), ("min_menciones", _I)]))
 
 

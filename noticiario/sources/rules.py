@@ -154,11 +154,9 @@ QUERYLY = {
 
 @dataclass(frozen=True)
 class ListingRule:
-    """Which part of a source's listing counts.
+    """Which part of a source's listing counts, by its dates and its empty pages.
 
-    ``max_articles`` limits whole pages: by ``page_size`` where the site states a
-    total, else by the rows that were read. ``deeper`` tells whether a historical
-    run changes the limit.
+    Stored rows are never dropped for their number.
     """
 
     filter_dates: bool = True
@@ -170,13 +168,9 @@ class ListingRule:
     newer_resets: bool = True
     old_pages: int = 0
     older_batch: bool = False
-    max_articles: int = 0
-    page_size: int = 0
-    max_pages: int = 0
-    deeper: bool = True
 
 
-# Listing rules of each source, and the limits of historical runs.
+# Listing rules of each source, and the empty pages of historical runs.
 LISTINGS = {
     "eldiario": ListingRule(first_older=True),
     "elcolombiano": ListingRule(filter_dates=False),
@@ -185,22 +179,19 @@ LISTINGS = {
     "diariooccidente": ListingRule(first_older=True, empty_page_ends=True, empty_pages=3),
     "diariodelsur": ListingRule(first_older=True, empty_page_ends=True),
     "eltiempo": ListingRule(filter_dates=False),
-    "larepublica": ListingRule(filter_dates=False, max_pages=30),
-    "portafolio": ListingRule(max_articles=300, page_size=20),
-    "publimetro": ListingRule(max_articles=300),
-    "las2orillas": ListingRule(max_articles=300, page_size=8, max_pages=30),
-    "elheraldo": ListingRule(keep_undated=False, whole_last_day=True, max_pages=30),
+    "larepublica": ListingRule(filter_dates=False),
+    "portafolio": ListingRule(),
+    "publimetro": ListingRule(),
+    "las2orillas": ListingRule(),
+    "elheraldo": ListingRule(keep_undated=False, whole_last_day=True),
     "eluniversal": ListingRule(old_pages=2, empty_page_ends=True),
     "elpilon": ListingRule(),
-    "elmeridiano": ListingRule(max_pages=30),
-    "vanguardia": ListingRule(max_articles=300, page_size=20, empty_page_ends=True, deeper=False),
-    "tronchandosinfronteras": ListingRule(
-        empty_pages=3, newer_resets=False, max_articles=300, page_size=10
-    ),
-    "enlacetelevision": ListingRule(older_batch=True, max_articles=300, max_pages=30),
-    "corrillos": ListingRule(empty_pages=3, max_articles=2000, page_size=10),
+    "elmeridiano": ListingRule(),
+    "vanguardia": ListingRule(empty_page_ends=True),
+    "tronchandosinfronteras": ListingRule(empty_pages=3, newer_resets=False),
+    "enlacetelevision": ListingRule(older_batch=True),
+    "corrillos": ListingRule(empty_pages=3),
 }
 # Sources of type wp_api ask their interface for the date range and are read whole.
 WHOLE_LISTING = ListingRule(filter_dates=False)
 HISTORICAL_EMPTY_PAGES = 10
-HISTORICAL_ARTICLES = 500

@@ -162,3 +162,28 @@ def test_references_never_fail(spark):
     }
     df = spark.createDataFrame([(c,) for c in cases], "t string")
     assert {r.t: r.u for r in df.select("t", unescape(F.col("t")).alias("u")).collect()} == cases
+
+
+def links_of(spark, source, html):
+    pages = spark.createDataFrame([(html,)], "html string")
+    return [r.link for r in extract_links(pages, RULES[source], now="2026-01-01 00:00:00").orderBy("pos").collect()]
+
+
+def test_classes_are_whole_and_quotes_of_both_kinds(spark):
+    html = """<article class="c-article-list-x"><a class="page-link" href="/no">x</a></article>
+      <ARTICLE CLASS='x c-article'><A class='page-link' HREF='/si'>x</A></ARTICLE>""".replace("CLASS", "class")
+    assert links_of(spark, "eltiempo", html) == ["https://www.eltiempo.com/si"]
+
+
+@pytest.mark.parametrize("part", ["<script ", "<!-- ", "<title", "< ", "<nav>"])
+def test_unclosed_tags_take_no_time(spark, part):
+    import time
+
+    from noticiario.operators import extract
+
+    html = F.col("html")
+    pages = spark.createDataFrame([(part * (1_000_000 // len(part)),)], "html string")
+    begun = time.time()
+    for column in (extract.without_furniture(html), extract.page_title(html), extract.strip_markup(html)):
+        pages.select(F.length(column)).collect()
+    assert time.time() - begun < 10

@@ -210,7 +210,8 @@ def test_listing_dates_replace_article_dates(spark):
     listed = spark.createDataFrame(rows, SCHEMA)
     own = datetime(2023, 5, 5)
     articles = spark.createDataFrame(
-        [("p", x, own) for x in "abc"], "periodico string, link string, fecha timestamp"
+        [("p", "t", x, own) for x in "abc"],
+        "periodico string, termino string, link string, fecha timestamp",
     )
     read = lambda df: {r.link: r.fecha for r in df.collect()}
     got = read(joins.listing_date(articles, joins.last_listing_dates(listed)))
@@ -219,16 +220,27 @@ def test_listing_dates_replace_article_dates(spark):
     assert got == {"a": datetime(2024, 1, 1), "b": datetime(2024, 1, 3), "c": own}
 
 
+def test_listing_dates_belong_to_their_search(spark):
+    days = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    rows = [("p", "t", 1, 0, "a", days[0]), ("p", "u", 1, 0, "a", days[1]), ("p", "u", 1, 0, "a", days[2])]
+    for parts in (1, 3):
+        listed = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        got = {r.termino: r.fecha_listado for r in joins.last_listing_dates(listed).collect()}
+        assert got == {"t": days[0], "u": days[2]}
+
+
+@pytest.mark.parametrize("source", ["portafolio", "publimetro", "las2orillas", "larepublica", "elmeridiano"])
+def test_rows_are_not_dropped_for_their_number(spark, source):
+    rows = [("p", "t", n // 20 + 1, n % 20, f"l{n}", datetime(2024, 1, 15)) for n in range(5000)]
+    got = replay_source(spark.createDataFrame(rows, SCHEMA), LISTINGS[source], LO, HI)
+    assert got.count() == 5000
+
+
 def replay_loop(group, rule, historical):
     """One listing read page by page, as a plain loop."""
-    limit = 500 if historical and rule.max_articles and rule.deeper else rule.max_articles
     most_empty = 10 if historical and rule.empty_pages and not rule.first_older else rule.empty_pages
-    found, run_empty, run_old, read, seen = [], 0, 0, 0, set()
+    found, run_empty, run_old, seen = [], 0, 0, set()
     for number, page in by_page(group):
-        if rule.max_pages and number > rule.max_pages:
-            break
-        if limit and rule.page_size and number > -(-limit // rule.page_size):
-            break
         links = [r for r in page if r[4] is not None]
         if not links and rule.empty_page_ends:
             break
@@ -245,7 +257,6 @@ def replay_loop(group, rule, historical):
             new += kept(row[5])
             newer |= row[5] is not None and row[5] > DHI
         found += fresh
-        read += len(fresh)
         if older:
             break
         if most_empty:
@@ -260,8 +271,6 @@ def replay_loop(group, rule, historical):
                 break
         if rule.older_batch and dated and all(f < DLO for f in dated):
             break
-        if limit and not rule.page_size and read >= limit:
-            break
     if rule.whole_last_day:
         last = DHI + timedelta(days=1, seconds=-1)
         found = [r for r in found if r[5] is not None and DLO <= r[5] <= last]

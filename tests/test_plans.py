@@ -83,8 +83,7 @@ def test_candidates_are_never_shuffled_before_they_are_filtered(spark, sf_small)
     assert len(wide) == 1
 
 
-def test_pages_are_parsed_before_the_join(spark, sf_small, monkeypatch):
-    monkeypatch.setattr(listing_jobs, "is_small", lambda df: False)
+def test_pages_are_parsed_before_the_join(spark, sf_small):
     pages = views.read(spark, sf_small, "pages")
     links = pages.select(
         F.lit("p").alias("periodico"), F.lit("t").alias("termino"), F.col("page_id").cast("int").alias("page"),
