@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 # Largest optimizer size estimate for which a side may be broadcast.
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
-# Most rows of a configuration table that are fixed in the driver.
-PIN_LIMIT_ROWS = 100_000
-
 # SQL settings every job relies on. All can be changed on a live session.
 SETTINGS = {
     # Article dates are compared as UTC instants.
@@ -73,14 +70,14 @@ def local_table(spark: SparkSession, rows: Sequence[dict], schema: pa.Schema) ->
     return spark.createDataFrame(pa.Table.from_pylist(list(rows), schema=schema))
 
 
-def pin(df: DataFrame, max_rows: int = PIN_LIMIT_ROWS) -> DataFrame:
-    """A configuration table with its content and exact size fixed.
+def pin(df: DataFrame, label: str = "plan") -> DataFrame:
+    """A configuration table with its content and exact size fixed, however large it is.
 
-    Estimates of joined dimensions are far too high to allow a broadcast. At most
-    ``max_rows + 1`` rows are fetched; a larger table is returned as it was.
+    Estimates of joined dimensions are far too high to allow a broadcast, and a plan may
+    depend on a store that is written later. The table is stored in the shared folder;
+    no row goes through the driver.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    return df if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows)
+    return shared_table(df, label)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticiario import schema
-from noticiario.sources.readers import corpus_inventory, read_corpus
+from noticiario.sources.readers import bad_files, corpus_inventory, read_corpus
 from noticiario.session import broadcast_if_small
 
 
@@ -27,25 +27,26 @@ def write_corpus(df: DataFrame, root: str) -> None:
 
 
 def stored_departments(df_inventory: DataFrame, root: str, readable: bool = True) -> DataFrame:
-    """Departments that have stored files; with ``readable``, files that open."""
-    if not readable:
-        found = df_inventory.select("departamento")
-    else:
-        spark = df_inventory.sparkSession
-        # Reads no column data, only file footers and the partition names.
-        found = (
-            read_corpus(spark, root, tolerate_bad=True, row_type=schema.CORPUS)
-            .select("departamento")
-            if not df_inventory.isEmpty()
-            else df_inventory.select("departamento")
+    """Departments that have stored files; with ``readable``, only files that open.
+
+    A department counts as damaged if any of its files opens without giving a row or
+    does not open. File footers and partition names are read, no column data.
+    """
+    found = df_inventory.select("departamento")
+    if readable and not df_inventory.isEmpty():
+        corpus = read_corpus(
+            df_inventory.sparkSession, root, tolerate_bad=True, row_type=schema.CORPUS,
+            with_file=True,
         )
+        damaged = bad_files(df_inventory, corpus).select("departamento")
+        found = found.join(damaged, "departamento", "left_anti")
     return found.filter("departamento IS NOT NULL").distinct()
 
 
 def resume_plan(departments: DataFrame, root: str, force: bool = False) -> DataFrame:
     """Departments of the plan that still have to be built.
 
-    A stored department is skipped unless ``force``; one whose files cannot be
+    A stored department is skipped unless ``force``; one with any file that cannot be
     read is built again.
     """
     if force:

@@ -216,6 +216,9 @@ def test_bad_file_is_reported_and_rebuilt(spark, tmp_path):
     departments = dimensions.departments_table(spark, ["Meta", "Arauca", "Chocó"])
     assert rows(writers.resume_plan(departments, str(root)), "departamento") == [("Arauca",)]
     assert consolidate.consolidate(spark, str(root)).count() == 2
+    # a good file beside a damaged one does not make a department complete
+    (root / "departamento=Meta" / "part-bad.parquet").write_bytes(b"PAR1 cut off")
+    assert rows(writers.resume_plan(departments, str(root)), "departamento") == [("Arauca",), ("Meta",)]
 
 
 def test_missing_columns(spark):

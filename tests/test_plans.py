@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
-from checks import corpora, storage, views
+from checks import corpora, listings, rows, storage, summaries, views  # noqa: F401
+from checks.registered import QUERIES
 from noticiario.operators import dedup, filters, listing
 from noticiario.plans import corpus, listings as listing_jobs
 from noticiario.session import broadcast_if_small, pin, shared_folder, shared_table
@@ -14,7 +14,7 @@ from noticiario.sources import dimensions, readers, writers
 
 # Queries that run jobs of their own while they are built.
 EAGER = {
-    name for name, query in entry.queries().items()
+    name for name, query in QUERIES.items()
     if query.__name__ in vars(storage)
 }
 
@@ -27,9 +27,9 @@ def exchanges(plan):
     return len(re.findall(r"\bExchange hashpartitioning", plan))
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in EAGER])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in EAGER])
 def test_no_slow_operators(spark, sf_small, name):
-    plan = plan_of(entry.queries()[name](spark, sf_small))
+    plan = plan_of(QUERIES[name](spark, sf_small))
     for operator in ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas",
                      "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in plan
@@ -101,10 +101,11 @@ def test_large_sides_are_not_broadcast(spark, sf_small):
     assert broadcast_if_small(small) is not small
 
 
-def test_pin_keeps_large_tables_distributed(spark):
-    df = spark.range(100)
-    assert pin(df, 10) is df
-    assert "LocalTableScan" in plan_of(pin(df, 1000))
+@pytest.mark.parametrize("n", [0, 100, 200_000])
+def test_pin_stores_a_plan_of_any_size(spark, n):
+    fixed = pin(spark.range(n).withColumn("r", F.rand()))
+    assert "Scan parquet" in plan_of(fixed) and fixed.count() == n
+    assert fixed.exceptAll(fixed).isEmpty()
 
 
 def test_shared_table_uses_the_cluster_folder(spark):
