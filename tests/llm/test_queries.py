@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from checks.compare import compare, connect
 
-from noticiario.llm import chat, html_text, queries
+from noticiario.llm import chat, exact_dedup, html_text, queries
 from noticiario.llm.common import table
 
 
@@ -135,3 +135,11 @@ def test_templates_of_a_host_go(spark):
 def test_parsing_is_linear():
     for piece in ("<script ", "<p title=\"", "<!--", "<div>", "</div>", "<p>", "&#x1;", "<a b='"):
         html_text.Page(piece * 20_000)
+
+
+def test_exact_dedup_is_native(spark, sf_small):
+    docs = table(spark, sf_small, "documents")
+    for df in (exact_dedup.membership(docs), exact_dedup.dedup(docs)):
+        plan = df._jdf.queryExecution().toString()
+        for operator in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert operator not in plan
