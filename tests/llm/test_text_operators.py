@@ -312,3 +312,38 @@ def test_toxicity_chain(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, chain).count() == 0
     bare = toxicity.fit(df, known.limit(0), ("junk", "toxic"))
     assert not toxicity.score(odd_docs, bare).where("rejected").count()
+
+
+def test_toxic_stems_of_every_language(spark):
+    """Stems with endless endings: each whole word is too rare to tell anything."""
+    rng = random.Random(3)
+    stems = {"en": "idiotth", "de": "achlich", "fr": "réeux", "es": "boménte"}
+    syllables = ["er", "ung", "ba", "ko", "ti", "lle", "é", "ñu", "sch", "ar", "on", "mi"]
+
+    def made():
+        return "".join(rng.choices(syllables, k=4))
+
+    rows = []
+    for k in range(1200):
+        lang, toxic = list(stems)[k % 4], k // 4 % 6 == 0
+        text = [lang + made() if rng.random() < 0.3 else made() for _ in range(40)]
+        if toxic:
+            text[:5] = [stems[lang] + made() for _ in range(5)]
+        rows.append((k, " ".join(text), lang, int(toxic), int(rng.random() < 0.5)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int, low int")
+    chain = toxicity.fit(df.where("doc_id < 800"), df.select("doc_id", "low", "toxic"), ("low", "toxic"))
+    held = df.where("doc_id >= 800")
+    kept = {r.doc_id for r in toxicity.keep_accepted(held, chain).collect()}
+    for lang in stems:
+        toxic = [r[0] for r in rows[800:] if r[2] == lang and r[3]]
+        clean = [r[0] for r in rows[800:] if r[2] == lang and not r[3]]
+        assert np.mean([k in kept for k in toxic]) < 0.1, lang
+        assert np.mean([k in kept for k in clean]) > 0.97, lang
+
+
+def test_cut_is_chosen_on_predictions():
+    p = np.array([0.4, 0.35, 0.3, 0.2, 0.1])
+    assert 0.2 < toxicity.best_cut(p, np.array([1, 1, 1, 0, 0])) < 0.3
+    # nothing learnt: not everything is rejected
+    assert toxicity.best_cut(np.full(10, 0.1), np.array([1, *[0] * 9])) == toxicity.REJECT
+    assert toxicity.best_cut(p, np.zeros(5)) == toxicity.REJECT
