@@ -3,8 +3,9 @@
 Each page is parsed once. Every block-level element outside the article, and every
 link-heavy container inside it, is hashed with its whole subtree; the pages of a host
 that contain a hash are counted in Spark. Blocks under a subtree that recurs on many
-pages of the host are deleted. Elements that are never content by their tag, role or
-class go as well; of what is left, the article element (else ``main``, else the body) is
+pages of the host are deleted. Elements that are never content by their tag or
+role go as well, and small or link-heavy ones with a class or id that marks boilerplate, but
+never one around the article or most of its text; of what is left, the article element (else ``main``, else the body) is
 the text. Paragraphs of an article are never taken for a template: copies of an
 article on one host stay whole.
 """
@@ -46,7 +47,7 @@ DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert form menu "
     "menubar toolbar".split()
 )
-# Words of a class or id that mark boilerplate.
+# Classes and ids that mark boilerplate, if the element is small or link-heavy.
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie "
     "cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay "
@@ -55,7 +56,8 @@ HINTS = frozenset(
     "pagination pager toolbar login signup search skip".split()
 )
 # Elements that a class cannot mark as boilerplate.
-NOT_HINTED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+NOT_HINTED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+SMALL = 40  # characters of a hinted container that goes whatever its links are
 # What the start of a tag closes, up to the given ancestors.
 _LISTS, _ROWS = ("ul", "ol", "menu"), ("table",)
 CLOSES = {
@@ -83,12 +85,13 @@ HOST = re.compile(r"^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 class _Frame:
     __slots__ = ("tag", "mark", "parts", "dropped", "block", "article", "chars", "linked", "form",
-                 "headings")
+                 "headings", "hinted", "piece")
 
-    def __init__(self, tag, mark, dropped, block, article, headings):
+    def __init__(self, tag, mark, dropped, block, article, headings, hinted=False, piece=0):
         self.tag, self.mark, self.parts, self.dropped = tag, mark, [], dropped
-        self.block, self.article, self.headings = block, article, headings
+        self.block, self.article, self.headings, self.hinted = block, article, headings, hinted
         self.chars = self.linked = 0
+        self.piece = piece
         self.form = tag in ("form", "button", "input", "select")
 
 
@@ -101,7 +104,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _hint(attributes: dict[str, str]) -> bool:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return not HINTS.isdisjoint(re.split(r"[^a-z0-9]+", named))
+    return not HINTS.isdisjoint(named.split())
 
 
 class Page:
@@ -118,10 +121,25 @@ class Page:
         self.pieces: list[str] = []
         self.articles = 0
         self.length: dict[int, int] = {}
+        self.hinted: list[tuple[int, int, int]] = []
         self._read(source)
         while len(self.stack) > 1:
             self._close()
         self._flush()
+        self._drop_hinted()
+
+    def _drop_hinted(self) -> None:
+        """Small or link-heavy hinted elements go, unless they hold most of the text around."""
+        gone: set[int] = set()
+        for first, last, region in self.hinted:
+            inner = self.blocks[first:last]
+            if all(b[1] == region for b in inner) and (
+                2 * sum(len(b[0]) for b in inner) <= self.length.get(region, 0)
+            ):
+                gone.update(range(first, last))
+        for k in sorted(gone, reverse=True):
+            text, region, _ = self.blocks.pop(k)
+            self.length[region] -= len(text)
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -192,10 +210,10 @@ class Page:
         elif tag == "header":
             # an article's own header gives its headings
             dropped, headings = True, article > 0 and not top.dropped
-        elif attributes and not dropped and tag not in NOT_HINTED:
+        elif attributes and not dropped and tag not in NOT_HINTED - {"article"}:
             style = attributes.get("style", "").replace(" ", "").lower()
             dropped = (
-                _hint(attributes) or attributes.get("role", "").lower() in DROPPED_ROLES
+                attributes.get("role", "").lower() in DROPPED_ROLES
                 or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
                 or "display:none" in style or "visibility:hidden" in style
             )
@@ -216,7 +234,10 @@ class Page:
             top.form |= tag == "input"
             return
         mark = f"{tag} {attributes.get('class', '')}"
-        self.stack.append(_Frame(tag, mark, dropped, len(self.blocks), article, headings))
+        hinted = not dropped and tag not in NOT_HINTED and _hint(attributes)
+        self.stack.append(_Frame(
+            tag, mark, dropped, len(self.blocks), article, headings, hinted, len(self.pieces)
+        ))
 
     def _imply(self, closed: tuple[str, ...], within: tuple[str, ...]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -252,6 +273,13 @@ class Page:
         top.chars += f.chars
         top.linked += f.linked
         top.form |= f.form
+        if f.hinted and f.tag not in BLOCK:
+            if len(self.blocks) == f.block and 2 * f.linked >= f.chars:
+                del self.pieces[f.piece :]
+        elif f.hinted and len(self.blocks) > f.block and (
+            2 * f.linked >= f.chars or (f.tag in CONTAINERS and f.chars <= SMALL)
+        ):
+            self.hinted.append((f.block, len(self.blocks), f.article))
         if f.tag not in BLOCK or f.tag in ("html", "body", "main", "article") or not f.chars:
             return
         if f.article and (f.tag not in CONTAINERS or not (f.form or 2 * f.linked >= f.chars)):

@@ -116,6 +116,23 @@ def test_page_parts():
     assert [b[0] for b in html_text.Page("a<p>b</div>c").main()] == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("around", [
+    "<article class='post has-sidebar'>{}</article>", "<article class='comments-open'>{}</article>",
+    "<div class='content-with-sidebar'>{}</div>", "<div class='sidebar'><article>{}</article></div>",
+    "<article class='social'>{}</article>", "<div class='widget'>{}</div>",
+])
+def test_hinted_elements_keep_articles(around):
+    inner = (
+        "<p>First paragraph of the article.</p><section id='related-work'><p>Related work is real.</p>"
+        "</section><p class='social'>A social topic, in a paragraph that is long enough.</p>"
+        "<div class='social'><a>Follow us on all of these many different networks</a></div>"
+    )
+    assert [b[0] for b in html_text.Page(f"<body>{around.format(inner)}</body>").main()] == [
+        "First paragraph of the article.", "Related work is real.",
+        "A social topic, in a paragraph that is long enough.",
+    ]
+
+
 def test_templates_of_a_host_go(spark):
     box = "<div><p>Welcome to our site, read on</p></div>"
     pages = [(k, f"https://x.org/{k}", f"<body>{box}<p>Own text {k}</p>") for k in range(8)]
