@@ -1,13 +1,13 @@
 """Main text of web pages, with the templates of each site removed.
 
-Each page is parsed once. Every block-level element outside the article, and every
-link-heavy container inside it, is hashed with its whole subtree; the pages of a host
-that contain a hash are counted in Spark. Blocks under a subtree that recurs on many
+Each page is parsed once. Every block-level element is hashed with its whole subtree; the
+distinct main texts of a host whose pages contain a hash are counted in Spark, so copies of
+a page count once. Blocks under a subtree that recurs on many
 pages of the host are deleted. Elements that are never content by their tag or
 role go as well, and small or link-heavy ones with a class or id that marks boilerplate, but
 never one around the article or most of its text; of what is left, the article element (else ``main``, else the body) is
-the text. Paragraphs of an article are never taken for a template: copies of an
-article on one host stay whole.
+the text. An element that encloses the chosen article or ``main`` never deletes it, and
+copies of a page on one host stay whole.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, empty_if_null, stored
 
-# A subtree is a template if so many pages of its host have it, and this share of them.
+# A subtree is a template if pages of its host with so many different main texts have it.
 MIN_PAGES = 5
-MIN_SHARE = 0.01
 
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
@@ -84,15 +83,14 @@ HOST = re.compile(r"^\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class _Frame:
-    __slots__ = ("tag", "mark", "parts", "dropped", "block", "article", "chars", "linked", "form",
-                 "headings", "hinted", "piece")
+    __slots__ = ("tag", "mark", "parts", "dropped", "block", "article", "chars", "linked",
+                 "headings", "hinted", "piece", "opens")
 
-    def __init__(self, tag, mark, dropped, block, article, headings, hinted=False, piece=0):
+    def __init__(self, tag, mark, dropped, block, article, headings, hinted=False, piece=0, opens=False):
         self.tag, self.mark, self.parts, self.dropped = tag, mark, [], dropped
         self.block, self.article, self.headings, self.hinted = block, article, headings, hinted
         self.chars = self.linked = 0
-        self.piece = piece
-        self.form = tag in ("form", "button", "input", "select")
+        self.piece, self.opens = piece, opens  # opens: is the article or main element
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -231,12 +229,12 @@ class Page:
             if tag in BLOCK:
                 self._flush()
             top.parts.append(f"<{tag}>")
-            top.form |= tag == "input"
             return
         mark = f"{tag} {attributes.get('class', '')}"
         hinted = not dropped and tag not in NOT_HINTED and _hint(attributes)
         self.stack.append(_Frame(
-            tag, mark, dropped, len(self.blocks), article, headings, hinted, len(self.pieces)
+            tag, mark, dropped, len(self.blocks), article, headings, hinted, len(self.pieces),
+            article != top.article,
         ))
 
     def _imply(self, closed: tuple[str, ...], within: tuple[str, ...]) -> None:
@@ -272,7 +270,6 @@ class Page:
         top.parts.append(digest.hex())
         top.chars += f.chars
         top.linked += f.linked
-        top.form |= f.form
         if f.hinted and f.tag not in BLOCK:
             if len(self.blocks) == f.block and 2 * f.linked >= f.chars:
                 del self.pieces[f.piece :]
@@ -282,12 +279,13 @@ class Page:
             self.hinted.append((f.block, len(self.blocks), f.article))
         if f.tag not in BLOCK or f.tag in ("html", "body", "main", "article") or not f.chars:
             return
-        if f.article and (f.tag not in CONTAINERS or not (f.form or 2 * f.linked >= f.chars)):
+        if f.opens:
             return
         number = int.from_bytes(digest, "little", signed=True)
         self.subtrees.add(number)
         for block in self.blocks[f.block :]:
-            block[2].append(number)
+            if block[1] == f.article:  # else the article begins below this element
+                block[2].append(number)
 
     def main(self) -> list[list]:
         """Blocks of the longest article, else of the main element, else of the body."""
@@ -322,7 +320,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def extract(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html",
-    min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+    min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``; other columns are dropped.
 
@@ -342,12 +340,12 @@ def extract(
             "within array<array<bigint>>, subtrees array<bigint>",
         ).withColumn("page_id", F.col("page_id").cast(pages.schema[page_id].dataType)), "pages",
     )
-    found = parsed.select("host", F.explode("subtrees").alias("subtree"))
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages"))
+    # copies of a page have one content
+    content = F.xxhash64("texts").alias("content")
+    found = parsed.select("host", content, F.explode("subtrees").alias("subtree"))
     templates = (
-        found.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-        .join(sizes, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages"))
-        .select("host", "subtree")
+        found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= min_pages).select("host", "subtree")
     )
     enclosing = F.array_distinct(F.flatten("within"))
     # only pages whose text lies under a counted subtree take part in the join

@@ -149,6 +149,24 @@ def test_templates_of_a_host_go(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_copies_stay_and_notices_go(spark):
+    shapes = {
+        "wrapped": "<body><div id=page><article><p>One</p><p>Two</p></article></div></body>",
+        "main": "<body><div><div role=main><p>One</p><p>Two</p></div></div></body>",
+        "body": "<body><div><p>One</p></div><p>Two</p></body>",
+    }
+    pages = [(n, f"https://{h}.org/?utm_source={k}", page) for n, (h, page) in enumerate(shapes.items())
+             for k in range(9)]
+    # the host's size does not raise the count: a notice on 9 of 1000 pages
+    notice = "<p>This text was shortened for the archive.</p>"
+    pages += [(100 + k, f"https://big.org/{k}", f"<div><article><p>Own {k}</p>{notice if k < 9 else ''}"
+               "</article></div>") for k in range(1000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = html_text.extract(df).collect()
+    assert {r.text for r in got if r.page_id < 100} == {"One\nTwo"}
+    assert all(r.text == f"Own {r.page_id - 100}" for r in got if r.page_id >= 100)
+
+
 def test_parsing_is_linear():
     for piece in ("<script ", "<p title=\"", "<!--", "<div>", "</div>", "<p>", "&#x1;", "<a b='"):
         html_text.Page(piece * 20_000)
