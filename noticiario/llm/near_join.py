@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,10 @@ GRAM = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 RECALL = 0.999
-# Pairs whose signatures agree less than this are not followed: at similarity 0.8 the
-# share of equal values of 100 has a standard deviation of 0.04.
-LEAST_AGREEMENT = 0.58
+VALUES = 100  # of a signature, at least
+# Pairs whose signatures agree by so many standard deviations less than pairs at the
+# threshold are not followed: at similarity 0.8 and 100 values that is below 0.58.
+DEVIATIONS = 5.5
 NODE_BLOCK = 2048  # classes of a node that are compared in one task
 CLUSTER_BLOCK = 512
 U = W.U
@@ -50,6 +52,22 @@ def prefix_depth(
     return 1
 
 
+def tree_count(
+    threshold: float = THRESHOLD, depth: int = 1, trees: int = TREES, recall: float = RECALL
+) -> int:
+    """``trees``, or as many more as pairs at ``threshold`` need for this recall."""
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError(f"no forest finds pairs at {threshold} with recall {recall}")
+    if 1 - (1 - threshold**depth) ** trees >= recall:
+        return trees
+    return math.ceil(math.log(1 - recall) / math.log1p(-(threshold**depth)))
+
+
+def least_agreement(threshold: float, values: int) -> float:
+    """Share of equal values below which a pair is not followed."""
+    return threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / values) - 1e-9
+
+
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_517)
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1), rng.integers(
@@ -111,7 +129,8 @@ def _paths(trees: int, depth: int):
         for batch in batches:
             values = np.frombuffer(
                 b"".join(batch.column("signature").to_pylist()), np.uint32
-            ).reshape(batch.num_rows, trees, depth).astype(U)
+            ).reshape(batch.num_rows, -1)[:, : trees * depth]
+            values = values.reshape(batch.num_rows, trees, depth).astype(U)
             node = np.full(values.shape[:2], 0, dtype=U) + np.arange(trees, dtype=U)
             for d in range(depth):
                 node = W.mixed(node * U(W.WORD_BASE[0]) + values[:, :, d])
@@ -239,10 +258,12 @@ def near_classes(
     spark = docs.sparkSession
     bounded_batches(spark)
     depth = prefix_depth(threshold, TREES, DEPTH, recall)
+    trees = tree_count(threshold, depth, TREES, recall)
+    values = max(VALUES, trees * depth)
     asked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     kind = asked.schema["id"].dataType.simpleString()
     signed = stored(asked.mapInArrow(
-        _signed(n, TREES * depth), f"id {kind}, grams long, class binary, signature binary"
+        _signed(n, values), f"id {kind}, grams long, class binary, signature binary"
     ), "signatures")
     full = signed.where(F.col("class").isNotNull())
     classes = stored(
@@ -254,7 +275,7 @@ def near_classes(
     # trie nodes with two classes or more
     nodes = stored(
         classes.select("class", "grams", "signature").mapInArrow(
-            _paths(TREES, depth), "class binary, grams long, nodes array<bigint>"
+            _paths(trees, depth), "class binary, grams long, nodes array<bigint>"
         ).select("class", F.explode("nodes").alias("node")), "nodes",
     )
     large = nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
@@ -267,7 +288,7 @@ def near_classes(
     )
     groups = F.pmod(F.xxhash64("node", "i", "j"), F.lit(_tasks(spark)))
     links = met.withColumn("grp", groups).groupBy("grp").applyInPandas(
-        _node_links(LEAST_AGREEMENT), "a binary, b binary"
+        _node_links(least_agreement(threshold, values)), "a binary, b binary"
     )
     clusters = components(links, "clusters").toDF("class", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))

@@ -347,3 +347,28 @@ def test_cut_is_chosen_on_predictions():
     # nothing learnt: not everything is rejected
     assert toxicity.best_cut(np.full(10, 0.1), np.array([1, *[0] * 9])) == toxicity.REJECT
     assert toxicity.best_cut(p, np.zeros(5)) == toxicity.REJECT
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.2])
+def test_near_join_at_low_thresholds(spark, threshold):
+    """Separate pairs a little above the threshold, without closer ones to chain them."""
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        own = [f"{k}x{rng.random()}" for _ in range(210)]
+        # of 2 x (m + r) words m are common: similarity m / (m + 2 r)
+        r = int(100 * (1 - threshold) / (2 * threshold)) - 2
+        common, left, right = own[:100], own[100 : 100 + r], [f"{k}y{i}" for i in range(r)]
+        rows += [(2 * k, " ".join(common + left)), (2 * k + 1, " ".join(common + right))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_join.near_classes(df, n=1, threshold=threshold).collect()
+    assert len(got) == 120 and all(g.class_id == g.id // 2 * 2 and g.n_links == 1 for g in got)
+
+
+def test_forest_reaches_the_recall_or_says_so():
+    assert abs(near_join.least_agreement(0.8, 100) - 0.58) < 1e-6
+    for t in (0.05, 0.2, 0.5, 0.8, 1.0):
+        d = near_join.prefix_depth(t)
+        assert 1 - (1 - t**d) ** near_join.tree_count(t, d) >= near_join.RECALL
+    assert near_join.tree_count(0.8, 5) == near_join.TREES
+    with pytest.raises(ValueError):
+        near_join.tree_count(0.0)
