@@ -1,11 +1,11 @@
 """Documents joined by the Jaccard similarity of their word n-grams.
 
 * Documents with the same set of n-grams form a class; classes are joined, not copies.
-* An LSH forest finds candidates. Each tree orders the classes by a path of MinHash
-  values; classes with a common prefix are candidates. Prefixes start at the full depth of
-  the trees and are shortened, level by level, until pairs at the threshold are found with
-  the target recall. In a trie node only classes whose whole signatures look
-  similar enough are linked, each to one that is already linked, so a node of ``m`` classes
+* LSH trees find candidates. A class has a path of MinHash values in each tree; classes with
+  a common prefix are candidates. The prefix is the longest that finds pairs at the threshold
+  with the target recall; it is fixed by formula before data is read, not shortened by what
+  the data shows. In a node only classes whose whole signatures look similar
+  enough are linked, each to one that is already linked, so a node of ``m`` classes
   gives fewer than ``m`` links.
 * Linked classes form clusters. The n-grams of a class are sent to its cluster once, and
   all pairs of a cluster are verified exactly there, by counting common n-grams; large
