@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, exact_dedup, html_text, mixing, near_join, packing, quality, repeats, token_codes,
-    toxicity,
+    chat, exact_dedup, html_text, mixing, near_join, packing, quality, repeats, search,
+    token_codes, toxicity,
 )
 from .common import stored, table
 
@@ -148,3 +148,35 @@ def quality_query(spark: SparkSession, sf: str) -> DataFrame:
 def html_text_query(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of all pages."""
     return html_text.extract(table(spark, sf, "pages"))
+
+
+@query("op11_reversed_search", r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), terms AS (
+  SELECT side, id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM texts
+), counts AS (
+  SELECT side, id, term, count(*) AS tf FROM terms GROUP BY ALL
+), lengths AS (
+  SELECT id, sum(tf)::BIGINT AS n FROM counts WHERE side = 'd' GROUP BY id
+), total AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, total WHERE side = 'd' GROUP BY term
+), scored AS (
+  SELECT i.id AS item_id, d.id AS doc_id,
+    sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT
+      AS score
+  FROM counts i JOIN counts d USING (term) JOIN weights USING (term) JOIN lengths l ON l.id = d.id, total
+  WHERE i.side = 'i' AND d.side = 'd' GROUP BY ALL
+)
+SELECT item_id, row_number() OVER best AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20
+""")
+def search_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of each benchmark item."""
+    return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
