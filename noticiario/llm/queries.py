@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat, exact_dedup, html_text, mixing, near_join, packing, quality, repeats, search,
-    token_codes, toxicity,
+    token_codes, toxicity, whitening,
 )
 from .common import stored, table
 
@@ -180,3 +180,11 @@ WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_nu
 def search_query(spark: SparkSession, sf: str) -> DataFrame:
     """The best documents of each benchmark item."""
     return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_whitening")
+def whitening_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened components of all embeddings; a deviation beyond 64 bits is null."""
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumn(
+        "deviation", F.col("deviation").try_cast("long")
+    )
