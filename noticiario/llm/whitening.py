@@ -174,12 +174,22 @@ def fit(rows: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     ``components`` is cut to the dimension. The driver holds matrices of the squared
     dimension, never rows.
     """
-    entries = rows.select(F.posexplode("x").alias("at", "x"))
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = 0, np.zeros(0, dtype=np.int64)
+        for b in batches:
+            width = max(len(total), int(np.diff(b.column("x").offsets.to_numpy()).max(initial=0)))
+            total = np.pad(total, (0, width - len(total))) + _matrix(b.column("x"), width).sum(axis=0)
+            count += b.num_rows
+        yield pa.RecordBatch.from_pydict({"n": [count], "sums": pa.array([total], pa.list_(pa.int64()))})
+
+    # a row for each task, then one for each dimension
+    counts = stored(rows.select("x").mapInArrow(added, "n long, sums array<long>"), "vector-sums")
+    n = counts.agg(F.sum("n")).first()[0]
     sums = {
-        r["at"]: int(r["s"]) for r in
-        entries.groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s")).collect()
+        r["at"]: int(r["s"]) for r in counts.select(F.posexplode("sums").alias("at", "s"))
+        .groupBy("at").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
     }
-    n, size = rows.count(), max(sums, default=-1) + 1
+    size = max(sums, default=-1) + 1
     if not n or not size:
         return None
     model = Whitener(n, [sums.get(k, 0) for k in range(size)], np.eye(size), np.ones(size), 0.0)
