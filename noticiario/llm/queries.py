@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, exact_dedup, html_text, mixing, near_join, packing, quality, repeats, search,
-    token_codes, toxicity, whitening,
+    chat, exact_dedup, html_text, interpolation, mixing, near_join, packing, quality, repeats,
+    search, token_codes, toxicity, whitening,
 )
 from .common import stored, table
 
@@ -188,3 +188,9 @@ def whitening_query(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings")).withColumn(
         "deviation", F.col("deviation").try_cast("long")
     )
+
+
+@query("op13_interpolated_scores")
+def interpolated_scores_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probabilities of all documents by a model of those not held out."""
+    return interpolation.interpolated_scores(table(spark, sf, "documents"))
