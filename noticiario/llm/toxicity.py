@@ -15,12 +15,12 @@ chooses them); every text is scored whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, empty_if_null, fresh, stored
@@ -29,7 +29,8 @@ FIT_ROWS = 20_000
 FIT_WORDS = 200  # most telling words and parts of each category
 PARTS = (4, 5, 6)  # characters
 UNIT_Z = 5.0  # a word so many standard deviations from chance has the ridge RIDGE
-BATCH_WORDS = 300_000  # words and parts that are counted in a worker before they are sent
+BATCH_WORDS = 100_000  # words and parts that are counted in a worker before they are sent
+BLOCK_ROWS = 1000  # labelled texts whose features are held at once
 FOLDS = 5
 RIDGE = 1.0
 REJECT = 0.5  # without out-of-fold predictions to choose it by
@@ -76,20 +77,52 @@ def _design(hits: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(hits)), hits, earlier])
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = RIDGE) -> np.ndarray:
+class Hits:
+    """0/1 rows, each as the places of its ones; a few rows at a time become dense.
+
+    ``places[starts[i]:starts[i + 1]]`` are those of row ``i``, all below ``width``.
+    """
+
+    def __init__(self, starts: np.ndarray, places: np.ndarray, width: int):
+        self.starts, self.places, self.width = starts, places, width
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def dense(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        where = np.full(self.width, -1)
+        where[columns] = np.arange(len(columns))
+        many = self.starts[rows + 1] - self.starts[rows]
+        row = np.repeat(np.arange(len(rows)), many)
+        at = np.arange(len(row)) + np.repeat(self.starts[rows] - (np.cumsum(many) - many), many)
+        column = where[self.places[at]]
+        out = np.zeros((len(rows), len(columns)))
+        out[row[column >= 0], column[column >= 0]] = 1
+        return out
+
+
+def fit_linear(
+    block: Callable[[np.ndarray], np.ndarray], y: np.ndarray, width: int,
+    ridge: float | np.ndarray = RIDGE,
+) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept is not shrunk.
 
-    ``ridge`` is one number or one for each column of ``x``.
+    ``block(rows)`` gives some rows of the design (``width`` columns), so that never more
+    than ``BLOCK_ROWS`` of them are held. ``ridge`` is one number or one for each column.
     """
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     share = (y.sum() + 0.5) / (len(y) + 1)
     w[0] = np.log(share / (1 - share))
-    penalty = np.full(len(w), ridge)
+    penalty = np.full(width, ridge)
     penalty[0] = 1e-6
     for _ in range(50):
-        p = _sigmoid(x @ w)
-        slope = x.T @ (y - p) - penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for at in range(0, len(y), BLOCK_ROWS):
+            rows = np.arange(at, min(at + BLOCK_ROWS, len(y)))
+            x = block(rows)
+            p = _sigmoid(x @ w)
+            slope += x.T @ (y[rows] - p)
+            curve += (x * (p * (1 - p))[:, None]).T @ x
         step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-8:
@@ -98,7 +131,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = RIDGE)
 
 
 def fit_chain(
-    hits: np.ndarray, labels: np.ndarray, folds: np.ndarray, categories: Sequence[str],
+    hits: Hits, labels: np.ndarray, folds: np.ndarray, categories: Sequence[str],
     words: Sequence[str], z: np.ndarray,
 ) -> Chain:
     """Fit all categories in order; earlier ones enter as out-of-fold probabilities.
@@ -110,18 +143,23 @@ def fit_chain(
     chain = Chain(list(categories), [words[i] for i in used])
     earlier = np.zeros((len(hits), 0))
 
+    def design(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        return _design(hits.dense(rows, columns), earlier[rows])
+
     def fitted(rows: np.ndarray, f: int, k: int, columns: np.ndarray) -> np.ndarray:
         ridge = RIDGE * (UNIT_Z / np.maximum(z[f, k, columns], 1e-3)) ** 2
         ridge = np.concatenate([[0.0], ridge, np.full(k, RIDGE)])
-        return fit_linear(_design(hits[rows][:, columns], earlier[rows]), labels[rows, k], ridge)
+        return fit_linear(lambda some: design(rows[some], columns), labels[rows, k], len(ridge), ridge)
 
     for k in range(len(categories)):
         chain.weights.append(fitted(np.arange(len(hits)), -1, k, used))
         held_out = np.zeros(len(hits))
         for f in np.unique(folds):
-            out, columns = folds == f, np.flatnonzero(z[f].any(axis=0))
-            w = fitted(np.flatnonzero(~out), f, k, columns)
-            held_out[out] = _sigmoid(_design(hits[out][:, columns], earlier[out]) @ w)
+            out, columns = np.flatnonzero(folds == f), np.flatnonzero(z[f].any(axis=0))
+            w = fitted(np.flatnonzero(folds != f), f, k, columns)
+            for at in range(0, len(out), BLOCK_ROWS):
+                rows = out[at : at + BLOCK_ROWS]
+                held_out[rows] = _sigmoid(design(rows, columns) @ w)
         earlier = np.column_stack([earlier, held_out])
     chain.reject = best_cut(earlier[:, -1], labels[:, -1])
     return chain
@@ -229,7 +267,8 @@ def fit(
 ) -> Chain:
     """Fit the chain of ``categories`` (0/1 columns of ``labels``, in this order).
 
-    Labels of a repeated id count as 1 if any is; null labels and ids are left out. Without
+    Labels of a repeated id count as 1 if any is, and of its texts one is used; null labels
+    and ids are left out. Without
     labelled texts, or without words, only the base rates are learnt.
     """
     bounded_batches(docs.sparkSession)
@@ -241,9 +280,12 @@ def fit(
     total = known.count()
     part = min(1.0, fit_rows / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < part * 1_000_000)
+    # of a repeated id one row; the least hash is found before rows are shuffled
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), empty_if_null(f"`{text}`").alias("text"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
     sample = stored(
-        docs.select(F.col(f"`{doc_id}`").alias("id"), empty_if_null(f"`{text}`").alias("text"))
-        .join(chosen, "id").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(FOLDS)))
+        # about fit_rows ids and labels
+        texts.join(F.broadcast(chosen), "id").withColumn("_first", first).where("_first = 1").drop("_first").withColumn("fold", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(FOLDS)))
         .withColumn("key", F.xxhash64(F.monotonically_increasing_id())), "labelled",
     )
     ys = [f"y{k}" for k in range(len(categories))]
@@ -313,17 +355,15 @@ def fit(
         for b in batches:
             yield b[["fold", *ys]].assign(hits=[sorted(places.of(t)) for t in b["text"]])
 
+    # sums in the same order on every run; one row for each labelled text
     rows = sample.select("fold", *ys, "text").mapInPandas(
         found, "fold long, " + ", ".join(f"{y} double" for y in ys) + ", hits array<int>"
-    ).toPandas()
-    rows["hits"] = rows["hits"].map(tuple)
-    rows = rows.sort_values(["fold", *ys, "hits"])  # sums in the same order on every run
-    hits = np.zeros((len(rows), len(words)), dtype=np.float32)
-    for i, h in enumerate(rows["hits"]):
-        hits[i, list(h)] = 1
-    return fit_chain(
-        hits, rows[ys].to_numpy(dtype=float), rows["fold"].to_numpy(), categories, words, strength
-    )
+    ).orderBy("fold", *ys, F.xxhash64("hits")).toArrow().combine_chunks()
+    lists = rows.column("hits").combine_chunks()
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    hits = Hits(starts - starts[0], lists.flatten().to_numpy(), len(words))
+    labels = np.column_stack([rows.column(y).to_numpy() for y in ys])
+    return fit_chain(hits, labels, rows.column("fold").to_numpy(), categories, words, strength)
 
 
 def _probabilities(docs: DataFrame, chain: Chain, text: str) -> Column:

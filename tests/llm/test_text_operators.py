@@ -372,3 +372,35 @@ def test_forest_reaches_the_recall_or_says_so():
     assert near_join.tree_count(0.8, 5) == near_join.TREES
     with pytest.raises(ValueError):
         near_join.tree_count(0.0)
+
+
+def test_blocked_fit_equals_dense_fit(monkeypatch):
+    rng = np.random.default_rng(3)
+    dense = (rng.random((2500, 30)) < 0.1).astype(float)
+    y = (rng.random(2500) < 1 / (1 + np.exp(-(dense @ rng.normal(size=30) - 1)))).astype(float)
+    ridge = rng.random(31) + 0.5
+    x, w = np.column_stack([np.ones(2500), dense]), np.zeros(31)
+    penalty = np.concatenate([[1e-6], ridge[1:]])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w += np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+    row, place = np.nonzero(dense)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=2500))])
+    hits = toxicity.Hits(starts, place.astype(np.int32), 30)
+    some = rng.permutation(2500)[:100]
+    assert (hits.dense(some, np.array([7, 3])) == dense[some][:, [7, 3]]).all()
+    for rows in (1, 999, 5000):
+        monkeypatch.setattr(toxicity, "BLOCK_ROWS", rows)
+        found = toxicity.fit_linear(
+            lambda r: np.column_stack([np.ones(len(r)), hits.dense(r, np.arange(30))]), y, 31, ridge
+        )
+        assert np.abs(found - w).max() < 1e-6
+
+
+def test_one_row_of_a_repeated_labelled_id(spark):
+    rows = [(k, f"{'awful' if k % 4 == 0 else 'fine'} text w{k % 9} w{k % 5}", int(k % 4 == 0)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    hot = df.unionByName(df.where("doc_id = 3").crossJoin(spark.range(20_000)).drop("id"))
+    one, many = toxicity.fit(df, labels, ["toxic"]), toxicity.fit(hot, labels, ["toxic"])
+    assert one.words == many.words and np.allclose(one.weights[0], many.weights[0])
