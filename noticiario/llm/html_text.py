@@ -3,7 +3,9 @@
 Each page is parsed once. Every block-level element is hashed with its whole subtree; the
 distinct main texts of a host whose pages contain a hash are counted in Spark, so copies of
 a page count once. Blocks under a subtree that recurs on many
-pages of the host are deleted. Elements that are never content by their tag or
+pages of the host are deleted. Within the article only a container, or an element with a
+class that marks boilerplate, can be such a template, and only if it holds no more than half
+of the text: headings, paragraphs and items that articles share stay. Elements that are never content by their tag or
 role go as well, and small or link-heavy ones with a class or id that marks boilerplate, but
 never one around the article or most of its text; of what is left, the article element (else ``main``, else the body) is
 the text. An element that encloses the chosen article or ``main`` never deletes it, and
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +28,8 @@ from .common import bounded_batches, empty_if_null, stored
 
 # A subtree is a template if pages of its host with so many different main texts have it.
 MIN_PAGES = 5
+# Rows with a template are broadcast up to so many numbers of 8 bytes, else joined by shuffle.
+BROADCAST_HASHES = 2_000_000
 
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt "
@@ -37,6 +42,8 @@ VOID = frozenset(
 )
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 CONTAINERS = frozenset("aside details div dl figure form menu ol section table ul".split())
+# What can be a template within an article, whatever its class.
+INNER = CONTAINERS | {"blockquote", "figure"}
 DROPPED = frozenset(
     "head script style title textarea iframe noembed noframes xmp noscript template nav footer "
     "aside form button select option input svg math canvas object audio video map dialog menu"
@@ -279,7 +286,9 @@ class Page:
             self.hinted.append((f.block, len(self.blocks), f.article))
         if f.tag not in BLOCK or f.tag in ("html", "body", "main", "article") or not f.chars:
             return
-        if f.opens:
+        if f.opens or len(self.blocks) == f.block:
+            return
+        if f.article and f.tag not in INNER and not f.hinted:
             return
         number = int.from_bytes(digest, "little", signed=True)
         self.subtrees.add(number)
@@ -294,7 +303,15 @@ class Page:
             region = max(articles, key=lambda r: (self.length[r], -r))
         else:
             region = -1 if self.length.get(-1) else 0
-        return [b for b in self.blocks if b[1] == region]
+        found = [b for b in self.blocks if b[1] == region]
+        if region:
+            # what holds most of an article is no template, even where titles differ
+            held = Counter()
+            for text, _, hashes in found:
+                held.update(dict.fromkeys(hashes, len(text)))
+            for b in found:
+                b[2] = [h for h in b[2] if 2 * held[h] <= self.length[region]]
+        return found
 
 
 def host_of(url: str | None) -> str:
@@ -347,24 +364,23 @@ def extract(
         found.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_pages).select("host", "subtree")
     )
-    enclosing = F.array_distinct(F.flatten("within"))
-    # only pages whose text lies under a counted subtree take part in the join
-    bare = F.size(enclosing) == 0
-    hits = (
-        parsed.where(~bare).select("row", "host", F.explode(enclosing).alias("subtree"))
+    # narrow: the rows with a template, and which; texts stay where they are if that is small
+    hits = stored(
+        parsed.select("row", "host", F.explode(F.array_distinct(F.flatten("within"))).alias("subtree"))
         .join(templates, ["host", "subtree"]).groupBy("row")
-        .agg(F.collect_set("subtree").alias("dead"))
+        .agg(F.collect_set("subtree").alias("dead")), "template-rows",
     )
+    many = hits.agg(F.sum(F.size("dead") + 2)).first()[0] or 0
     alive = F.filter(
         F.arrays_zip("texts", "within"),
         lambda b: ~F.arrays_overlap(b["within"], F.col("dead")),
     )
-    kept = parsed.where(~bare).join(hits, "row", "left").withColumn(
+    kept = parsed.join(F.broadcast(hits) if many <= BROADCAST_HASHES else hits, "row", "left").withColumn(
         "texts", F.when(F.col("dead").isNull(), F.col("texts"))
         .otherwise(F.transform(alive, lambda b: b["texts"])),
     )
     columns = ["page_id", "url", F.concat_ws("\n", "texts").alias("text")]
-    return parsed.where(bare).select(*columns).unionByName(kept.select(*columns)).withColumn(
+    return kept.select(*columns).withColumn(
         "n_chars", F.length(empty_if_null("text")).cast("long")
     )
 

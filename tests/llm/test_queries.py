@@ -1,7 +1,9 @@
 """Chat and page operators, the registered queries against SQL, and the pipeline."""
 
 import hashlib
+import html
 import json
+import re
 
 import corpus_pipeline
 import pytest
@@ -149,6 +151,9 @@ def test_templates_of_a_host_go(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+TEXT = " and what the article says at some length"
+
+
 def test_copies_stay_and_notices_go(spark):
     shapes = {
         "wrapped": "<body><div id=page><article><p>One</p><p>Two</p></article></div></body>",
@@ -157,14 +162,54 @@ def test_copies_stay_and_notices_go(spark):
     }
     pages = [(n, f"https://{h}.org/?utm_source={k}", page) for n, (h, page) in enumerate(shapes.items())
              for k in range(9)]
-    # the host's size does not raise the count: a notice on 9 of 1000 pages
-    notice = "<p>This text was shortened for the archive.</p>"
-    pages += [(100 + k, f"https://big.org/{k}", f"<div><article><p>Own {k}</p>{notice if k < 9 else ''}"
+    # the host's size does not raise the count: a boxed notice on 9 of 1000 pages
+    notice = "<div><p>This text was shortened for the archive.</p></div>"
+    pages += [(100 + k, f"https://big.org/{k}", f"<div><article><p>Own {k}{TEXT}</p>{notice if k < 9 else ''}"
                "</article></div>") for k in range(1000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = html_text.extract(df).collect()
     assert {r.text for r in got if r.page_id < 100} == {"One\nTwo"}
-    assert all(r.text == f"Own {r.page_id - 100}" for r in got if r.page_id >= 100)
+    assert all(r.text == f"Own {r.page_id - 100}{TEXT}" for r in got if r.page_id >= 100)
+
+
+def test_article_text_stays_and_boxes_go(spark):
+    """What real articles share stays; a box goes from articles, a plain menu from bodies."""
+    said = "<h2>Background</h2><p>A sentence that many articles share.</p><ul><li>One item</li></ul>"
+    box = "<figure><p>Support our newsroom</p></figure><p class=newsletter>Mail</p>"
+    body = "<div><p>The same report, with another title.</p><p>It is long.</p></div>"
+    menu = "<div><div>Home</div><div>Politics</div></div>"
+    pages = [(k, f"https://a.org/{k}", f"<article><h1>T{k}</h1><p>Own {k} {'x ' * k}</p>{said}{box}</article>")
+             for k in range(12)]
+    pages += [(20 + k, f"https://b.org/{k}", f"<article><h1>T{k}</h1>{body}</article>") for k in range(12)]
+    pages += [(40 + k, f"https://c.org/{k}", f"<body>{menu}<p>Own {k}</p></body>") for k in range(12)]
+    # near copies: one word of a paragraph differs
+    pages += [(60 + k, f"https://d.org/{k}", f"<article><h1>T</h1><p>First.</p><p>Word {k}.</p><p>Last.</p></article>")
+              for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    wanted = {}
+    for k in range(12):
+        wanted[k] = "\n".join([f"T{k}", f"Own {k} {'x ' * k}".strip(), "Background",
+                               "A sentence that many articles share."])
+        wanted[20 + k] = f"T{k}\nThe same report, with another title.\nIt is long."
+        wanted[40 + k] = f"Own {k}"
+        wanted[60 + k] = f"T\nFirst.\nWord {k}.\nLast."
+    for limit in (html_text.BROADCAST_HASHES, 0):
+        html_text.BROADCAST_HASHES, kept = limit, html_text.BROADCAST_HASHES
+        try:
+            assert {r.page_id: r.text for r in html_text.extract(df).collect()} == wanted
+        finally:
+            html_text.BROADCAST_HASHES = kept
+
+
+def test_whole_articles_of_the_given_pages(spark, sf_small):
+    """The given pages hold their text in h1, p and br of one article."""
+    pages = table(spark, sf_small, "pages")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", inner))
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+        assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
 def test_parsing_is_linear():
