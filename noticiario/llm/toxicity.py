@@ -298,7 +298,8 @@ def fit(
                 if len(counter.ids) > BATCH_WORDS:
                     yield counter.counted(b)
                     counter.clear()
-            yield counter.counted(b)
+            if counter.ids:
+                yield counter.counted(b)
 
     sums = {
         r["fold"]: r for r in sample.groupBy("fold")
