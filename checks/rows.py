@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from checks import views
 from checks.registered import query
 from checks.views import HI, LO, SCORE, shown, with_views
-from noticiario.functions import dates, text, urls
+from noticiario.functions import dates, markup, text, urls
 from noticiario.operators import columns, extract, filters
 from noticiario.sources import readers, registry
 from noticiario.sources.dimensions import TOPICS
@@ -325,8 +328,123 @@ def extract_site_listing(spark, sf):
     )
 
 
+# ── Elements with their own ends: one query for each kind of markup ──────────
+
+_DAY_SQL = "strftime(o_orderdate, '%Y-%m-%d') || ' {}' AS fecha"
+
+
+def _site(spark, sf, source, *parts):
+    """Pages written from the orders and read by the rule of ``source``."""
+    orders = views.read(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    pages = orders.select("o_orderkey", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("html"))
+    return extract.extract_links(pages, RULES[source]).withColumn("fecha", shown())
+
+
+@query(
+    "extract_column_listing",
+    """SELECT o_orderkey, 0 AS pos, 'https://www.corrillos.com.co/n/' || o_orderkey AS link,
+      year(o_orderdate) || '-08-13 00:00:00' AS fecha FROM orders
+    UNION ALL SELECT o_orderkey, 2, 'https://www.corrillos.com.co/lado/' || o_orderkey, NULL FROM orders
+      WHERE o_orderkey % 4 = 0""",
+)
+def extract_column_listing(spark, sf):
+    """A column that ends before the side's items; an item without a link takes none."""
+    key = F.col("o_orderkey")
+    return _site(
+        spark, sf, "corrillos", '<body><div class="', F.when(key % 4 == 0, "otra").otherwise("col-md-12 x col-lg-8"),
+        '"><div><article><div><h2 class="post-title"><a href="https://www.corrillos.com.co/n/', key,
+        '">N</a></h2></div><span class="post-meta-date"> agosto 13 de ', F.year("o_orderdate"),
+        '</span></article></div><article><h2 class="post-title">sin enlace</h2></article></div><div><article>'
+        '<h2 class="post-title"><a href="https://www.corrillos.com.co/lado/', key, '">L</a></h2></article></div>',
+    )
+
+
+@query(
+    "extract_innermost_listing",
+    f"SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 1 THEN 1 ELSE 0 END AS INTEGER) AS pos, "
+    f"'https://elpilon.com.co/judicial/' || o_orderkey AS link, {_DAY_SQL.format('10:30:00')} "
+    "FROM orders WHERE o_orderkey % 3 <> 0",
+)
+def extract_innermost_listing(spark, sf):
+    """The innermost element around a date; where that has no link there is no row."""
+    key = F.col("o_orderkey")
+    other = '<div><time datetime="2020-01-01T00:00:00-05:00">x</time><p>sin enlace</p></div>'
+    return _site(
+        spark, sf, "elpilon", '<div><a href="/menu/uno">m</a>', F.when(key % 3 == 1, other).otherwise(""),
+        '<div>', F.when(key % 3 == 0, "<div>").otherwise(""), '<time datetime="', _iso(), 'T10:30:00-05:00">x</time>',
+        F.when(key % 3 == 0, "</div>").otherwise(""), '<div><h3><a href="/judicial">s</a><a href="/judicial/', key,
+        '">N</a></h3></div></div></div>',
+    )
+
+
+@query(
+    "extract_fallback_listing",
+    f"""SELECT o_orderkey, 0 AS pos, 'https://elmeridiano.co/nota/' || o_orderkey AS link, {_DAY_SQL.format('00:00:00')}
+      FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT o_orderkey, 1, 'https://elmeridiano.co/dos/' || o_orderkey, NULL FROM orders WHERE o_orderkey % 2 = 1
+    UNION ALL SELECT o_orderkey, 0, 'https://elmeridiano.co/pie/enlace', NULL FROM orders WHERE o_orderkey % 2 = 1""",
+)
+def extract_fallback_listing(spark, sf):
+    """Marked anchors, or, on pages without any, all with an address of two parts."""
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    return _site(
+        spark, sf, "elmeridiano", '<a href="/uno">u</a><a href="/pie/enlace">p</a><a class="',
+        F.when(key % 2 == 0, "border x block rounded-lg").otherwise("border block"), '" href="/',
+        F.when(key % 2 == 0, "nota").otherwise("dos"), "/", key, '"><p>Judicial</p><p>Judicial ',
+        F.when(key % 2 == 0, F.concat(F.lit("\u2022 "), day)).otherwise(""), "</p></a>",
+    )
+
+
+@query(
+    "extract_heading_listing",
+    f"""SELECT o_orderkey, 0 AS pos, 'https://www.las2orillas.co/' || o_orderkey || '/' AS link,
+      year(o_orderdate) || '-08-13 00:00:00' AS fecha FROM orders WHERE o_orderkey % 5 > 1""",
+)
+def extract_heading_listing(spark, sf):
+    """The link in an item's heading counts, not others of the item."""
+    key = F.col("o_orderkey")
+    path = F.when(key % 5 == 1, "tag/").otherwise("")
+    link = F.concat(F.lit('<a href="https://www.las2orillas.co/'), path, key, F.lit('/">N</a>'))
+    return _site(
+        spark, sf, "las2orillas", '<article class="mg-posts-sec-post"><h4 class="entry-title">',
+        F.when(key % 5 == 0, "sin enlace").otherwise(link),
+        '</h4><a href="https://www.las2orillas.co/otro/">o</a><span class="mg-blog-date"><a>agosto 13, ',
+        F.year("o_orderdate"), '</a></span></article><footer><h4 class="entry-title">'
+        '<a href="https://www.las2orillas.co/pie/">p</a></h4></footer>',
+    )
+
+
+_NAMES = [(name, char) for name, char in sorted(html5.items()) if name.endswith(";")]
+
+
+def _list_sql(values):
+    return "['" + "','".join(v.replace("'", "''") for v in values) + "']"
+
+
+@query(
+    "unescape_references",
+    f"""SELECT doc_id, replace(replace(text, '&', '+'), 'e', {_list_sql(c for _, c in _NAMES)}[1 + doc_id % {len(_NAMES)}])
+      || chr(CAST(8192 + doc_id % 900 AS INTEGER)) || chr(CAST(65536 + doc_id * 7919 % 1048576 AS INTEGER))
+      || chr(CAST(65536 + doc_id * 7919 % 1048576 AS INTEGER)) AS texto FROM documents""",
+)
+def unescape_references(spark, sf):
+    """Every name of the table in whole texts, numbers of both kinds, and surrogate pairs."""
+    i = F.col("doc_id")
+    names = F.from_json(F.lit(json.dumps([name for name, _ in _NAMES])), "array<string>")
+    beyond = i * 7919 % 1048576
+    written = F.concat(
+        F.replace(F.replace("text", F.lit("&"), F.lit("+")), F.lit("e"),
+                  F.concat(F.lit("&"), F.get(names, i % len(_NAMES)))),
+        F.lit("&#"), 8192 + i % 900, F.lit(";&#x"), F.hex(65536 + beyond), F.lit(";&#"),
+        55296 + F.floor(beyond / 1024), F.lit(";&#"), 56320 + beyond % 1024, F.lit(";"),
+    )
+    return views.read(spark, sf, "documents").select("doc_id", markup.unescape(written).alias("texto"))
+
+
+# The references in the text of the given pages.
 _ENTITY_SQL = "text"
-for _entity, _char in extract.ENTITIES.items():
+for _entity, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·"), ("copy", "©"), ("nbsp", "\u00a0"), ("#39", "'"), ("#x27", "'")):
     _quoted = _char.replace("'", "''")
     _ENTITY_SQL = f"replace({_ENTITY_SQL}, '&{_entity};', '{_quoted}')"
 _ENTITY_SQL = f"replace({_ENTITY_SQL}, '&amp;', '&')"

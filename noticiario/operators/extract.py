@@ -1,12 +1,13 @@
 """Stored HTML to listing rows and article rows.
 
-Everything is regular expressions over the page text, inside generated code, so a
-page is parsed in the scan task without leaving the JVM. Without a document tree
-this is an approximation: a block reaches from one item tag to the next.
+Everything is column expressions over the page text, so a page is parsed in the scan
+task without leaving the JVM. There is no document tree, but elements end at their own
+closing tags (``functions.markup``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -14,25 +15,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.functions import dates, urls
+from noticiario.functions.markup import elements, let, unescape, without
 
-# Marks the start of a block; the character does not occur in HTML text.
-_MARK = "\u0001"
+# What any tag of a pattern that names none can be.
+_CONTAINERS = "div|article|section|li"
 
 
 @dataclass(frozen=True)
 class ExtractRule:
     """How one source writes its result pages.
 
-    ``item`` matches the opening tag of a result and ``link`` (one group) its
-    address within the block; ``otherwise_item`` is used on pages without any
+    ``item`` matches the opening tag of a result, which ends at its own closing tag, and
+    ``link`` (one group) its address within; ``within`` (one group) narrows where the address
+    stands. With ``around`` the item is the innermost such element around a match of it.
+    ``otherwise_item`` is used on pages without any
     ``item``. ``dates`` lists (pattern with one group, formats), first hit wins.
-    ``scope`` limits a page to what follows its first match: without a match the
+    ``scope`` limits a page to its first element with such an opening tag: without one the
     whole page is read, or nothing if ``scope_required``. ``base`` completes
     relative links, with ``rooted`` only those that start with ``/``.
     """
 
     item: str
     link: str
+    within: str | None = None
+    around: str | None = None
     otherwise_item: str | None = None
     dates: Sequence[tuple[str, Sequence[str]]] = ()
     date_required: bool = False
@@ -62,9 +68,9 @@ def href_of(mark: str = "") -> str:
     return rf"""(?i:<a\b){held}[^>]*?(?i:\bhref\s*=\s*)["']([^"'>]*)["']"""
 
 
-def href_inside(tag: str, name: str) -> str:
-    """Pattern: address of the first anchor after an opening tag of that class."""
-    return rf"(?s){tag_with_class(tag, name)}.*?{href_of()}"
+def content_of(tag: str, name: str) -> str:
+    """Pattern: content of the first tag of that class; for tags that do not nest."""
+    return rf"(?s){tag_with_class(tag, name)}(.*?)(?i:</{tag}\s*>)"
 
 
 def text_inside(tag: str, mark: str) -> str:
@@ -78,27 +84,34 @@ def time_attribute(mark: str = "") -> str:
     return rf"""(?i:<time\b){held}[^>]*?(?i:\bdatetime\s*=\s*)["']([^"'>]*)["']"""
 
 
-def _split_at(html: Column, item: str) -> Column:
-    parts = F.split(F.regexp_replace(html, item, _MARK + "$0"), _MARK)
-    return F.slice(parts, F.lit(2), F.size(parts))
+def _tags_of(opening: str) -> str:
+    """Names of the tags that a pattern of opening tags can mean."""
+    name = re.search(r"<(\w+|\\w\+)", opening)[1]
+    return _CONTAINERS if name == r"\w+" else name
+
+
+def _elements(html: Column, opening: str, around: str | None = None) -> Column:
+    return elements(html, _tags_of(opening), opening, around)
 
 
 def blocks(html: Column, rule: ExtractRule) -> Column:
-    """Array of result blocks of a page, in page order."""
+    """Array of result blocks of a page, in page order; comments and scripts are left out."""
+    html = without(html, ["script", "style"])
     if rule.scope is not None:
-        scoped = F.regexp_extract(html, f"(?s){rule.scope}(.*)", 1)
-        if not rule.scope_required:
-            scoped = F.when(scoped == "", html).otherwise(scoped)
-        html = scoped
-    found = _split_at(html, rule.item)
+        scoped = F.get(_elements(html, rule.scope), F.lit(0))
+        html = scoped if rule.scope_required else F.coalesce(scoped, html)
+    found = let(html, lambda page: _elements(page, rule.item, rule.around))
     if rule.otherwise_item is not None:
-        found = F.when(F.size(found) > 0, found).otherwise(_split_at(html, rule.otherwise_item))
+        found = let(found, lambda first: F.when(F.size(first) > 0, first).otherwise(
+            _elements(html, rule.otherwise_item)
+        ))
     return found
 
 
 def _read_block(block: Column, rule: ExtractRule) -> Column:
     """Address and date texts of one block."""
-    href = F.trim(F.regexp_extract(block, rule.link, 1))
+    place = block if rule.within is None else F.regexp_extract(block, rule.within, 1)
+    href = F.trim(F.regexp_extract(place, rule.link, 1))
     shown = [
         F.trim(F.regexp_replace(F.regexp_extract(block, pattern, 1), r"<[^>]*>", " "))
         for pattern, _ in rule.dates
@@ -156,66 +169,11 @@ def extract_links(
 
 # ── Article pages ────────────────────────────────────────────────────────────
 
-# Named character references of Western European pages.
-ENTITIES = {
-    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
-    "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú",
-    "ntilde": "ñ", "uuml": "ü",
-    "Aacute": "Á", "Eacute": "É", "Iacute": "Í", "Oacute": "Ó", "Uacute": "Ú",
-    "Ntilde": "Ñ", "Uuml": "Ü",
-    "iexcl": "¡", "iquest": "¿", "ldquo": "“", "rdquo": "”", "lsquo": "‘",
-    "rsquo": "’", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»",
-}
-
-
-def _decoded(name: Column) -> Column:
-    """Character of a reference without its ``&`` and ``;``, null if unknown."""
-    table = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
-    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
-    code = F.when(
-        hexadecimal, F.conv(F.substring(name, 3, 8), 16, 10).try_cast("long")
-    ).otherwise(F.substring(name, 2, 9).try_cast("long"))
-    # halves of surrogate pairs and numbers beyond Unicode are no characters
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    digits = F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")
-    numeric = F.decode(F.unhex(digits), "UTF-32")
-    return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(table, name))
-
-
-def unescape(col: Column) -> Column:
-    """Decode named, decimal and hexadecimal character references.
-
-    The references a text holds are found in one pass, and each distinct one is
-    replaced once. The ampersand comes last, so nothing is decoded twice.
-    """
-    found = F.array_distinct(
-        F.regexp_extract_all(col, F.lit(r"&(#\d{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z]{2,8});"), F.lit(1))
-    )
-    others = F.filter(found, lambda name: ~name.isin("amp", "#38"))
-    text = F.aggregate(
-        others,
-        col,
-        lambda done, name: F.coalesce(
-            F.replace(done, F.concat(F.lit("&"), name, F.lit(";")), _decoded(name)), done
-        ),
-    )
-    for ampersand in ("&#38;", "&amp;"):
-        text = F.replace(text, F.lit(ampersand), F.lit("&"))
-    return F.when(F.contains(col, F.lit("&")), text).otherwise(col)
-
-
-# Comments, and elements that are not part of the article.
-_DROPPED = (
-    r"(?is)<(?:!--.*?--|(script|style|nav|header|footer|aside|form)\b.*?</\1)>"
-)
 _BREAKS = r"(?i)<(?:br\s*/?|/(?:p|div|li|h[1-6]|tr|section|article|blockquote))>"
 
 
-# Opening and closing of what is dropped.
-_FURNITURE = [("!--", "-->")] + [
-    (rf"{name}\b", f"</{name}>")
-    for name in ("script", "style", "nav", "header", "footer", "aside", "form")
-]
+# Elements that are not part of the article.
+_FURNITURE = ("script", "style", "nav", "header", "footer", "aside", "form")
 
 
 def page_title(html: Column) -> Column:
@@ -225,16 +183,24 @@ def page_title(html: Column) -> Column:
 
 
 def without_furniture(html: Column) -> Column:
-    """The page without comments, scripts, styles, navigation and the like.
+    """The page without comments, scripts, styles, navigation and the like."""
+    return without(html, _FURNITURE)
 
-    Openings behind the last closing of their kind are marked first, so that no search
-    for an end runs in vain and the work grows with the page alone. They stay as markup.
-    """
-    for opening, closing in _FURNITURE:
-        html = F.regexp_replace(
-            html, rf"(?is)^(.*{closing})|(<)(?={opening})", "$1$2" + _MARK
-        )
-    return F.replace(F.regexp_replace(html, _DROPPED, " "), F.lit(_MARK), F.lit(""))
+
+def main_article(html: Column) -> Column:
+    """The article element with the longest paragraphs, the first of equals; null without."""
+
+    def weight(article: Column) -> Column:
+        texts = F.regexp_extract_all(article, F.lit(r"(?i)<p\b[^>]*+>([^<]*+)"), F.lit(1))
+        return F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+
+    def longest(found: Column) -> Column:
+        ranked = F.transform(found, lambda a, k: F.struct(
+            weight(a).alias("weight"), (-k).alias("place"), a.alias("html")
+        ))
+        return F.when(F.size(found) > 1, F.array_max(ranked)["html"]).otherwise(F.get(found, F.lit(0)))
+
+    return F.when(F.regexp_like(html, F.lit("(?i)<article")), let(elements(html, "article"), longest))
 
 
 def element(html: Column, name: str) -> Column:
@@ -269,15 +235,15 @@ def page_date(html: Column) -> Column:
 def extract_articles(pages: DataFrame) -> DataFrame:
     """Article pages to ``titulo, fecha, texto``; other columns are kept.
 
-    The text is that of the article element, else of the body, else of the page.
+    The text is that of the main article element, else of the body, else of the page.
     The steps are separate columns because each result is used more than once.
     """
     html, clean, article, body = map(F.col, ["html", "_clean", "_article", "_body"])
-    main = F.when(article != "", article).when(body != "", body).otherwise(clean)
+    main = F.when(body != "", body).otherwise(F.coalesce(article, clean))
     return (
         pages.withColumn("_clean", without_furniture(html))
-        .withColumn("_article", element(clean, "article"))
-        .withColumn("_body", F.when(article == "", element(clean, "body")))
+        .withColumn("_article", main_article(clean))
+        .withColumn("_body", F.when(article.isNull(), element(clean, "body")))
         .withColumns({"_title": page_title(html), "_bare": strip_markup(main)})
         .withColumns(
             {

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from noticiario.operators.extract import (
     ExtractRule,
-    href_inside,
+    content_of,
     href_of,
     tag_with_class,
     text_inside,
@@ -79,7 +79,8 @@ RULES = {
     ),
     "las2orillas": ExtractRule(
         item=tag_with_class("article", "mg-posts-sec-post"),
-        link=href_inside("h4", "entry-title"),
+        within=content_of("h4", "entry-title"),
+        link=href_of(),
         dates=[(text_inside("span", "mg-blog-date"), ["es_positional"])],
         domain="las2orillas.co",
         excluded=[
@@ -95,6 +96,7 @@ RULES = {
     ),
     "elpilon": ExtractRule(
         item=r"<div\b[^>]*>",
+        around=r'(?i)<time\b[^>]*?\bdatetime="\d{4}-\d{2}-\d{2}T',
         link=r'<a\b[^>]*?\bhref="(/+[^"/]+/+[^"/][^"]*)"',
         dates=[(r'<time\b[^>]*?\bdatetime="(\d{4}-\d{2}-\d{2}T[^"]*)"', ["iso_datetime"])],
         date_required=True,
@@ -110,7 +112,8 @@ RULES = {
     "tronchandosinfronteras": ExtractRule(
         scope=tag_with_class("div", "tdi_96"),
         item=tag_with_class("div", "td-module-container"),
-        link=href_inside("h3", "td-module-title"),
+        within=content_of("h3", "td-module-title"),
+        link=href_of(),
         dates=[(time_attribute("td-module-date"), ["iso_datetime"])],
         domain="trochandosinfronteras.info",
     ),
@@ -123,7 +126,8 @@ RULES = {
     "corrillos": ExtractRule(
         scope=tag_with_class("div", "col-lg-8", "col-md-12"),
         item=r"<article\b[^>]*>",
-        link=href_inside("h2", "post-title"),
+        within=content_of("h2", "post-title"),
+        link=href_of(),
         dates=[(text_inside("span", "post-meta-date"), ["es_positional_de"])],
         domain="corrillos.com.co",
     ),

@@ -156,8 +156,9 @@ def test_references_never_fail(spark):
     from noticiario.operators.extract import unescape
 
     cases = {
-        "&#55357;&#56832; x": "�� x", "&#65536;": "\U00010000", "&#128512;": "😀",
+        "&#55357;&#56832; x": "😀 x", "&#55357; &#56832;": "� �", "&#65536;": "\U00010000", "&#128512;": "😀",
         "&#x27;&#X1f600;": "'😀", "&#999999999;": "�", "&#0;&#xFFFFFFFF;": "��",
+        "&copy;&egrave;&euro;&NotEqualTilde;&copy b": "©è€≂̸© b", "&#150;&#x80;": "–€",
         "&#233;&eacute;&amp;#39;": "éé&#39;", "&bogus;": "&bogus;", "plain": "plain",
     }
     df = spark.createDataFrame([(c,) for c in cases], "t string")
@@ -187,3 +188,68 @@ def test_unclosed_tags_take_no_time(spark, part):
     for column in (extract.without_furniture(html), extract.page_title(html), extract.strip_markup(html)):
         pages.select(F.length(column)).collect()
     assert time.time() - begun < 10
+
+
+@pytest.mark.parametrize("part", ["<div>", "</div>", "<div></div>", "<article>", "<time datetime='2024-01-01T'>", "&#x1;", "&"])
+def test_open_elements_take_no_time(spark, part):
+    import time
+
+    from noticiario.functions import markup
+
+    html = F.col("html")
+    pages = spark.createDataFrame([(part * (500_000 // len(part)),)], "html string")
+    begun = time.time()
+    for column in (F.size(markup.elements(html, "div|article")), F.length(markup.unescape(html))):
+        pages.select(column).collect()
+    assert time.time() - begun < 10
+
+
+def test_elements_end_at_their_own_closing_tag(spark):
+    from noticiario.functions import markup
+
+    pages = {
+        "<div a>x<div b>y</div>z</div>t<div c>u": ["<div a>x<div b>y</div>z", "<div b>y", "<div c>u"],
+        "</div><DIV>x</DIV></div></div><div>y</div>": ["<DIV>x", "<div>y"],
+        "<divider>a</divider><div-x>b</div-x>": [], "": [], "plain": [], None: None,
+        "<div>" * 600 + "x" + "</div>" * 600: None,
+    }
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    for r in df.select("html", markup.elements(F.col("html"), "div").alias("found")).collect():
+        if r.html and r.html.startswith("<div><div>"):
+            assert [len(e) for e in r.found] == [5 * (600 - k) + 1 + 6 * (599 - k) for k in range(600)]
+        else:
+            assert r.found == pages[r.html]
+
+
+@pytest.mark.parametrize("source, html, expected", [
+    # what follows the column is not read
+    ("corrillos", """<div class="col-lg-8 col-md-12"><div><article><h2 class="post-title"><a href="https://corrillos.com.co/a">x</a></h2></article></div></div>
+      <div class="side"><article><h2 class="post-title"><a href="https://corrillos.com.co/b">x</a></h2></article></div>""", ["https://corrillos.com.co/a"]),
+    # an item without a link does not take one that follows it
+    ("bcnoticias", """<div class="td_module_wrap"><div>no link</div></div><footer><a rel="bookmark" href="https://www.bcnoticias.com.co/pie">x</a></footer>""", []),
+    # nor one of its own behind the heading
+    ("las2orillas", """<article class="mg-posts-sec-post"><h4 class="entry-title">no link</h4><a href="https://www.las2orillas.co/otro">x</a></article>""", []),
+    # commented and scripted markup is no markup
+    ("eltiempo", """<!-- <article class="c-article"><a class="page-link" href="/no">x</a></article> -->
+      <script>"<article class='c-article'><a class='page-link' href='/tampoco'>"</script><article class="c-article"><a class="page-link" href="/si">x</a></article>""", ["https://www.eltiempo.com/si"]),
+    # the innermost element around a date; its link may follow in an inner one
+    ("elpilon", """<div><a href="/menu/seccion">m</a><div><time datetime="2024-01-15T10:30:00-05:00">x</time><div><a href="/judicial/nota-1">x</a></div></div></div>""",
+     ["https://elpilon.com.co/judicial/nota-1"]),
+    # modules in modules
+    ("eldiario", """<div id="tdi_89"><div class="td_module_wrap"><div class="x"><p>a</p></div><a rel="bookmark" href="https://www.eldiario.com.co/a">x</a></div></div>
+      <div class="td_module_wrap"><a rel="bookmark" href="https://www.eldiario.com.co/fuera">x</a></div>""", ["https://www.eldiario.com.co/a"]),
+])
+def test_items_and_parts_end_where_they_close(spark, source, html, expected):
+    assert links_of(spark, source, html) == expected
+
+
+def test_one_article_of_a_page(spark):
+    pages = {
+        "<article>Uno</article>..<article>Relacionado</article>": "Uno",
+        "<article><p>Corto</p></article><article><p>La nota <b>de</b> verdad</p></article>": "La nota de verdad",
+        "<article><p>Nota</p><article>dentro</article><p>fin</p></article>x": "Nota\ndentro\nfin",
+        "<body>a<article></article>b</body>": "", "<article><p>sin cerrar": "sin cerrar",
+    }
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    got = extract_articles(df.withColumn("page", F.col("html"))).collect()
+    assert {r.page: r.texto for r in got} == pages
