@@ -98,7 +98,7 @@ def attach_terms(spark, sf):
 
 @query(
     "union_sources",
-    """SELECT source AS periodico, substr(text, 1, 40) AS titulo,
+    """SELECT source AS periodico, split_part(text, chr(10), 1) AS titulo,
         CASE WHEN doc_id % 3 <> 0 THEN '2023-05-01 15:30:00' END AS fecha, text AS texto,
         CAST(NULL AS VARCHAR) AS url FROM documents
       UNION ALL SELECT 'web', NULL, NULL, html, url FROM pages""",
@@ -106,7 +106,7 @@ def attach_terms(spark, sf):
 def union_sources(spark, sf):
     docs = views.read(spark, sf, "documents").select(
         F.col("source").alias("periodico"), F.col("text").alias("texto"),
-        F.substring("text", 1, 40).alias("titulo"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("titulo"),
         F.when(F.col("doc_id") % 3 == 0, "ayer").otherwise("2023-05-01T10:30:00-05:00").alias("fecha"),
     )
     pages = views.read(spark, sf, "pages").select(
@@ -133,24 +133,22 @@ def union_backup(spark, sf):
 
 @query(
     "union_departments",
-    with_views(["articles"], "SELECT doc_id, departamento, url FROM articles WHERE departamento IN ('Der', 'El')"),
+    with_views(["articles"], "SELECT doc_id, departamento, url, titulo, texto FROM articles"),
 )
 def union_departments(spark, sf):
-    rows = views.articles(spark, sf).select("doc_id", "departamento", "url")
-    parts = [rows.filter(F.col("departamento") == name) for name in ("Der", "El")]
+    rows = views.articles(spark, sf).select("doc_id", "departamento", "url", "titulo", "texto")
+    parts = [rows.filter(F.col("departamento") == name) for name in views.DEPARTMENTS]
     return sets.union_departments(parts)
 
 
 @query(
     "difference",
-    "SELECT DISTINCT c_custkey AS clave FROM customer EXCEPT "
-    "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "SELECT DISTINCT c_custkey AS clave FROM customer EXCEPT SELECT user_id FROM events",
 )
 def difference(spark, sf):
     customers = views.read(spark, sf, "customer").select(F.col("c_custkey").alias("clave"))
-    urgent = views.read(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
-    orders = urgent.select(F.col("o_custkey").alias("clave"))
-    return sets.difference(customers, orders, "clave")
+    users = views.read(spark, sf, "events").select(F.col("user_id").alias("clave"))
+    return sets.difference(customers, users, "clave")
 
 
 # ── Plan joins ───────────────────────────────────────────────────────────────
@@ -246,17 +244,21 @@ def department_corpus(spark, sf):
     return built.withColumn("fecha", shown())
 
 
-_TEN = ", ".join(f"'src{n}'" for n in range(10))
+# All sources but the one that stands in.
+_LISTED = [name for name in views.REGISTRY if name != views.FALLBACK]
+_LISTED_SQL = ", ".join(f"'{name}'" for name in _LISTED)
+_NATIONAL_SQL = ", ".join(f"'{name}'" for name in views.NATIONAL)
+_LOCAL_COUNT = len(set(_LISTED) - set(views.NATIONAL))
 
 
 @query(
     "municipality_corpus",
     with_views(["articles", "departments", "topics"], "").rstrip()
     + f""", reached AS (SELECT * FROM articles WHERE (fecha IS NULL OR fecha BETWEEN TIMESTAMP '2023-01-01'
-        AND TIMESTAMP '2023-12-31 23:59:59') AND fuente IN ({_TEN}, 'src19')
-        AND {views.SCORE} >= CASE WHEN fuente = 'src19' THEN 1 ELSE 4 END),
-    active AS (SELECT departamento, tema FROM reached WHERE fuente <> 'src19' GROUP BY ALL
-      HAVING count(DISTINCT fuente) = 10),
+        AND TIMESTAMP '2023-12-31 23:59:59') AND fuente IN ({_LISTED_SQL}, 'src19')
+        AND {views.SCORE} >= CASE WHEN fuente IN ({_NATIONAL_SQL}) THEN 1 ELSE 4 END),
+    active AS (SELECT departamento, tema FROM reached WHERE fuente NOT IN ({_NATIONAL_SQL}) GROUP BY ALL
+      HAVING count(DISTINCT fuente) = {_LOCAL_COUNT}),
     hits AS (SELECT * FROM reached r WHERE fuente <> 'src19' OR NOT EXISTS (SELECT 1 FROM active a
       WHERE a.departamento = r.departamento AND a.tema = r.tema)),
     terms AS (SELECT departamento, url, {_TERMS} AS terminos_encontrado FROM hits WHERE url IS NOT NULL GROUP BY ALL),
@@ -268,10 +270,10 @@ _TEN = ", ".join(f"'src{n}'" for n in range(10))
 )
 def municipality_corpus(spark, sf):
     places = views.departments(spark).select(F.col("departamento").alias("municipio"))
-    ten = views.registry(spark).filter(F.col("id").isin([f"src{n}" for n in range(10)]))
+    listed = views.registry(spark).filter(F.col("id").isin(_LISTED))
     built = corpus.municipality_corpus(
         views.articles(spark, sf).drop("departamento", "tema", "tema_pos"), places,
-        ten, views.TOPICS, 4, LO, HI, fallback="src19", tie=["doc_id"],
+        listed, views.TOPICS, 4, LO, HI, fallback="src19", tie=["doc_id"],
     )
     return built.withColumn("fecha", shown())
 
@@ -279,17 +281,30 @@ def municipality_corpus(spark, sf):
 @query(
     "search_report",
     with_views(["found", "topics"], "").rstrip()
-    + """, local AS (SELECT * FROM found WHERE origen <> 2),
+    + f""", local AS (SELECT * FROM found WHERE origen <> 2),
+    firsts AS (SELECT * FROM local QUALIFY row_number() OVER (PARTITION BY departamento, url
+      ORDER BY tema_pos, {_RECENT}, fuente_pos, doc_id) = 1),
     merged AS (SELECT DISTINCT departamento, url, tema FROM local WHERE url IS NOT NULL)
-    SELECT t.tema, (SELECT count(*) FROM local l WHERE l.tema = t.tema) AS filas,
-      nullif((SELECT count(*) FROM merged m WHERE m.tema = t.tema), 0) AS urls FROM topics t""",
+    SELECT 'temas' AS parte, tema AS clave, (SELECT count(*) FROM local l WHERE l.tema = t.tema) AS n,
+      NULL AS desde, NULL AS hasta FROM topics t
+    UNION ALL SELECT 'cobertura', tema, count(*), NULL, NULL FROM merged GROUP BY tema
+    UNION ALL SELECT 'periodicos', periodico, count(*), NULL, NULL FROM firsts GROUP BY periodico
+    UNION ALL SELECT 'duplicados', unnest(['total', 'unicos', 'duplicados']),
+      unnest([n, u, n - u]), NULL, NULL FROM (SELECT count(*) AS n,
+        count(DISTINCT coalesce(url, '?')) AS u FROM local)
+    UNION ALL SELECT 'fechas', NULL, NULL, strftime(min(fecha), '%Y-%m-%d %H:%M:%S'),
+      strftime(max(fecha), '%Y-%m-%d %H:%M:%S') FROM firsts""",
 )
 def search_report(spark, sf):
-    """Rows found per topic beside the URLs each topic covers after merging."""
+    """All parts of the report: topics, coverage, sources, duplicates and dates."""
     candidates = views.articles(spark, sf).drop("departamento", "tema", "tema_pos")
     plan = views.plan(spark)
     found = corpus.search_sources(candidates, plan, LO, HI)
     merged = corpus.search_topics(candidates, plan, LO, HI, tie=["doc_id"])
     parts = corpus.search_report(found, merged)
-    topics = parts["temas"].select("tema", F.col("n").alias("filas"))
-    return topics.join(parts["cobertura"].withColumnRenamed("n", "urls"), "tema", "left")
+    keyed = {"temas": "tema", "cobertura": "tema", "periodicos": "periodico"}
+    rows = [parts[p].select(F.lit(p).alias("parte"), F.col(k).alias("clave"), "n") for p, k in keyed.items()]
+    counts = ["total", "unicos", "duplicados"]
+    rows.append(parts["duplicados"].unpivot([], counts, "clave", "n").withColumn("parte", F.lit("duplicados")))
+    rows.append(parts["fechas"].select(F.lit("fechas").alias("parte"), shown("desde"), shown("hasta")))
+    return sets.union_all(rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import views
+from checks.rows import PAGE_SQL
 from checks.registered import query
 from checks.views import LIST_HI, LIST_LO, shown, with_views
 from noticiario.operators import dedup, joins, listing
@@ -279,11 +280,12 @@ _PAGE_LINKS = """links AS (SELECT 'p' || (page_id % 3) AS periodico, 't' || (pag
 
 @query(
     "candidates_from_pages",
-    "WITH " + _PAGE_LINKS + r"""
-    SELECT periodico, termino, link AS url, strftime(links.fecha, '%Y-%m-%d %H:%M:%S') AS fecha,
-      CAST(length(html) AS INTEGER) AS n_html FROM links JOIN pages ON link = url""",
+    "WITH " + _PAGE_LINKS + f"""
+    SELECT periodico, termino, link AS url, strftime(links.fecha, '%Y-%m-%d %H:%M:%S') AS fecha, titulo, texto
+    FROM links JOIN ({PAGE_SQL}) a ON links.page = a.page_id""",
 )
 def candidates_from_pages_query(spark, sf):
+    """Titles and texts of all pages with the dates of their listings."""
     page = F.col("page_id")
     pages = views.read(spark, sf, "pages")
     links = pages.select(
@@ -291,9 +293,7 @@ def candidates_from_pages_query(spark, sf):
         page.cast("int").alias("page"), F.lit(0).alias("pos"), F.col("url").alias("link"),
         F.when(page % 4 != 0, F.timestamp_seconds(F.lit(1672531200) + page * 86400)).alias("fecha"),
     )
-    found = candidates_from_pages(links, links, pages)
-    sizes = pages.select("url", F.length("html").alias("n_html"))
-    return found.join(sizes, "url").select("periodico", "termino", "url", shown(), "n_html")
+    return candidates_from_pages(links, links, pages).withColumn("fecha", shown())
 
 
 @query(

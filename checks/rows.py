@@ -449,7 +449,7 @@ for _entity, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("middot", "·")
     _ENTITY_SQL = f"replace({_ENTITY_SQL}, '&{_entity};', '{_quoted}')"
 _ENTITY_SQL = f"replace({_ENTITY_SQL}, '&amp;', '&')"
 
-_PAGE_SQL = rf"""
+PAGE_SQL = rf"""
   SELECT page_id, trim({_ENTITY_SQL.replace('text', "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS titulo,
     CAST(NULL AS VARCHAR) AS fecha,
     regexp_replace(regexp_replace(regexp_replace(
@@ -466,7 +466,7 @@ _PAGE_SQL = rf"""
           ' ', 'g') AS clean FROM pages))))"""
 
 
-@query("extract_articles", _PAGE_SQL)
+@query("extract_articles", PAGE_SQL)
 def extract_articles(spark, sf):
     pages = views.read(spark, sf, "pages").select("page_id", "html")
     return extract.extract_articles(pages).withColumn("fecha", shown())

@@ -12,7 +12,7 @@ from checks.corpora import DEPARTMENT_SQL
 from checks.registered import query
 from checks.views import HI, LO, shown, with_views
 from noticiario import schema
-from noticiario.operators import reports
+from noticiario.operators import reports, sets
 from noticiario.plans import consolidate, corpus, progress
 from noticiario.plans.health import health_report
 from noticiario.session import shared_path
@@ -194,24 +194,40 @@ def write_health_report(spark, sf):
     return runs.unionByName(total, allowMissingColumns=True)
 
 
+_GROUPS = "(VALUES (1, 'The'), (1, 'De la'), (2, 'Der'), (2, 'El'), (3, 'Fuera')) AS d(grupo, departamento)"
+
+
 @query(
     "progress_report",
-    with_views(
-        ["articles"],
-        """SELECT grupo, count(*) FILTER (n > 0) AS completados, count(*) AS total,
-          CASE WHEN count(*) FILTER (n > 0) = count(*) THEN 'LISTO' WHEN count(*) FILTER (n > 0) > 0 THEN 'EN CURSO'
-          ELSE 'PENDIENTE' END AS estado
-          FROM (SELECT d.*, (SELECT count(*) FROM articles a WHERE a.departamento = d.departamento
-              AND a.departamento <> 'Der') AS n
-            FROM (VALUES (1, 'The'), (1, 'De la'), (2, 'Der'), (2, 'El')) AS d(grupo, departamento)) GROUP BY 1""",
-    ),
+    with_views(["articles"], "").rstrip()
+    + f""", done AS (SELECT d.*, d.departamento IN (SELECT departamento FROM articles) AS hay FROM {_GROUPS}),
+    groups AS (SELECT grupo, count(*) FILTER (hay) AS completados, count(*) AS total FROM done GROUP BY 1)
+    SELECT 'grupos' AS parte, CAST(grupo AS VARCHAR) AS clave, completados, total,
+      CASE WHEN completados = total THEN 'LISTO' WHEN completados > 0 THEN 'EN CURSO' ELSE 'PENDIENTE' END AS estado
+      FROM groups
+    UNION ALL SELECT 'total', NULL, CAST(sum(completados) AS BIGINT), CAST(sum(total) AS BIGINT), NULL FROM groups
+    UNION ALL SELECT 'pendientes', departamento, NULL, NULL, NULL FROM done WHERE NOT hay
+    UNION ALL SELECT 'no_reconocidos', 'Ajeno', NULL, NULL, NULL
+    UNION ALL SELECT 'archivos', departamento, NULL, NULL, NULL FROM articles GROUP BY departamento
+    UNION ALL SELECT 'archivos', 'Ajeno', NULL, NULL, NULL""",
 )
 def progress_report(spark, sf):
-    root = stored(spark, sf, corpus_rows(spark, sf).filter("departamento <> 'Der'"))
-    groups = views.departments(spark).select(
-        F.floor((F.col("pos") + 1) / 2).cast("int").alias("grupo"), "departamento"
-    )
-    return progress.progress_report(spark, groups, root)["grupos"]
+    """All parts: groups, total, pending departments, unknown ones and files."""
+    rows = corpus_rows(spark, sf)
+    strange = rows.withColumn("departamento", F.lit("Ajeno"))
+    root = stored(spark, sf, rows.unionByName(strange))
+    places = views.departments(spark).select("pos", "departamento")
+    places = places.unionByName(places.filter("pos = 1").select(F.lit(5).alias("pos"), F.lit("Fuera").alias("departamento")))
+    groups = places.select(F.floor((F.col("pos") + 1) / 2).cast("int").alias("grupo"), "departamento")
+    parts = progress.progress_report(spark, groups, root)
+    shown_parts = [
+        parts["grupos"].select(F.lit("grupos").alias("parte"), F.col("grupo").cast("string").alias("clave"),
+                               "completados", "total", "estado"),
+        parts["total"].withColumn("parte", F.lit("total")),
+        *[parts[p].select(F.lit(p).alias("parte"), F.col("departamento").alias("clave")).distinct()
+          for p in ("pendientes", "no_reconocidos", "archivos")],
+    ]
+    return sets.union_all(shown_parts)
 
 
 # ── Streaming ────────────────────────────────────────────────────────────────

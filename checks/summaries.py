@@ -54,13 +54,12 @@ def term_coverage(spark, sf):
     "term_counts",
     with_views(
         ["articles", "topics"],
-        "SELECT CAST(tema_pos AS INTEGER) AS pos, tema, (SELECT count(*) FROM articles a WHERE a.tema = t.tema "
-        "AND a.tema <> 'derechos') AS n FROM topics t",
+        "SELECT CAST(tema_pos AS INTEGER) AS pos, tema, (SELECT count(*) FROM articles a WHERE a.tema = t.tema) AS n "
+        "FROM topics t UNION ALL SELECT 5, 'ausente', 0",
     ),
 )
 def term_counts(spark, sf):
-    rows = views.articles(spark, sf).filter("tema <> 'derechos'")
-    return reports.term_counts(rows, TOPICS)
+    return reports.term_counts(views.articles(spark, sf), [*TOPICS, "ausente"])
 
 
 @query(
@@ -319,15 +318,12 @@ def pending_departments(spark, sf):
 
 @query(
     "orphan_files",
-    "SELECT DISTINCT o_custkey AS n, lower(c_name) AS slug FROM orders JOIN customer ON o_custkey = c_custkey "
-    "WHERE c_nationkey >= 5",
+    "SELECT s_suppkey AS n, lower(s_name) AS slug FROM supplier",
 )
 def orphan_files(spark, sf):
-    """Stored names, by slug, that no group of the first five nations expects."""
-    stored = views.read(spark, sf, "orders").select("o_custkey").distinct()
-    names = views.read(spark, sf, "customer")
-    inventory = stored.join(names, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_custkey").alias("n"), text.slug(F.col("c_name")).alias("slug")
-    )
-    expected = names.filter("c_nationkey < 5").select(text.slug(F.col("c_name")).alias("slug"))
+    """Stored names, by slug, that no group expects: customers are expected, suppliers not."""
+    names = views.read(spark, sf, "customer").select(F.col("c_custkey").alias("n"), F.col("c_name").alias("name"))
+    others = views.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("n"), F.col("s_name").alias("name"))
+    inventory = names.unionByName(others).select("n", text.slug(F.col("name")).alias("slug"))
+    expected = names.select(text.slug(F.col("name")).alias("slug"))
     return joins.orphan_files(inventory, expected, "slug")

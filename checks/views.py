@@ -48,7 +48,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("fuente"), F.col("source").alias("periodico"),
         place.alias("departamento"), topic.alias("tema"), (i % 5).cast("int").alias("tema_pos"),
-        F.substring("text", 1, 40).alias("titulo"), F.col("text").alias("texto"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("titulo"), F.col("text").alias("texto"),
         url.alias("url"), F.when(i % 11 != 0, fecha).alias("fecha"),
     )
     return df.withColumn("termino", F.concat_ws(" ", "departamento", "tema"))
@@ -208,7 +208,7 @@ SQL = {
             CASE lang WHEN 'en' THEN 'The' WHEN 'fr' THEN 'De la' WHEN 'de' THEN 'Der'
               ELSE 'El' END AS departamento,
             {_TOPIC_LIST}[doc_id % 5 + 1] AS tema, CAST(doc_id % 5 AS INTEGER) AS tema_pos,
-            substr(text, 1, 40) AS titulo, text AS texto,
+            split_part(text, chr(10), 1) AS titulo, text AS texto,
             CASE WHEN doc_id % 50 = 7 THEN NULL
               WHEN doc_id % 10 = 3 THEN 'https://news.example.com/hot'
               ELSE 'https://news.example.com/' || (doc_id // 3) END AS url,

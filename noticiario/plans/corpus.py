@@ -6,21 +6,25 @@ Input is a candidate table: articles as the searches of the sources found them,
 
 and a search plan (:func:`noticiario.sources.registry.search_plan`). All
 departments, topics and sources are built by one job: the plan is small and is
-broadcast after a size check, so candidates are filtered where they are read, and
-the only wide shuffle groups relevant rows by URL.
+broadcast after a size check, so candidates are filtered where they are read.
+
+Relevant rows are stored once, each with a number. Everything that is decided about
+them, which copy of a URL stays, its terms, who needs a backup, is decided on an index
+without titles and texts; the numbers of the rows that stay are then joined to the
+stored rows, so texts are never aggregated and shuffled once at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticiario import schema
 from noticiario.functions.text import DEFAULT_MIN_MENTIONS
 from noticiario.operators import reports
-from noticiario.operators.dedup import joined_terms, merge_by_url, recent_first
+from noticiario.operators.dedup import recent_first
 from noticiario.operators.filters import effective_minimum, in_date_range, is_relevant
 from noticiario.operators.joins import zero_result_sources
 from noticiario.operators.sets import order_by_config
@@ -30,9 +34,17 @@ from noticiario.sources.registry import BACKUP, LOCAL, STAND_IN, search_terms
 from noticiario.sources.writers import existing_corpus, resume_plan, write_corpus
 
 # How an intermediate result that is read twice is kept: a function of the frame.
-# Stored once by default, so that candidates and their texts are scanned once.
+# Stored once by default, so that candidates and their texts are scanned once. Another
+# way must keep the generated row numbers as well.
 Settle = Callable[[DataFrame], DataFrame]
 
+# Number of a relevant row in the stored table.
+_ROW = "_fila"
+# Slices of a URL in the index, as one URL may hold a large share of the rows.
+INDEX_SALTS = 16
+# Bytes of text that one stored file of a department should hold.
+FILE_BYTES = 256 * 1024 * 1024
+
 
 def match_plan(
     candidates: DataFrame, plan: DataFrame, lo: str | None = None, hi: str | None = None
@@ -83,6 +95,102 @@ def first_found(tie: Sequence[str]) -> list[Column]:
     return [F.col("tema_pos"), *recent_first(), F.col("fuente_pos"), *map(F.col, tie)]
 
 
+# ── Narrow index, wide rows ──────────────────────────────────────────────────
+
+
+def _numbered(rows: DataFrame, settle: Settle) -> DataFrame:
+    return settle(rows.withColumn(_ROW, F.monotonically_increasing_id()))
+
+
+def _index(stored: DataFrame, place: str, tie: Sequence[str]) -> DataFrame:
+    """What decides about the stored rows, without their texts.
+
+    A text among the tie columns enters as its hash, which breaks ties as repeatably.
+    """
+    fixed = [
+        _ROW, place, "url", "fecha", "tema", "tema_pos", "fuente", "fuente_pos", "is_national",
+        "origen",
+    ]
+    return stored.select(
+        *fixed, F.coalesce(F.octet_length("texto"), F.lit(0)).cast("long").alias("_bytes"),
+        *[F.xxhash64(n).alias("_texto") if n == "texto" else n for n in tie if n not in fixed],
+    )
+
+
+def _winners(
+    index: DataFrame, place: str, tie: Sequence[str], salts: int = INDEX_SALTS
+) -> DataFrame:
+    """Row number of the first copy of each URL of a place, with the merged terms.
+
+    Local copies come before those of backup sources. Columns: the row number, its
+    bytes of text, ``_only_backup`` and ``terminos_encontrado``. A group is first cut
+    in slices of its row numbers, so a hot URL is spread over tasks; a slice hands on
+    one row and its few terms.
+    """
+    names = ["_texto" if name == "texto" else name for name in tie]
+    backup = F.col("origen") == BACKUP
+    order = F.struct(backup, *first_found(names), F.col(_ROW))
+    slices = (
+        index.withColumn("_slice", F.pmod(F.col(_ROW), F.lit(salts)))
+        .groupBy(place, "url", "_slice")
+        .agg(
+            F.min_by(F.struct(_ROW, "_bytes"), order).alias("_first"), F.min(order).alias("_order"),
+            F.min(backup).alias("_only_backup"),
+            F.collect_set(F.when(~backup, F.col("tema"))).alias("_local"),
+            F.collect_set(F.when(backup, F.col("tema"))).alias("_backup"),
+        )
+    )
+
+    def terms(name: str) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))), ", ")
+
+    merged = slices.groupBy(place, "url").agg(
+        F.min_by("_first", "_order").alias("_first"), F.min("_only_backup").alias("_only_backup"),
+        terms("_local").alias("_local"), terms("_backup").alias("_backup"),
+    )
+    found = F.when(F.col("_only_backup"), F.col("_backup")).otherwise(F.col("_local"))
+    return merged.select(
+        place, F.col(f"_first.{_ROW}").alias(_ROW), F.col("_first._bytes").alias("_bytes"),
+        "_only_backup", F.when(F.col("url").isNotNull(), found).alias("terminos_encontrado"),
+    )
+
+
+def _picked(stored: DataFrame, winners: DataFrame, place: str) -> DataFrame:
+    """The stored rows that won, with their terms; one join by row number."""
+    terms = broadcast_if_small(winners.select(_ROW, "terminos_encontrado"))
+    return stored.join(terms, _ROW).select(*schema.CANONICAL, "terminos_encontrado", place)
+
+
+def _picked_by_file(stored: DataFrame, winners: DataFrame, place: str) -> DataFrame:
+    """The same, dealt out as the rows are to be stored: about ``FILE_BYTES`` a task.
+
+    Each place has as many slots as its texts need. Stored rows and winners are dealt by
+    place and slot together and matched by a window over the row number there, since a
+    join would deal them anew by row number and the write a second time by place.
+    """
+    slots = winners.groupBy(place).agg(
+        F.greatest(F.ceil(F.sum("_bytes") / FILE_BYTES), F.lit(1)).alias("_slots")
+    )
+    slots = pin(slots, "slots")  # one row for each place of the plan
+    tasks = int(slots.agg(F.sum("_slots")).first()[0] or 1)
+    columns = [name for name in schema.CANONICAL]
+    both = (
+        stored.select(_ROW, place, *columns)
+        .unionByName(winners.select(_ROW, place, "terminos_encontrado", F.lit(True).alias("_won")),
+                     allowMissingColumns=True)
+        .join(broadcast_if_small(slots), place)
+        .withColumn("_slot", F.pmod(F.xxhash64(_ROW), F.col("_slots")))
+    )
+    same = Window.partitionBy(place, "_slot", _ROW)
+    return (
+        both.repartition(tasks, place, "_slot")
+        .withColumn("terminos_encontrado", F.max("terminos_encontrado").over(same))
+        .withColumn("_kept", F.max("_won").over(same))
+        .filter(F.col("_kept") & F.col("_won").isNull())
+        .select(*columns, "terminos_encontrado", place)
+    )
+
+
 # ── One search, several topics ───────────────────────────────────────────────
 
 
@@ -99,8 +207,8 @@ def search_sources(
     of the plan are not searched.
     """
     plan = plan.filter(F.col("origen") != BACKUP)
-    matched = settle(match_plan(candidates, plan, lo, hi))
-    return _with_stand_in(matched, plan, ["departamento", "tema"])
+    matched = _numbered(match_plan(candidates, plan, lo, hi), settle)
+    return _with_stand_in(matched, plan, ["departamento", "tema"]).drop(_ROW)
 
 
 def search_topics(
@@ -112,13 +220,10 @@ def search_topics(
     settle: Settle = shared_table,
 ) -> DataFrame:
     """All topics of each department merged: one row per URL with its terms."""
-    found = search_sources(candidates, plan, lo, hi, settle)
-    kept = found.select(
-        "departamento", *schema.CANONICAL, "tema", "tema_pos", "fuente_pos",
-        *[name for name in tie if name not in schema.CANONICAL],
-    )
-    merged = merge_by_url(kept, first_found(tie), ["departamento", "url"])
-    return merged.select(*schema.CANONICAL, "terminos_encontrado", "departamento")
+    plan = plan.filter(F.col("origen") != BACKUP)
+    stored = _numbered(match_plan(candidates, plan, lo, hi), settle)
+    index = _with_stand_in(_index(stored, "departamento", tie), plan, ["departamento", "tema"])
+    return _picked(stored, _winners(index, "departamento", tie), "departamento")
 
 
 def municipality_corpus(
@@ -158,7 +263,8 @@ def municipality_corpus(
     joined = rows.join(broadcast_if_small(reach), "fuente").join(
         broadcast_if_small(searches), "termino"
     )
-    found = settle(joined.filter(is_relevant(minimum, F.col("territorio"))))
+    stored = _numbered(joined.filter(is_relevant(minimum, F.col("territorio"))), settle)
+    found = _index(stored.withColumn("fuente_pos", F.lit(0)), "municipio", tie)
     if stands_in:
         per = ["municipio", "tema"]
         local = ~F.col("is_national") & (F.col("origen") == LOCAL)
@@ -169,12 +275,7 @@ def municipality_corpus(
             .filter(F.coalesce("_n", F.lit(0)) < expected).select(*per)
         )
         found = _keep_needed(found, needed, per, is_small(searches))
-    kept = found.withColumn("fuente_pos", F.lit(0)).select(
-        "municipio", *schema.CANONICAL, "tema", "tema_pos", "fuente_pos",
-        *[name for name in tie if name not in schema.CANONICAL],
-    )
-    merged = merge_by_url(kept, first_found(tie), ["municipio", "url"])
-    return merged.select(*schema.CANONICAL, "terminos_encontrado", "municipio")
+    return _picked(stored, _winners(found, "municipio", tie), "municipio")
 
 
 # ── Departments with backup ──────────────────────────────────────────────────
@@ -192,35 +293,33 @@ def department_corpus(
 ) -> DataFrame:
     """Corpus of every department of the plan, topped up where it is thin.
 
-    Local and backup rows are read in one scan and grouped in one shuffle: each
-    URL keeps its first local copy with the local terms, or else its first backup
-    copy with the backup terms. Backup-only URLs are then dropped for departments
-    that have ``min_articles`` local ones. ``settle`` is applied to the relevant
-    rows; beside the grouping they are read for the searches without results and for
-    the article counts, both without the texts.
+    Local and backup rows are read in one scan: each URL keeps its first local copy with
+    the local terms, or else its first backup copy with the backup terms. Backup-only
+    URLs are then dropped for departments that have ``min_articles`` local ones.
+    ``settle`` keeps the relevant rows; all decisions read an index of them, and the
+    rows that stay are joined to it once.
     """
+    stored, winners = _department_winners(
+        candidates, plan, lo, hi, min_articles, use_backup, tie, settle
+    )
+    columns = [field.name for field in schema.CORPUS.fields]
+    return _picked(stored, winners, "departamento").select(*columns)
+
+
+def _department_winners(
+    candidates: DataFrame, plan: DataFrame, lo: str | None, hi: str | None, min_articles: int,
+    use_backup: bool, tie: Sequence[str], settle: Settle,
+) -> tuple[DataFrame, DataFrame]:
+    """The stored relevant rows of all departments, and which of them make the corpus."""
     if not use_backup:
         plan = plan.filter(F.col("origen") != BACKUP)
-    matched = settle(match_plan(candidates, plan, lo, hi))
-    found = _with_stand_in(matched, plan, ["departamento", "tema"])
-
-    backup = F.col("origen") == BACKUP
-    payload = [name for name in schema.CANONICAL if name != "url"]
-    grouped = found.groupBy("departamento", "url").agg(
-        F.min(backup).alias("_only_backup"),
-        F.min_by(F.struct(*payload), F.struct(backup, *first_found(tie))).alias("_first"),
-        joined_terms(F.col("tema"), ~backup).alias("_local_terms"),
-        joined_terms(F.col("tema"), backup).alias("_backup_terms"),
-    )
+    stored = _numbered(match_plan(candidates, plan, lo, hi), settle)
+    index = _index(stored, "departamento", tie)
+    index = _with_stand_in(index, plan, ["departamento", "tema"])
+    winners = _winners(index, "departamento", tie)
     if use_backup:
-        grouped = _drop_unneeded_backup(grouped, min_articles, is_small(plan))
-    terms = F.when(F.col("_only_backup"), F.col("_backup_terms")).otherwise(F.col("_local_terms"))
-    columns = [field.name for field in schema.CORPUS.fields]
-    return grouped.select(
-        *[F.col(f"_first.{name}").alias(name) for name in payload], "url",
-        F.when(F.col("url").isNotNull(), terms).alias("terminos_encontrado"),
-        "departamento",
-    ).select(*columns)
+        winners = _drop_unneeded_backup(winners, min_articles, is_small(plan))
+    return stored, winners
 
 
 def _drop_unneeded_backup(grouped: DataFrame, min_articles: int, small: bool) -> DataFrame:
@@ -257,15 +356,17 @@ def all_departments_corpus(
     """Build and store the departments that are not stored yet; return all of them.
 
     Intermediate results read twice are stored in the shared folder, so candidates
-    are scanned once. The result is read back from ``root``.
+    are scanned once. Texts are shuffled once, by department and file, and stored as they
+    arrive. The result is read back from ``root``; ``run_summary`` reports it.
     """
     pending = resume_plan(departments, root, force).select("departamento")
     # Pinned, as the stored partitions it depends on change while they are written.
     todo = pin(plan.join(pending, "departamento", "left_semi"))
-    corpus = department_corpus(
+    stored, winners = _department_winners(
         candidates, todo, lo, hi, min_articles, use_backup, tie, settle
     )
-    write_corpus(corpus, root)
+    winners = shared_table(winners, "winners")  # narrow; read for the slots and for the rows
+    write_corpus(_picked_by_file(stored, winners, "departamento"), root, dealt=True)
     return existing_corpus(departments, root).select(
         *[field.name for field in schema.CORPUS.fields]
     )

@@ -10,15 +10,16 @@ from noticiario.sources.readers import bad_files, corpus_inventory, read_corpus
 from noticiario.session import broadcast_if_small
 
 
-def write_corpus(df: DataFrame, root: str) -> None:
+def write_corpus(df: DataFrame, root: str, dealt: bool = False) -> None:
     """One partition folder per department; departments without rows write nothing.
 
     Departments present in ``df`` are replaced, the others stay. Rebalancing lets
-    a large department fill many files while small ones share a task.
+    a large department fill many files while small ones share a task; rows that are
+    ``dealt`` by department already are written as they are.
     """
+    rows = df.select(*[field.name for field in schema.CORPUS.fields])
     (
-        df.select(*[field.name for field in schema.CORPUS.fields])
-        .hint("rebalance", F.col("departamento"))
+        (rows if dealt else rows.hint("rebalance", F.col("departamento")))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("departamento")

@@ -78,9 +78,53 @@ def test_candidates_are_never_shuffled_before_they_are_filtered(spark, sf_small)
     )
     plan = plan_of(built)
     assert "SortMergeJoin [fuente" not in plan
-    # Only the grouping by URL moves texts; the article counts are narrow.
-    wide = [line for line in plan.splitlines() if "partial_min_by" in line]
-    assert len(wide) == 1
+    # No aggregation and no grouping holds a text.
+    grouped = [line for line in plan.splitlines() if "Aggregate(" in line or "Window" in line]
+    assert grouped and not any("texto" in line for line in grouped)
+
+
+def text_exchanges(plan):
+    """Exchanges below which a text column is read or handed on, by their own output."""
+    return [line for line in plan.splitlines() if "Exchange" in line and "texto" in line]
+
+
+def test_stored_corpus_moves_texts_once(spark, sf_small):
+    stored, winners = corpus._department_winners(
+        views.articles(spark, sf_small).drop("departamento", "tema", "tema_pos"), views.plan(spark),
+        views.LO, views.HI, 50, True, ["doc_id"], shared_table,
+    )
+    dealt = corpus._picked_by_file(stored, shared_table(winners, "winners"), "departamento")
+    plan = dealt._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    # the arguments of an exchange name its input columns
+    moved = [part for part in plan.split("\n\n") if re.search(r"\) Exchange\n", part) and "texto" in part]
+    assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved[0]
+    picked = corpus._picked(stored, winners, "departamento")
+    assert sorted(map(str, dealt.select("url", "texto", "terminos_encontrado").collect())) == sorted(
+        map(str, picked.select("url", "texto", "terminos_encontrado").collect())
+    )
+
+
+@pytest.mark.parametrize("hot", ["'hot'", "NULL"])
+def test_hot_url_in_the_corpus(spark, hot):
+    """A third of all rows under one URL, or under none: one winner and all terms."""
+    plan = views.plan(spark)
+    terms = [r.termino for r in plan.filter("fuente = 'src0'").select("termino").distinct().limit(2).collect()]
+    rows = spark.range(30_000).selectExpr(
+        "'src0' AS fuente", f"IF(id % 2 = 0, '{terms[0]}', '{terms[1]}') AS termino", "'p' AS periodico",
+        "'The title' AS titulo", f"IF(id % 3 = 0, {hot}, concat('u', id % 500)) AS url",
+        "timestamp_seconds(1680000000 + id) AS fecha", "'The the the the text' AS texto", "id AS doc_id",
+    )
+    for salts in (1, 16):
+        index = corpus._index(corpus.match_plan(rows, plan).withColumn("_fila", F.monotonically_increasing_id()), "departamento", ["doc_id"])
+        won = corpus._winners(index, "departamento", ["doc_id"], salts)
+        matched = index.groupBy("departamento", "url").agg(F.count("*").alias("n")).collect()
+        assert won.count() == len(matched) and max(r.n for r in matched) == 10_000
+        firsts = {r._fila for r in won.collect()}
+        if salts == 1:
+            kept = firsts
+    assert firsts == kept
 
 
 def test_pages_are_parsed_before_the_join(spark, sf_small):
