@@ -16,7 +16,7 @@ from noticiario.operators import reports, sets
 from noticiario.plans import consolidate, corpus, progress
 from noticiario.plans.health import health_report
 from noticiario.session import shared_path
-from noticiario.sources import readers, writers
+from noticiario.sources import manifest, readers, writers
 from noticiario.streaming import arrivals
 
 _FECHA = "strftime(fecha, '%Y-%m-%d %H:%M:%S') AS fecha"
@@ -119,6 +119,78 @@ def resume_plan(spark, sf):
     return writers.resume_plan(rows.select("departamento").distinct(), root)
 
 
+def behind_the_manifest(spark, sf, rows):
+    """A store in which one department was replaced by another writer, and an empty one added."""
+    root = stored(spark, sf, rows)
+    columns = [field.name for field in schema.CORPUS.fields]
+    dated = rows.filter("departamento = 'Der' AND fecha IS NOT NULL").select(*columns)
+    (dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("departamento").parquet(root))
+    rows.limit(0).select(*columns).drop("departamento").write.parquet(f"{root}/departamento=Vacio")
+    return root
+
+
+@query(
+    "resume_plan_damaged",
+    "SELECT unnest(['Der', 'Nuevo']) AS departamento",
+)
+def resume_plan_damaged(spark, sf):
+    """A department whose committed files are gone is built again, an empty one is not."""
+    rows = corpus_rows(spark, sf)
+    root = behind_the_manifest(spark, sf, rows)
+    more = spark.range(2).select(F.when(F.col("id") == 0, "Vacio").otherwise("Nuevo").alias("departamento"))
+    return writers.resume_plan(rows.select("departamento").union(more).distinct(), root)
+
+
+@query(
+    "file_states",
+    with_views(
+        ["articles"],
+        """SELECT departamento, 'bien' AS estado, count(*) AS filas FROM articles
+          WHERE departamento <> 'Der' OR fecha IS NOT NULL GROUP BY 1
+        UNION ALL SELECT 'Der', 'falta', count(*) FROM articles WHERE departamento = 'Der'
+        UNION ALL SELECT 'Vacio', 'vacio', 0""",
+    ),
+)
+def file_states_query(spark, sf):
+    """Sound, missing and empty files, with the rows they hold or held."""
+    root = behind_the_manifest(spark, sf, corpus_rows(spark, sf))
+    states = manifest.file_states(spark, root)
+    return states.groupBy("departamento", "estado").agg(F.sum("filas").alias("filas"))
+
+
+@query(
+    "run_summary",
+    with_views(["articles"], "").rstrip()
+    + f""", errors AS (SELECT ['The', 'Fuera'][user_id % 4 + 1] AS departamento FROM events WHERE event_type = 'error'),
+    rows AS (SELECT pos, d.departamento, (SELECT count(*) FROM articles a WHERE a.departamento = d.departamento) AS articulos,
+        (SELECT count(*) FROM errors e WHERE e.departamento = d.departamento) AS errores,
+        (SELECT min(fecha) FROM articles a WHERE a.departamento = d.departamento) AS desde,
+        (SELECT max(fecha) FROM articles a WHERE a.departamento = d.departamento) AS hasta
+      FROM (SELECT * FROM (VALUES (1, 'The'), (2, 'De la'), (3, 'Der'), (4, 'El'), (5, 'Fuera')) AS t(pos, departamento)) d)
+    SELECT pos, departamento, articulos, errores, CASE WHEN errores > 0 THEN 'con error' WHEN articulos > 0
+        THEN 'con datos' ELSE 'sin datos' END AS estado, strftime(desde, '%Y-%m-%d %H:%M:%S') AS desde,
+      strftime(hasta, '%Y-%m-%d %H:%M:%S') AS hasta FROM rows
+    UNION ALL SELECT NULL, CAST(count(*) FILTER (articulos > 0) AS VARCHAR), CAST(sum(articulos) AS BIGINT),
+      count(*) FILTER (errores > 0), CAST(count(*) AS VARCHAR), strftime(min(desde), '%Y-%m-%d %H:%M:%S'),
+      strftime(max(hasta), '%Y-%m-%d %H:%M:%S') FROM rows""",
+)
+def run_summary_query(spark, sf):
+    """Departments with data, without and failed, and the totals, from the manifest alone."""
+    root = stored(spark, sf)
+    places = views.departments(spark).select("pos", "departamento")
+    places = places.union(places.filter("pos = 1").select(F.lit(5), F.lit("Fuera")))
+    named = F.get(F.array(F.lit("The"), F.lit("Fuera")), (F.col("user_id") % 4).cast("int"))
+    errors = views.read(spark, sf, "events").filter("event_type = 'error'").select(named.alias("departamento"))
+    parts = corpus.run_report(places, root, errors)
+    total = parts["total"].select(
+        F.col("con_datos").cast("string").alias("departamento"), "articulos", F.col("con_error").alias("errores"),
+        F.col("departamentos").cast("string").alias("estado"), "desde", "hasta",
+    )
+    both = sets.union_all([parts["departamentos"].drop("archivos"), total])
+    return both.withColumns({name: F.date_format(name, "yyyy-MM-dd HH:mm:ss") for name in ("desde", "hasta")})
+
+
 @query(
     "existing_corpus",
     with_views(["articles"], "SELECT departamento, url, titulo FROM articles WHERE departamento IN ('De la', 'El')"),
@@ -140,8 +212,11 @@ def all_departments_corpus(spark, sf):
     return built.withColumn("fecha", shown())
 
 
+_SLUG = "CASE departamento WHEN 'De la' THEN 1 WHEN 'Der' THEN 2 WHEN 'El' THEN 3 ELSE 4 END"
+
+
 def _clean_sql(before: str, after: str) -> str:
-    slug = "CASE departamento WHEN 'De la' THEN 1 WHEN 'Der' THEN 2 WHEN 'El' THEN 3 ELSE 4 END"
+    slug = _SLUG
     return with_views(["articles"], "").rstrip() + f""", blanked AS (SELECT * REPLACE (
         CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE texto END AS texto) FROM articles)
       SELECT departamento, url, titulo, {_FECHA}, texto FROM (SELECT * FROM blanked WHERE {before}
@@ -173,6 +248,39 @@ def consolidate_content_first(spark, sf):
     return cleaned.select("departamento", "url", "titulo", shown(), "texto")
 
 
+@query(
+    "consolidate_report",
+    _clean_sql("departamento <> 'Der' OR fecha IS NOT NULL", _FILLED).rsplit("SELECT departamento, url", 1)[0]
+    + f""", present AS (SELECT * FROM blanked WHERE departamento <> 'Der' OR fecha IS NOT NULL),
+    cleaned AS (SELECT * FROM (SELECT * FROM present QUALIFY row_number() OVER (PARTITION BY url
+      ORDER BY {_SLUG}, fecha DESC NULLS LAST, periodico, titulo, texto) = 1) WHERE {_FILLED})
+    SELECT 'duplicados' AS parte, unnest(['total', 'unicos', 'duplicados']) AS clave, unnest([n, u, n - u]) AS n,
+      NULL AS desde, NULL AS hasta FROM (SELECT count(*) AS n, count(DISTINCT coalesce(url, '?')) AS u FROM present)
+    UNION ALL SELECT 'fechas', NULL, NULL, strftime(min(fecha), '%Y-%m-%d %H:%M:%S'),
+      strftime(max(fecha), '%Y-%m-%d %H:%M:%S') FROM cleaned
+    UNION ALL SELECT 'departamentos', departamento, count(*), NULL, NULL FROM cleaned GROUP BY departamento
+    UNION ALL SELECT 'archivos', departamento, count(*), NULL, NULL FROM present GROUP BY departamento
+    UNION ALL SELECT 'omitidos', 'Der falta', NULL, NULL, NULL
+    UNION ALL SELECT 'vacios', 'Vacio', NULL, NULL, NULL""",
+)
+def consolidate_report(spark, sf):
+    """Counts, dates, files, and what was passed over."""
+    root = behind_the_manifest(spark, sf, _blanked(spark, sf))
+    order = consolidate.file_order(["periodico", "titulo", "texto"])
+    parts = consolidate.consolidation_report(spark, root, order=order)
+    name = F.url_decode(F.url_decode(F.regexp_extract("archivo", "departamento=([^/]*)/", 1)))
+    files = parts["archivos"].groupBy(name.alias("clave")).agg(F.sum("n").alias("n"))
+    shown_parts = {
+        "duplicados": parts["duplicados"].unpivot([], ["total", "unicos", "duplicados"], "clave", "n"),
+        "fechas": parts["fechas"].select(shown("desde"), shown("hasta")),
+        "departamentos": parts["departamentos"].withColumnRenamed("departamento", "clave"),
+        "archivos": files,
+        "omitidos": parts["omitidos"].select(F.concat_ws(" ", "departamento", "estado").alias("clave")).distinct(),
+        "vacios": parts["vacios"].select(F.col("departamento").alias("clave")),
+    }
+    return sets.union_all([df.withColumn("parte", F.lit(part)) for part, df in shown_parts.items()])
+
+
 @query(
     "write_health_report",
     with_views(

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from noticiario import schema
 from noticiario.functions import text
 from noticiario.operators import reports
 from noticiario.operators.columns import normalise_dates
 from noticiario.operators.dedup import dedup_keep_first, recent_first
 from noticiario.operators.filters import drop_empty_text
+from noticiario.session import pin
+from noticiario.sources.manifest import EMPTY, file_states, skipped_files
 from noticiario.sources.readers import read_corpus, require_columns
 
 
@@ -62,3 +65,20 @@ def summaries(stored: DataFrame, cleaned: DataFrame) -> dict[str, DataFrame]:
         "departamentos": reports.count_by_department(cleaned),
         "archivos": reports.file_counts(stored),
     }
+
+
+def consolidation_report(
+    spark: SparkSession, root: str, content_first: bool = False,
+    order: Sequence[Column] | None = None,
+) -> dict[str, DataFrame]:
+    """:func:`summaries` of a stored corpus, with the files that were passed over.
+
+    ``omitidos`` names missing and damaged files, by the manifest where it knows them;
+    ``vacios`` those that are sound but hold no rows.
+    """
+    stored = read_corpus(spark, root, tolerate_bad=True, row_type=schema.CORPUS, with_file=True)
+    states = pin(file_states(spark, root), "states")
+    return summaries(stored, clean(stored, order, content_first)) | {
+        "omitidos": skipped_files(states),
+        "vacios": states.filter(F.col("estado") == EMPTY).select("archivo", "departamento"),
+    }

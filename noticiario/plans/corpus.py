@@ -30,6 +30,7 @@ from noticiario.operators.joins import zero_result_sources
 from noticiario.operators.sets import order_by_config
 from noticiario.session import broadcast_if_small, is_small, pin, shared_table
 from noticiario.sources.dimensions import FALLBACK, MIN_ARTICLES, TOPICS
+from noticiario.sources.manifest import file_states, manifest, run_summary
 from noticiario.sources.registry import BACKUP, LOCAL, STAND_IN, search_terms
 from noticiario.sources.writers import existing_corpus, resume_plan, write_corpus
 
@@ -357,7 +358,7 @@ def all_departments_corpus(
 
     Intermediate results read twice are stored in the shared folder, so candidates
     are scanned once. Texts are shuffled once, by department and file, and stored as they
-    arrive. The result is read back from ``root``; ``run_summary`` reports it.
+    arrive. The result is read back from ``root``; :func:`run_report` sums it up.
     """
     pending = resume_plan(departments, root, force).select("departamento")
     # Pinned, as the stored partitions it depends on change while they are written.
@@ -372,6 +373,15 @@ def all_departments_corpus(
     )
 
 
+def run_report(
+    departments: DataFrame, root: str, errors: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Closing summary of the departments stored under ``root``; reads no article."""
+    spark = departments.sparkSession
+    states = pin(file_states(spark, root), "states")
+    return run_summary(departments, states, manifest(spark, root), errors)
+
+
 def in_department_order(corpus: DataFrame, departments: DataFrame) -> DataFrame:
     """Rows by configured department order, then latest first."""
     latest = F.col("fecha").desc_nulls_last()

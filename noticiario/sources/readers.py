@@ -44,52 +44,88 @@ def require_columns(df: DataFrame, required: Sequence[str] = tuple(schema.REQUIR
     return df
 
 
-_INVENTORY = "path string, length bigint, modificationTime timestamp"
+_INVENTORY = "path string, length bigint, modificationTime timestamp, content binary"
+# A file without rows is no longer than this.
+_EMPTY_BYTES = 1 << 20
 
 
-def corpus_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Stored corpus files: ``archivo, departamento, mb, modificado``.
-
-    Only the file listing is read, no content. A folder that does not exist yet
-    is an empty inventory.
-    """
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """The Parquet files under ``root``; contents are read only if they are selected."""
     try:
-        files = (
+        return (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", "*.parquet")
             .load(root)
-            .select("path", "length", "modificationTime")
         )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        files = spark.createDataFrame([], _INVENTORY)
+        return spark.createDataFrame([], _INVENTORY)
+
+
+def _department() -> Column:
     folder = F.regexp_extract("path", r"departamento=([^/]*)/", 1)
     # Partition folders percent-encode special characters; a plus sign stays.
-    decoded = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
-    return files.select(
+    return F.nullif(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))), F.lit(""))
+
+
+def corpus_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Stored corpus files: ``archivo, departamento, mb, modificado``.
+
+    Only the file listing is read, no content. A folder that does not exist yet
+    is an empty inventory.
+    """
+    return _listing(spark, root).select(
         F.col("path").alias("archivo"),
-        F.nullif(decoded, F.lit("")).alias("departamento"),
+        _department().alias("departamento"),
         F.round(F.col("length") / 1048576, 1).alias("mb"),
         F.col("modificationTime").alias("modificado"),
     )
 
 
-def bad_files(inventory: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Inventory files from which a tolerant read got no rows."""
-    loaded = corpus.select(_plain_path(F.col("archivo")).alias("_path")).distinct()
+def stored_files(spark: SparkSession, root: str, marks: bool = False) -> DataFrame:
+    """Stored corpus files by comparable paths: ``archivo, departamento, bytes``.
+
+    With ``marks`` also ``valido``: whether a file short enough to hold no rows has the
+    marks of its format at both ends. Only such files are opened; others are null.
+    """
+    files = _listing(spark, root)
+    columns = [
+        plain_path(F.col("path")).alias("archivo"), _department().alias("departamento"),
+        F.col("length").alias("bytes"),
+    ]
+    if not marks:
+        return files.select(*columns)
+    ends = [F.substring("content", 1, 4), F.substring("content", -4, 4)]
+    valid = (ends[0] == F.lit(b"PAR1")) & (ends[1] == F.lit(b"PAR1"))
+    # the length filter reaches the listing, so long contents are never loaded
+    return files.filter(F.col("length") <= _EMPTY_BYTES).select(*columns, valid.alias("valido"))
+
+
+def bad_files(inventory: DataFrame, corpus: DataFrame, root: str | None = None) -> DataFrame:
+    """Inventory files from which a tolerant read got no rows.
+
+    With ``root`` files that are valid without rows are left out.
+    """
+    loaded = corpus.select(plain_path(F.col("archivo"), True).alias("_path")).distinct()
+    if root is not None:
+        empty = stored_files(corpus.sparkSession, root, marks=True).filter("valido")
+        loaded = loaded.union(empty.select("archivo"))
     return (
-        inventory.withColumn("_path", _plain_path(F.col("archivo")))
+        inventory.withColumn("_path", plain_path(F.col("archivo")))
         .join(loaded, "_path", "left_anti")
         .drop("_path")
     )
 
 
-def _plain_path(path: Column) -> Column:
-    """Path without scheme and without percent encoding, to compare both readers."""
+def plain_path(path: Column, encoded: bool = False) -> Column:
+    """Path without scheme, as file listings give it.
+
+    The file column of a reader is an address, percent-encoded once: ``encoded`` undoes it.
+    """
     bare = F.regexp_replace(path, r"^[A-Za-z0-9]+:/+", "/")
-    return F.url_decode(F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))))
+    return F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))) if encoded else bare
 
 
 # ── Pages ────────────────────────────────────────────────────────────────────

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticiario import schema
-from noticiario.sources.readers import bad_files, corpus_inventory, read_corpus
-from noticiario.session import broadcast_if_small
+from noticiario.session import broadcast_if_small, pin
+from noticiario.sources import manifest
+from noticiario.sources.readers import read_corpus, stored_files
 
 
 def write_corpus(df: DataFrame, root: str, dealt: bool = False) -> None:
@@ -15,8 +16,11 @@ def write_corpus(df: DataFrame, root: str, dealt: bool = False) -> None:
 
     Departments present in ``df`` are replaced, the others stay. Rebalancing lets
     a large department fill many files while small ones share a task; rows that are
-    ``dealt`` by department already are written as they are.
+    ``dealt`` by department already are written as they are. Afterwards the manifest gets
+    the lines of the new files; a run that ends before leaves files that readers open.
     """
+    spark = df.sparkSession
+    before = pin(stored_files(spark, root), "files")
     rows = df.select(*[field.name for field in schema.CORPUS.fields])
     (
         (rows if dealt else rows.hint("rebalance", F.col("departamento")))
@@ -25,34 +29,23 @@ def write_corpus(df: DataFrame, root: str, dealt: bool = False) -> None:
         .partitionBy("departamento")
         .parquet(root)
     )
+    manifest.commit(spark, root, before)
 
 
-def stored_departments(df_inventory: DataFrame, root: str, readable: bool = True) -> DataFrame:
-    """Departments that have stored files; with ``readable``, only files that open.
-
-    A department counts as damaged if any of its files opens without giving a row or
-    does not open. File footers and partition names are read, no column data.
-    """
-    found = df_inventory.select("departamento")
-    if readable and not df_inventory.isEmpty():
-        corpus = read_corpus(
-            df_inventory.sparkSession, root, tolerate_bad=True, row_type=schema.CORPUS,
-            with_file=True,
-        )
-        damaged = bad_files(df_inventory, corpus).select("departamento")
-        found = found.join(damaged, "departamento", "left_anti")
-    return found.filter("departamento IS NOT NULL").distinct()
+def stored_departments(spark: SparkSession, root: str) -> DataFrame:
+    """Departments whose stored files are all there and sound, empty ones included."""
+    return manifest.sound_departments(manifest.file_states(spark, root))
 
 
 def resume_plan(departments: DataFrame, root: str, force: bool = False) -> DataFrame:
     """Departments of the plan that still have to be built.
 
-    A stored department is skipped unless ``force``; one with any file that cannot be
-    read is built again.
+    A stored department is skipped unless ``force``; one with a missing or damaged file
+    is built again.
     """
     if force:
         return departments
-    stored = stored_departments(corpus_inventory(departments.sparkSession, root), root)
+    stored = stored_departments(departments.sparkSession, root)
     return departments.join(stored, "departamento", "left_anti")
 
 

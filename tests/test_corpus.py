@@ -5,6 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from checks import views
+from noticiario import schema
 from noticiario.plans import consolidate, corpus
 from noticiario.sources import dimensions, readers, registry, writers
 
@@ -238,3 +240,84 @@ def test_consolidation_order(spark):
     )
     assert rows(consolidate.clean(data), "titulo") == [("d",)]
     assert rows(consolidate.clean(data, content_first=True), "titulo") == [("b",), ("d",)]
+
+
+def test_states_of_stored_files(spark, tmp_path):
+    import glob
+    import os
+
+    from noticiario.sources import manifest
+
+    root = str(tmp_path / "corpus")
+    rows = spark.range(400).selectExpr(
+        "'p' AS periodico", "concat('t', id) AS titulo", "timestamp_seconds(1680000000 + id) AS fecha",
+        "repeat(concat('texto ', id, ' '), 50) AS texto", "IF(id % 10 = 0, NULL, concat('u', id)) AS url",
+        "'a' AS terminos_encontrado",
+        "element_at(array('Uno', 'Dos ñ+%', 'Tres', 'Cuatro', 'Cinco'), cast(id % 5 + 1 as int)) AS departamento",
+    )
+    writers.write_corpus(rows, root)
+    lines = {r.departamento: r for r in manifest.manifest(spark, root).collect()}
+    assert {d: (r.filas, r.sin_url) for d, r in lines.items()} == {
+        "Uno": (80, 40), "Dos ñ+%": (80, 0), "Tres": (80, 0), "Cuatro": (80, 0), "Cinco": (80, 0)}
+    assert all((r.hasta - r.desde).total_seconds() == 395 for r in lines.values())
+    assert readers.read_corpus(spark, root).count() == 400  # the manifest is no part of the corpus
+
+    def states(**more):
+        found = manifest.file_states(spark, root, **more).collect()
+        return {r.departamento: (r.estado, r.filas) for r in found}
+
+    assert states() == states(deep=True) == {d: ("bien", 80) for d in lines}
+
+    def file_of(name):
+        (found,) = glob.glob(f"{root}/departamento={name}*/*.parquet")
+        for checksum in glob.glob(f"{root}/departamento={name}*/.*.crc"):
+            os.remove(checksum)  # shared stores have none
+        return found
+
+    with open(file_of("Uno"), "r+b") as f:  # cut short
+        f.truncate(os.path.getsize(f.name) - 7)
+    os.remove(file_of("Tres"))
+    with open(file_of("Cuatro"), "r+b") as f:  # same size, other content
+        f.seek(50)
+        f.write(b"\xff" * (os.path.getsize(f.name) // 2))
+    for name, content in {"Basura": b"nothing", "Falso": b"PAR1" + b"x" * (1 << 20) + b"PAR1"}.items():
+        os.makedirs(f"{root}/departamento={name}")
+        with open(f"{root}/departamento={name}/a.parquet", "wb") as f:
+            f.write(content)
+    columns = [c for c in rows.columns if c != "departamento"]
+    rows.limit(0).select(*columns).write.parquet(f"{root}/departamento=Vacio")
+    rows.limit(3).select(*columns).write.parquet(f"{root}/departamento=Ajeno")
+    wanted = {
+        "Uno": ("danado", 80), "Dos ñ+%": ("bien", 80), "Tres": ("falta", 80), "Cuatro": ("bien", 80),
+        "Cinco": ("bien", 80), "Basura": ("danado", 0), "Falso": ("danado", 0), "Vacio": ("vacio", 0),
+        "Ajeno": ("bien", 3),
+    }
+    assert states() == wanted
+    assert states(deep=True) == wanted | {"Cuatro": ("danado", 80)}
+    places = spark.createDataFrame([(k, d) for k, d in enumerate([*wanted, "Nuevo"])], "pos int, departamento string")
+    pending = {r.departamento for r in writers.resume_plan(places, root).collect()}
+    assert pending == {"Uno", "Tres", "Basura", "Falso", "Nuevo"}
+    inventory = readers.corpus_inventory(spark, root)
+    stored = readers.read_corpus(spark, root, tolerate_bad=True, row_type=schema.CORPUS, with_file=True)
+    bad = {r.departamento for r in readers.bad_files(inventory, stored, root).collect()}
+    assert {"Basura", "Falso"} <= bad and not bad & {"Vacio", "Ajeno", "Cinco"}
+
+    # building a department again replaces its lines alone
+    writers.write_corpus(rows.filter("departamento = 'Uno' AND url IS NOT NULL"), root)
+    assert states()["Uno"] == ("bien", 40) and states()["Cinco"] == ("bien", 80)
+    summary = corpus.run_report(places, root, spark.createDataFrame([("Cinco", "x")], "departamento string, m string"))
+    kept = {r.departamento: (r.articulos, r.estado) for r in summary["departamentos"].collect()}
+    assert kept["Uno"] == (40, "con datos") and kept["Nuevo"] == (0, "sin datos")
+    assert kept["Cinco"] == (80, "con error") and kept["Tres"] == (80, "con error")
+    total = summary["total"].first()
+    assert (total.departamentos, total.con_datos, total.con_error) == (10, 5, 4)
+
+
+def test_summary_reads_no_article(spark, sf_small, tmp_path):
+    root = str(tmp_path / "corpus")
+    writers.write_corpus(views.articles(spark, sf_small).withColumn("terminos_encontrado", F.col("tema")), root)
+    places = views.departments(spark)
+    for part in corpus.run_report(places, root).values():
+        files = part.inputFiles()
+        assert any("_manifiesto" in f for f in files)
+        assert not any(root in f and "_manifiesto" not in f for f in files)
