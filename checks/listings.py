@@ -10,6 +10,8 @@ from checks.registered import query
 from checks.views import LIST_HI, LIST_LO, shown, with_views
 from noticiario.operators import dedup, joins, listing
 from noticiario.plans.listings import candidates_from_pages, replay_source
+from noticiario.session import shared_path
+from noticiario.sources.keys import KeyStore
 from noticiario.sources.rules import ListingRule
 
 _COLUMNS = "periodico, termino, page, pos, link"
@@ -272,6 +274,25 @@ def known_links(spark, sf):
     return columns(joins.known_links(rows, seen))
 
 
+@query(
+    "new_links",
+    with_views(
+        ["listing"],
+        f"SELECT {_COLUMNS} FROM listing WHERE link NOT IN (SELECT link FROM listing WHERE fecha > {_HI} "
+        f"OR fecha < {_LO})",
+    ),
+)
+def new_links(spark, sf):
+    """The history grows by two batches, one of them stored twice."""
+    rows = views.listing(spark, sf)
+    hi, lo = (F.lit(f"{day} 00:00:00").cast("timestamp") for day in (LIST_HI, LIST_LO))
+    store = KeyStore(spark, shared_path(spark, "keys"), buckets=16)
+    store.add(rows.filter(F.col("fecha") > hi), "link", batch=0)
+    for _ in range(2):
+        store.add(rows.filter(F.col("fecha") < lo), "link", batch=1)
+    return columns(joins.new_links(rows, store))
+
+
 _PAGE_LINKS = """links AS (SELECT 'p' || (page_id % 3) AS periodico, 't' || (page_id % 2) AS termino,
     CAST(page_id AS INTEGER) AS page, 0 AS pos, url AS link,
     CASE WHEN page_id % 4 <> 0 THEN TIMESTAMP '2023-01-01' + to_days(CAST(page_id AS INTEGER)) END AS fecha

@@ -12,13 +12,15 @@ from checks.corpora import DEPARTMENT_SQL
 from checks.registered import query
 from checks.views import HI, LO, shown, with_views
 from noticiario import schema
-from noticiario.operators import reports, sets
+from noticiario.operators import dedup, reports, sets
 from noticiario.plans import consolidate, corpus, progress
 from noticiario.plans.health import health_report
 from noticiario.session import shared_path
 from noticiario.sources import manifest, readers, writers
+from noticiario.sources.keys import KeyStore
 from noticiario.streaming import arrivals
 
+_RECENT = "fecha DESC NULLS LAST"
 _FECHA = "strftime(fecha, '%Y-%m-%d %H:%M:%S') AS fecha"
 
 
@@ -381,6 +383,29 @@ def stream_dedup(spark, sf):
     return readers.read_corpus(spark, root, row_type=schema.CORPUS).select("url")
 
 
+@query(
+    "stream_first_seen",
+    with_views(
+        ["articles"],
+        f"""SELECT departamento, url, titulo, {_FECHA}, texto FROM articles {_HITS}
+          QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id % 3, {_RECENT}, doc_id) = 1""",
+    ),
+)
+def stream_first_seen(spark, sf):
+    """Batches in a known order; the first row of each URL stays, later batches add none."""
+    folder, root = shared_path(spark, "arrivals"), shared_path(spark, "stream")
+    rows = views.articles(spark, sf).withColumn("terminos_encontrado", F.col("tema"))
+    store = KeyStore(spark, shared_path(spark, "keys"), buckets=16)
+    checkpoint = shared_path(spark, "checkpoint")
+    order = [*dedup.recent_first(), F.col("doc_id")]
+    for part in range(3):
+        rows.filter(F.col("doc_id") % 3 == part).write.mode("append").parquet(folder)
+        stream = arrivals.stream_articles(spark, folder, rows.schema, LO, HI, min_mentions=3, name_filter="*.parquet")
+        arrivals.write_first_seen(stream, root, store, checkpoint, True, order=order).awaitTermination()
+    kept = readers.read_corpus(spark, root, row_type=schema.CORPUS)
+    return kept.select("departamento", "url", "titulo", shown(), "texto")
+
+
 @query(
     "stream_on_batch",
     with_views(["articles"], f"SELECT periodico, count(*) AS n FROM articles {_HITS} GROUP BY 1"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticiario.session import broadcast_if_small
+from noticiario.sources.keys import KeyStore
 
 
 def listing_place() -> Column:
@@ -51,10 +52,20 @@ def listing_date(
 
 
 def known_links(listing: DataFrame, seen: DataFrame, keys: Sequence[str] = ("link",)) -> DataFrame:
-    """Listing rows whose link was not seen before."""
+    """Listing rows whose link was not seen before.
+
+    For a history that grows from run to run see ``sources.keys``: :func:`new_links`.
+    """
     return listing.join(seen.select(*keys), list(keys), "left_anti")
 
 
+def new_links(
+    listing: DataFrame, store: KeyStore, keys: Sequence[str] = ("link",), before: int | None = None
+) -> DataFrame:
+    """The same against a stored history, which is neither shuffled nor sorted anew."""
+    return store.unseen(listing, *keys, before=before)
+
+
 def backup_candidates(backup: DataFrame, used: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Backup sources that the plan does not search already."""
     return backup.join(broadcast_if_small(used.select(*keys)), list(keys), "left_anti")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from noticiario import schema
+from noticiario.operators.dedup import first_per_group
 from noticiario.operators.filters import filter_date_range, filter_relevant
+from noticiario.session import shared_table
+from noticiario.sources.keys import KeyStore
 
 
 def stream_articles(
@@ -47,7 +50,7 @@ def stream_dedup(stream: DataFrame, delay: str = "7 days", key: str = "url") ->
 
     State is bounded by arrival time; article dates may be missing or years old
     and cannot bound it. A copy that arrives later than ``delay`` after the first
-    is emitted again and is removed by the batch consolidation.
+    is emitted again; :func:`write_first_seen` never forgets one.
     """
     return stream.withWatermark("llegada", delay).dropDuplicatesWithinWatermark([key])
 
@@ -83,5 +86,43 @@ def on_batch(
     return _start(writer, available_now)
 
 
+def first_seen_batch(
+    batch: DataFrame, batch_id: int, root: str, store: KeyStore, key: str = "url",
+    order: Sequence[Column] = (), salts: int = 16,
+) -> None:
+    """Append the rows of a micro-batch whose key was never stored, the first of each.
+
+    Keys are cut inside the batch before the history is asked, first within map tasks, so
+    a hot key costs no task more than others. Rows and keys are stored under the number of
+    the batch, rows first: a batch that is repeated, after a failure at any point, sees the
+    history of the batches before it, and replaces what it had stored.
+    """
+    columns = [field.name for field in schema.CORPUS.fields if field.name in batch.columns]
+    total = [*order, F.col("llegada"), F.xxhash64(*columns), *[F.col(c) for c in columns if c != key]]
+    firsts = first_per_group(batch, [key], total, salts=salts)
+    new = shared_table(store.unseen(firsts, key, before=batch_id).select(*columns), "lote")
+    (
+        new.withColumn("lote", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("lote", "departamento").parquet(root)
+    )
+    store.add(new, key, batch=batch_id)
+
+
+def write_first_seen(
+    stream: DataFrame, root: str, store: KeyStore, checkpoint: str, available_now: bool = False,
+    key: str = "url", order: Sequence[Column] = (),
+) -> StreamingQuery:
+    """Keep the first row of each key for good, over all batches and restarts.
+
+    Unlike :func:`stream_dedup` nothing is forgotten and no state is held by executors: the
+    history is a stored table of hashes that each batch reads in its buckets. ``order``
+    ranks copies that arrive in one batch. The corpus is partitioned by batch and department.
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        first_seen_batch(batch, batch_id, root, store, key, order)
+
+    return on_batch(stream, keep, checkpoint, available_now)
+
+
 def _start(writer: DataStreamWriter, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
