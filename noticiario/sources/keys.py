@@ -40,12 +40,14 @@ class KeyStore:
         """Name in the session's catalog, which only points to the path."""
         table = f"claves_{hashlib.md5(self.path.encode()).hexdigest()}"
         if not self.spark.catalog.tableExists(table):
+            # the folder must be there to be searched for batches of earlier sessions
+            self.spark.range(0).write.mode("ignore").parquet(f"{self.path}/_claves")
             self.spark.sql(
                 f"CREATE TABLE {table} (_h1 BIGINT, _h2 BIGINT, lote BIGINT) USING parquet "
                 f"PARTITIONED BY (lote) CLUSTERED BY (_h1, _h2) SORTED BY (_h1) INTO {self.buckets} BUCKETS "
                 "LOCATION '" + self.path.replace("'", "''") + "'"
             )
-            self.spark.catalog.recoverPartitions(table)  # batches of earlier sessions
+            self.spark.catalog.recoverPartitions(table)
         return table
 
     def seen(self, before: int | None = None) -> DataFrame:
