@@ -172,6 +172,29 @@ for _name, _clock in {
     _date_query(_name, _clock)
 
 
+_LENIENT = ["EEE, dd MMM yyyy HH:mm:ss", "MMMM d, yyyy", "d MMMM yyyy h:mm a", "yyyyMMdd", "yyyyMMdd'T'HHmmss",
+            "MM/dd/yyyy HH:mm", "yyyy/MM/dd", "EEE MMM d HH:mm:ss yyyy"]
+# Hours and minutes that each form keeps of 22:41:07, moved by its offset.
+_LENIENT_SQL = "['03:41:07', '00:00:00', '22:41:00', '00:00:00', '22:41:07', '22:41:00', '00:00:00', '22:41:07']"
+
+
+@query(
+    "date_lenient",
+    f"""SELECT o_orderkey, strftime(o_orderdate + to_days(CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE 0 END), '%Y-%m-%d')
+      || ' ' || {_LENIENT_SQL}[o_orderkey % 8 + 1] AS fecha FROM orders""",
+)
+def date_lenient(spark, sf):
+    """Eight forms of a date, told apart by their shape."""
+    moment = F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL '22:41:07' HOUR TO SECOND")
+    key = F.col("o_orderkey") % len(_LENIENT)
+    written = F.lit(None).cast("string")
+    for k, form in enumerate(_LENIENT):
+        text = F.concat(F.date_format(moment, form), F.lit(" -0500" if k == 0 else ""))
+        written = F.when(key == k, text).otherwise(written)
+    parsed = views.read(spark, sf, "orders").select("o_orderkey", dates.to_utc_naive(written).alias("fecha"))
+    return parsed.select("o_orderkey", shown())
+
+
 @query(
     "date_es_relative",
     "SELECT o_orderkey, strftime(TIMESTAMP '2026-01-01' - to_hours(CAST(24 * (o_orderkey % 40) * "

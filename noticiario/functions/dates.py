@@ -214,9 +214,84 @@ def iso_datetime_short_offset(col: Column) -> Column:
     )
 
 
+# ── Any form ─────────────────────────────────────────────────────────────────
+
+_SHAPE_CLOCK = r"(?:,? ?a? ?9{1,2}:99(?::99(?:\.9+)?)?(?: ?a)?(?: ?[+-]99:?99)?(?: \(?a\)?)?)?"
+# Shapes of texts: every run of letters is one ``a``, every digit a ``9``.
+_SHAPES = {
+    "compact": r"^9{8}(?:[aA_ -]?9{6})?$",
+    "day_first": rf"^(?:a[.,]{{0,2}} )?9{{1,2}}a?[ -]a[.,]?[ -]9999{_SHAPE_CLOCK}$",
+    "month_first": rf"^(?:a[.,]{{0,2}} )?a\.? 9{{1,2}}a?,? 9999{_SHAPE_CLOCK}$",
+    "clock_inside": r"^a a 9{1,2} 99:99:99(?: a)? 9999$",
+    "slashes": rf"^9{{1,2}}([/.-])9{{1,2}}\1 ?9999{_SHAPE_CLOCK}$",
+    "year_first": rf"^9999([/.])9{{1,2}}\1 ?9{{1,2}}{_SHAPE_CLOCK}$",
+}
+
+
+def _taken(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, f"(?i){pattern}", group), F.lit(""))
+
+
+def _clock_of(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Hour, minute, second, and minutes east of UTC of the clock in a text; 0 without."""
+    clock = r"(?<!\d)(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?(?: ?([ap])\.?m)?"
+    hour, minute, second = (_number(_taken(text, clock, k)) for k in (1, 2, 3))
+    half = F.lower(_taken(text, clock, 4))
+    hour = F.when(half.isNotNull(), F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0)).otherwise(hour)
+    zone = r":\d{2}(?:\.\d+)? ?([+-])(\d{2}):?(\d{2})"
+    east = (_number(_taken(text, zone, 2)) * 60 + _number(_taken(text, zone, 3))) * F.when(
+        _taken(text, zone) == "-", -1
+    ).otherwise(1)
+    zero = F.lit(0)
+    return F.coalesce(hour, zero), F.coalesce(minute, zero), F.coalesce(second, zero), F.coalesce(east, zero)
+
+
+def _at(text: Column, year: Column, month: Column, day: Column) -> Column:
+    hour, minute, second, east = _clock_of(text)
+    local = F.try_make_timestamp(year, month, day, hour, minute, second.cast("decimal(8,6)"))
+    return local - F.make_dt_interval(mins=east)
+
+
 def to_utc_naive(col: Column) -> Column:
-    """Coerce to a UTC timestamp: offsets are converted, failures are null."""
-    return F.try_to_timestamp(col.cast("string"))
+    """Any usual form to a UTC timestamp: offsets are converted, failures are null.
+
+    ISO texts and what Spark casts are read as before. Other texts are told apart by their
+    shape, and one parser reads each: ``Tue, 05 Mar 2024 10:00:00 -0500``, ``5 March 2024``,
+    ``March 5, 2024 3:15 PM``, ``Tue Mar  5 10:00:00 2024``, ``20240305`` with or without
+    ``T101500``, ``05/03/2024``, ``2024/03/05``. Month names are English. Of two numbers
+    before a year the first is the month, unless it is above 12. Named zones count as UTC.
+    """
+    text = F.regexp_replace(_strip(col.cast("string")), r"\s+", " ")
+    shape = F.regexp_replace(F.regexp_replace(text, "[A-Za-z]+", "a"), "[0-9]", "9")
+    name = F.lower(_taken(text, rf"(?<![a-z])((?:{'|'.join(MONTHS_EN_ABBR)})[a-z]*)"))
+    known = name.isin(*MONTHS_EN, *MONTHS_EN_ABBR, "sept")
+    month = F.when(known, _month(F.substring(name, 1, 3), MONTHS_EN_ABBR))
+    digits = F.regexp_replace(text, "[^0-9]", "")
+
+    def part(start: int, length: int) -> Column:
+        return F.coalesce(_number(F.nullif(F.substring(digits, start, length), F.lit(""))), F.lit(0))
+
+    one, two = (_number(_taken(text, r"^(\d{1,2})[/.-](\d{1,2})", k)) for k in (1, 2))
+    swapped = one > 12
+    year = _number(_taken(text, r"(?<![\d:+-])-?(\d{4})(?!\d)(?!:)"))
+    day = _number(_taken(text, r"(?<![\d:])(\d{1,2})(?:st|nd|rd|th)?(?![\d:])"))
+    forms = {
+        "compact": F.try_make_timestamp(
+            part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2), part(13, 2).cast("decimal(8,6)")
+        ),
+        "day_first": _at(text, year, month, day),
+        "month_first": _at(text, year, month, day),
+        "clock_inside": _at(text, year, month, day),
+        "slashes": _at(
+            text, _number(_taken(text, r"^\d{1,2}[/.-]\d{1,2}[/.-] ?(\d{4})")),
+            F.when(swapped, two).otherwise(one), F.when(swapped, one).otherwise(two),
+        ),
+        "year_first": _at(text, *[_number(_taken(text, r"^(\d{4})[/.](\d{1,2})[/.] ?(\d{1,2})", k)) for k in (1, 2, 3)]),
+    }
+    chosen = F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text))
+    for shaped, pattern in _SHAPES.items():
+        chosen = chosen.when(shape.rlike(pattern), forms[shaped])
+    return chosen.otherwise(F.try_to_timestamp(text))
 
 
 # ── English and feed formats ─────────────────────────────────────────────────

@@ -31,6 +31,25 @@ DATE_CASES = [
     (dates.iso_datetime_short_offset, "2023-04-15", D(2023, 4, 15)),
     (dates.to_utc_naive, "2024-01-15T10:30:00-05:00", D(2024, 1, 15, 15, 30)),
     (dates.to_utc_naive, "2024-01-15", D(2024, 1, 15)),
+    (dates.to_utc_naive, " Tue, 05 Mar 2024 10:00:00 -0500 ", D(2024, 3, 5, 15)),
+    (dates.to_utc_naive, "5 Mar 2024 23:30:10 +01:00", D(2024, 3, 5, 22, 30, 10)),
+    (dates.to_utc_naive, "Tue, 5 Mar 2024 10:00:00 GMT", D(2024, 3, 5, 10)),
+    (dates.to_utc_naive, "March 5, 2024", D(2024, 3, 5)),
+    (dates.to_utc_naive, "Sunday, March 3rd, 2024 3:15 PM", D(2024, 3, 3, 15, 15)),
+    (dates.to_utc_naive, "Sept. 5, 2024 12:05 am", D(2024, 9, 5, 0, 5)),
+    (dates.to_utc_naive, "5 March 2024", D(2024, 3, 5)),
+    (dates.to_utc_naive, "05-Mar-2024 07:08", D(2024, 3, 5, 7, 8)),
+    (dates.to_utc_naive, "Tue Mar  5 10:00:00 2024", D(2024, 3, 5, 10)),
+    (dates.to_utc_naive, "20240305", D(2024, 3, 5)),
+    (dates.to_utc_naive, "20240305T101530", D(2024, 3, 5, 10, 15, 30)),
+    (dates.to_utc_naive, "05/03/2024", D(2024, 5, 3)),
+    (dates.to_utc_naive, "25/03/2024 08:09:10", D(2024, 3, 25, 8, 9, 10)),
+    (dates.to_utc_naive, "5.3.2024", D(2024, 5, 3)),
+    (dates.to_utc_naive, "2024/03/05 10:15", D(2024, 3, 5, 10, 15)),
+    (dates.to_utc_naive, "31/31/2024", None), (dates.to_utc_naive, "March 35, 2024", None),
+    (dates.to_utc_naive, "Marte 5, 2024", None), (dates.to_utc_naive, "5 de marzo de 2024", None),
+    (dates.to_utc_naive, "20241305", None), (dates.to_utc_naive, "ayer", None), (dates.to_utc_naive, "", None),
+    (dates.to_utc_naive, "Tue, 05 Mar 2024 25:00:00 +0000", None),
     (dates.en_abbr, "Mar 02, 2026", D(2026, 3, 2)),
     (dates.en_abbr, "Apr 22, 2024 10:30 AM", D(2024, 4, 22)),
     (dates.en_abbr, "Apr 2, 2024 10:30 AM", None),
