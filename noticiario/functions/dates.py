@@ -12,6 +12,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticiario.functions.markup import let
+
 # Month names as the sites write them.
 MONTHS_ES = {
     "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6,
@@ -261,7 +263,14 @@ def to_utc_naive(col: Column) -> Column:
     ``T101500``, ``05/03/2024``, ``2024/03/05``. Month names are English. Of two numbers
     before a year the first is the month, unless it is above 12. Named zones count as UTC.
     """
-    text = F.regexp_replace(_strip(col.cast("string")), r"\s+", " ")
+    plain = col.cast("string")
+    # the common case stays in generated code; the others are worked out only where needed
+    return F.when(plain.isNull() | plain.rlike(r"^\d{4}-"), F.try_to_timestamp(plain)).otherwise(
+        let(F.regexp_replace(_strip(plain), r"\s+", " "), _any_form)
+    )
+
+
+def _any_form(text: Column) -> Column:
     shape = F.regexp_replace(F.regexp_replace(text, "[A-Za-z]+", "a"), "[0-9]", "9")
     name = F.lower(_taken(text, rf"(?<![a-z])((?:{'|'.join(MONTHS_EN_ABBR)})[a-z]*)"))
     known = name.isin(*MONTHS_EN, *MONTHS_EN_ABBR, "sept")
@@ -288,10 +297,14 @@ def to_utc_naive(col: Column) -> Column:
         ),
         "year_first": _at(text, *[_number(_taken(text, r"^(\d{4})[/.](\d{1,2})[/.] ?(\d{1,2})", k)) for k in (1, 2, 3)]),
     }
-    chosen = F.when(text.rlike(r"^\d{4}-"), F.try_to_timestamp(text))
-    for shaped, pattern in _SHAPES.items():
-        chosen = chosen.when(shape.rlike(pattern), forms[shaped])
-    return chosen.otherwise(F.try_to_timestamp(text))
+
+    def chosen(shape: Column) -> Column:
+        read = F.when(shape.startswith("9999-"), F.try_to_timestamp(text))
+        for name, pattern in _SHAPES.items():
+            read = read.when(shape.rlike(pattern), forms[name])
+        return read.otherwise(F.try_to_timestamp(text))
+
+    return let(shape, chosen)
 
 
 # ── English and feed formats ─────────────────────────────────────────────────

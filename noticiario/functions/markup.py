@@ -47,10 +47,12 @@ def running_sum(values: Column) -> Column:
             F.transform(sums, lambda b, k: F.transform(b, lambda x: x + F.get(add, k)))
         ))
 
-    inside = F.transform(_blocks(values), lambda b: F.aggregate(
-        b, none, lambda s, x: grown(s, x, s["sum"] + x), lambda s: s["all"]
-    ))
-    return let(inside, by_block)
+    def direct(block: Column) -> Column:
+        return F.aggregate(block, none, lambda s, x: grown(s, x, s["sum"] + x), lambda s: s["all"])
+
+    return F.when(F.size(values) <= _BLOCK, direct(values)).otherwise(
+        let(F.transform(_blocks(values), direct), by_block)
+    )
 
 
 def _named(names: Sequence[str] | str) -> str:
@@ -119,10 +121,13 @@ def without(html: Column, names: Sequence[str], comments: bool = True) -> Column
         return let(tags, marked)
 
     split = F.split(html, f"(?i)(?={pattern})")
-    done = let(let(split, tagged), lambda parts: F.aggregate(
-        _blocks(parts), start(F.lit("")), by_block, lambda s: F.array_join(s["out"], "")
-    ))
-    return F.when(F.contains(html, F.lit("<")), done).otherwise(html)
+    def joined(state: Column) -> Column:
+        return F.array_join(state["out"], "")
+
+    done = let(let(split, tagged), lambda parts: F.when(
+        F.size(parts) <= _BLOCK, F.aggregate(parts, start(F.lit("")), step, joined)
+    ).otherwise(F.aggregate(_blocks(parts), start(F.lit("")), by_block, joined)))
+    return F.when(F.regexp_like(html, F.lit(f"(?i){pattern}")), done).otherwise(html)
 
 
 def elements(
