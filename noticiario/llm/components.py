@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MOST_ROUNDS = 40
+# Nodes of more links than this are joined to their minimum by broadcast. The cut rises with
+# the links, so that at most HOT_NODES nodes, of 16 to 40 bytes each, are above it.
+HOT_LINKS = 256
+HOT_NODES = 50_000
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -26,14 +30,14 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     )
     known = _content(edges)
     for _ in range(MOST_ROUNDS):
+        cut = max(HOT_LINKS, 2 * known[0] // HOT_NODES)
         # large star: every neighbour above a node goes to the least of its neighbours
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        joined = _with_least(both, cut).withColumn("m", F.least("a", "m"))
+        large = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(edges.where("a = b"))
         # small star: a node and its lower neighbours go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = _with_least(large, cut)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             joined.select("a", F.col("m").alias("b"))
         ).distinct()
@@ -46,6 +50,22 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
+def _with_least(links: DataFrame, cut: int) -> DataFrame:
+    """``a, b, m``: each link with the least ``b`` of its ``a``.
+
+    The minima are pre-aggregated in the map tasks. Those of nodes with more than ``cut``
+    links, few by the choice of the cut, are broadcast, so that the links of a hot node
+    stay where they are; all others are joined by shuffle.
+    """
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    hot = least.where(F.col("n") > cut).select("a", F.col("m").alias("hot"))
+    known = links.join(F.broadcast(hot), "a", "left")
+    rest = known.where("hot IS NULL").select("a", "b").join(
+        least.where(F.col("n") <= cut).select("a", "m"), "a"
+    )
+    return known.where("hot IS NOT NULL").select("a", "b", F.col("hot").alias("m")).union(rest)
+
+
 def _content(edges: DataFrame) -> tuple:
     """Count and two hash sums of a table of distinct links, to see whether a round changed it."""
     first, second = F.xxhash64("a", "b"), F.xxhash64("b", "a", F.lit(1))

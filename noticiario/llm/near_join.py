@@ -1,12 +1,15 @@
 """Documents joined by the Jaccard similarity of their word n-grams.
 
 * Documents with the same set of n-grams form a class; classes are joined, not copies.
-* LSH trees find candidates. A class has a path of MinHash values in each tree; classes with
-  a common prefix are candidates. The prefix is the longest that finds pairs at the threshold
-  with the target recall; it is fixed by formula before data is read, not shortened by what
-  the data shows. In a node only classes whose whole signatures look similar
-  enough are linked, each to one that is already linked, so a node of ``m`` classes
-  gives fewer than ``m`` links.
+* An LSH forest finds candidates. In each tree a class has a path of MinHash values; classes
+  with a common prefix of their paths are candidates. The forest begins with whole paths and
+  shortens the prefix: the pairs found so far tell, by their similarity, what share of such
+  pairs meets at the present length (a pair that meets with probability ``p`` stands for
+  ``1 / p`` pairs), and as long as that is below the target recall in any stratum of
+  similarity, the prefix is cut to the length at which it is not. Each length reads the stored
+  paths, sorted into the nodes of the tries. In a node only classes whose whole signatures
+  look similar enough are linked, each to one that is already linked, so a node of ``m``
+  classes gives fewer than ``m`` links.
 * Linked classes form clusters. The n-grams of a class are sent to its cluster once, and
   all pairs of a cluster are verified exactly there, by counting common n-grams; large
   clusters are cut in blocks, and each two blocks meet in a task of their own. What leaves
@@ -42,16 +45,40 @@ CLUSTER_BLOCK = 512
 U = W.U
 
 
+def met(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """Probability that two classes share a prefix of this length in some tree."""
+    return 1 - (1 - np.asarray(similarity, dtype=float) ** depth) ** trees
+
+
 def prefix_depth(
     threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL
 ) -> int:
-    """Longest prefix with which pairs at ``threshold`` meet in some tree at this recall."""
+    """Longest prefix with which pairs at ``threshold`` meet in some tree at this recall.
+
+    The forest never needs a shorter one.
+    """
     for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
+        if met(threshold, d, trees) >= recall:
             return d
     return 1
 
 
+def next_depth(
+    strata: dict[int, int], depth: int, least: int, threshold: float, trees: int, recall: float
+) -> int:
+    """Prefix length at which the pairs found so far would be found with the target recall.
+
+    ``strata`` counts pairs by their share of equal values in hundredths, rounded down.
+    Pairs below the threshold count as just at it, as their true similarity may be. Each
+    stratum must reach the recall by itself. That is ``depth`` if all do, and never less
+    than ``least``.
+    """
+    for d in range(depth, least, -1):
+        if all(met(max(threshold, s / 100), d, trees) >= recall for s, n in strata.items() if n):
+            return d
+    return least
+
+
 def tree_count(
     threshold: float = THRESHOLD, depth: int = 1, trees: int = TREES, recall: float = RECALL
 ) -> int:
@@ -113,18 +140,18 @@ def _signed(n: int, values: int):
                 part = batch.slice(at, to - at)
                 sets = gram_sets(w, n)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"),
+                    part.column("id"), part.column("key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, a, b).tobytes() if len(s) else None for s in sets],
                              pa.binary()),
-                ], names=["id", "grams", "class", "signature"])
+                ], names=["id", "key", "grams", "class", "signature"])
 
     return run
 
 
-def _paths(trees: int, depth: int):
-    """Trie nodes of each class at the chosen depth."""
+def _paths(trees: int, depth: int, prefix: int):
+    """Trie nodes of each class at the length ``prefix``, from the paths in its signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(
@@ -132,17 +159,56 @@ def _paths(trees: int, depth: int):
             ).reshape(batch.num_rows, -1)[:, : trees * depth]
             values = values.reshape(batch.num_rows, trees, depth).astype(U)
             node = np.full(values.shape[:2], 0, dtype=U) + np.arange(trees, dtype=U)
-            for d in range(depth):
+            for d in range(prefix):
                 node = W.mixed(node * U(W.WORD_BASE[0]) + values[:, :, d])
             offsets = pa.array(np.arange(0, node.size + 1, trees), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                batch.column("class"), batch.column("grams"),
+                batch.column("class"),
                 pa.ListArray.from_arrays(offsets, pa.array(node.reshape(-1).view(np.int64))),
-            ], names=["class", "grams", "nodes"])
+            ], names=["class", "nodes"])
 
     return run
 
 
+def _meetings(rows: DataFrame, group: str, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each ``(group, i, j)``, one of them after the other.
+
+    Rows are dealt and sorted by these keys and streamed, so a task holds one meeting of
+    two blocks at a time, however many it is dealt.
+    """
+    keys = [group, "i", "j"]
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            rows = work(pa.Table.from_batches(held).to_pandas())
+            return pa.RecordBatch.from_pandas(rows, schema=fields, preserve_index=False)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = batch.select(keys).to_pandas()
+            new = (places != places.shift()).any(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            for k, at in enumerate(starts.tolist()):
+                to = int(starts[k + 1]) if k + 1 < len(starts) else batch.num_rows
+                key = tuple(places.iloc[at])
+                if held and key != last:
+                    yield done()
+                    held = []
+                last = key
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield done()
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)
+
+
 def _spread(matrix: np.ndarray, alike) -> np.ndarray:
     """Links ``parent[i]`` of a search that visits each row once; ``alike(i, others)``."""
     left = np.arange(len(matrix))
@@ -160,17 +226,20 @@ def _spread(matrix: np.ndarray, alike) -> np.ndarray:
 
 
 def _node_links(least: float):
-    """Links between the classes of trie nodes whose signatures agree enough."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, part in rows.groupby(["node", "i", "j"], sort=False):
-            classes = part["class"].tolist()
-            values = np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(len(part), -1)
-            parent = _spread(values, lambda i, o, v=values: (v[o] == v[i]).mean(axis=1) >= least)
-            for k in np.flatnonzero(parent >= 0):
-                a.append(classes[k])
-                b.append(classes[parent[k]])
-        return pd.DataFrame({"a": a, "b": b})
+    """Links between the classes of a trie node whose signatures agree enough.
+
+    ``share`` is that of equal values, in hundredths.
+    """
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        values = np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(len(part), -1)
+        parent = _spread(values, lambda i, o: (values[o] == values[i]).mean(axis=1) >= least)
+        found = np.flatnonzero(parent >= 0)
+        classes = part["class"].to_numpy()
+        share = (values[found] == values[parent[found]]).mean(axis=1)
+        return pd.DataFrame({
+            "a": classes[found], "b": classes[parent[found]],
+            "share": np.floor(100 * share + 1e-9).astype(np.int64),
+        })
 
     return run
 
@@ -199,27 +268,26 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(threshold: float):
-    """Exact links in the clusters of a group: a row ``class, other, links`` for each class."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (_, i, j), part in rows.groupby(["cluster", "i", "j"], sort=False):
-            part = part.sort_values("class", kind="stable")
-            sets = [np.frombuffer(s, "<u8") for s in part["grams"]]
-            copies = part["copies"].to_numpy()
-            sizes = np.array([len(s) for s in sets], dtype=np.float64)
-            common = _common(sets).astype(np.float64)
-            alike = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-            np.fill_diagonal(alike, False)
-            if i != j:  # of two blocks only the pairs between them
-                block = part["block"].to_numpy()
-                alike &= block[:, None] != block[None, :]
-            classes = part["class"].tolist()
-            parent = _spread(alike, lambda k, o, m=alike: m[k][o])
-            links = alike @ copies
-            for k, c in enumerate(classes):
-                if links[k]:
-                    found.append((c, classes[parent[k]] if parent[k] >= 0 else c, int(links[k])))
-        return pd.DataFrame(found, columns=["class", "other", "links"])
+    """Exact links in a meeting of a cluster: a row ``class, other, links`` for each class."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("class").sort_values("class", kind="stable")
+        sets = [np.frombuffer(s, "<u8") for s in part["grams"]]
+        copies = part["copies"].to_numpy()
+        sizes = np.array([len(s) for s in sets], dtype=np.float64)
+        common = _common(sets).astype(np.float64)
+        alike = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+        np.fill_diagonal(alike, False)
+        if part["i"].iloc[0] != part["j"].iloc[0]:  # of two blocks only the pairs between them
+            block = part["block"].to_numpy()
+            alike &= block[:, None] != block[None, :]
+        classes = part["class"].to_numpy()
+        parent = _spread(alike, lambda k, o: alike[k][o])
+        links = alike @ copies
+        linked = np.flatnonzero(links)
+        other = np.where(parent >= 0, parent, np.arange(len(parent)))
+        return pd.DataFrame({
+            "class": classes[linked], "other": classes[other[linked]], "links": links[linked].astype(np.int64),
+        })
 
     return run
 
@@ -255,51 +323,48 @@ def near_classes(
     of all its words. Null and empty texts have no n-gram, no link, and their own id as
     class. Repeated rows are rows each, so they link to each other.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    depth = prefix_depth(threshold, TREES, DEPTH, recall)
-    trees = tree_count(threshold, depth, TREES, recall)
-    values = max(VALUES, trees * depth)
+    bounded_batches(docs.sparkSession)
+    shortest = prefix_depth(threshold, TREES, DEPTH, recall)
+    trees = tree_count(threshold, shortest, TREES, recall)
+    values = max(VALUES, trees * DEPTH)
     asked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    asked = asked.withColumn("key", F.xxhash64("text"))
     kind = asked.schema["id"].dataType.simpleString()
     signed = stored(asked.mapInArrow(
-        _signed(n, values), f"id {kind}, grams long, class binary, signature binary"
+        _signed(n, values), f"id {kind}, key long, grams long, class binary, signature binary"
     ), "signatures")
     full = signed.where(F.col("class").isNotNull())
+    # a class is fetched by the id and the hash of one of its texts, as rows can share an id
+    member = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     classes = stored(
         full.groupBy("class").agg(
-            F.min("id").alias("id"), F.count("*").alias("copies"),
+            F.min("id").alias("id"), F.min(member).alias("member"), F.count("*").alias("copies"),
             F.first("grams").alias("grams"), F.first("signature").alias("signature"),
         ), "classes",
     )
-    # trie nodes with two classes or more
-    nodes = stored(
-        classes.select("class", "grams", "signature").mapInArrow(
-            _paths(trees, depth), "class binary, grams long, nodes array<bigint>"
-        ).select("class", F.explode("nodes").alias("node")), "nodes",
-    )
-    large = nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / NODE_BLOCK).cast("int")
-    held = nodes.join(large, "node").withColumn(
-        "block", F.pmod(F.xxhash64("class"), blocks).cast("int")
-    ).withColumn("blocks", blocks)
-    met = _in_pairs(held.drop("m"), "block", "blocks").join(
-        classes.select("class", "signature"), "class"
-    )
-    groups = F.pmod(F.xxhash64("node", "i", "j"), F.lit(_tasks(spark)))
-    links = met.withColumn("grp", groups).groupBy("grp").applyInPandas(
-        _node_links(least_agreement(threshold, values)), "a binary, b binary"
-    )
+    depth, links = DEPTH, None
+    while True:
+        found = stored(_links_at(classes, trees, depth, least_agreement(threshold, values)), "links")
+        links = found if links is None else links.union(found)
+        strata = {r["share"]: r["count"] for r in links.groupBy("share").count().collect()}
+        shorter = next_depth(strata, depth, shortest, threshold, trees, recall)
+        if shorter == depth:
+            break
+        depth = shorter
+    links = links.select("a", "b")
     clusters = components(links, "clusters").toDF("class", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     members = stored(
-        clusters.join(sizes, "cluster").join(classes.select("class", "id", "copies"), "class"),
-        "members",
+        clusters.join(sizes, "cluster").join(
+            classes.select("class", "copies", F.col("member.id").alias("member"),
+                           F.col("member.key").alias("member_key")), "class"
+        ), "members",
     )
     # the texts of the members, fetched once; by a shuffle however few they are, so that
     # the plan and its growth are the same at every size
     sent = asked.join(
-        members.withColumnRenamed("id", "member").hint("shuffle_merge"), F.col("id").eqNullSafe(F.col("member"))
+        members.hint("shuffle_merge"),
+        F.col("id").eqNullSafe(F.col("member")) & (F.col("key").eqNullSafe(F.col("member_key"))),
     ).select("text", "class", "cluster", "copies", "size")
     blocks = F.ceil(F.col("size") / CLUSTER_BLOCK).cast("int")
     grams = (
@@ -307,13 +372,9 @@ def near_classes(
         .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
         .withColumn("blocks", blocks).drop("size")
     )
-    # a member that stands in several rows of one id is taken once
-    paired = _in_pairs(grams, "block", "blocks")
-    groups = F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(_tasks(spark)))
     verified = stored(
-        paired.dropDuplicates(["class", "cluster", "i", "j"]).withColumn("grp", groups)
-        .groupBy("grp").applyInPandas(_verified(threshold), "class binary, other binary, links long"),
-        "links",
+        _meetings(_in_pairs(grams, "block", "blocks"), "cluster", _verified(threshold),
+                  "class binary, other binary, links long"), "verified",
     )
     roots = components(verified.select(F.col("class").alias("a"), F.col("other").alias("b")), "roots")
     counts = verified.groupBy("class").agg(F.sum("links").alias("links"))
@@ -329,8 +390,23 @@ def near_classes(
     ).unionByName(full.select("id", "class").join(result, "class").drop("class"))
 
 
-def _tasks(spark) -> int:
-    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+def _links_at(classes: DataFrame, trees: int, depth: int, least: float) -> DataFrame:
+    """Links ``a, b, share`` of the classes that share a prefix of this length in some tree."""
+    nodes = stored(
+        classes.select("class", "signature").mapInArrow(
+            _paths(trees, DEPTH, depth), "class binary, nodes array<bigint>"
+        ).select("class", F.explode("nodes").alias("node")), "nodes",
+    )
+    # nodes with two classes or more
+    large = nodes.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = F.ceil(F.col("m") / NODE_BLOCK).cast("int")
+    held = nodes.join(large, "node").withColumn(
+        "block", F.pmod(F.xxhash64("class"), blocks).cast("int")
+    ).withColumn("blocks", blocks)
+    met = _in_pairs(held.drop("m"), "block", "blocks").join(
+        classes.select("class", "signature"), "class"
+    )
+    return _meetings(met, "node", _node_links(least), "a binary, b binary, share long")
 
 
 def _in_pairs(rows: DataFrame, block: str, blocks: str) -> DataFrame:

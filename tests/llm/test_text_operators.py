@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -13,6 +14,7 @@ import pytest
 from noticiario.llm import (
     exact_dedup, mixing, near_join, packing, quality, repeats, token_codes, tokens, toxicity,
 )
+from noticiario.llm import components as components_module
 from noticiario.llm.components import components
 from noticiario.session import shared_path
 
@@ -204,6 +206,63 @@ def test_prefixes_shorten_until_the_recall_is_met():
     assert near_join.prefix_depth(0.1, 2, 8, 0.9999) == 1
 
 
+def near_pairs(rng, similarity, count, words=400):
+    """Separate pairs of texts of this Jaccard similarity of single words."""
+    r = round(words * (1 - similarity) / (2 * similarity))
+    rows = []
+    for k in range(count):
+        own = [f"{similarity}a{k}b{i}c{rng.random()}" for i in range(words + 2 * r)]
+        rows += [" ".join(own[: words + r]), " ".join(own[:words] + own[words + r :])]
+    return rows
+
+
+@pytest.mark.parametrize("similarity, depth", [(0.995, 8), (0.81, 5)])
+def test_prefixes_are_as_long_as_the_data_allow(spark, similarity, depth, monkeypatch):
+    texts = near_pairs(random.Random(similarity), similarity, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    depths, plain = [], near_join._links_at
+    monkeypatch.setattr(near_join, "_links_at", lambda c, t, d, a: depths.append(d) or plain(c, t, d, a))
+    got = near_join.near_classes(df, n=1).collect()
+    assert depths[0] == near_join.DEPTH and depths[-1] == depth
+    assert all(r.class_id == r.id // 2 * 2 and r.n_links == 1 for r in got)
+
+
+def test_next_depth():
+    args = (5, 0.8, 20, 0.999)
+    assert near_join.next_depth({}, 8, *args) == near_join.next_depth({100: 5, 97: 1}, 8, *args) == 8
+    assert near_join.next_depth({100: 5000, 81: 1}, 8, *args) == near_join.next_depth({70: 1}, 8, *args) == 5
+    assert near_join.next_depth({85: 3}, 8, *args) == 7
+
+
+def test_planted_pairs_are_found(spark):
+    rng = random.Random(11)
+    texts = [t for s in (0.8, 0.82, 0.85, 0.88, 0.9) for t in near_pairs(rng, s, 80, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = near_join.near_classes(df, n=1).collect()
+    assert len(got) == 800 and sum(r.n_links == 1 and r.class_id == r.id // 2 * 2 for r in got) >= 798
+
+
+def test_null_and_shared_ids_take_linear_work(spark):
+    """Texts are fetched by id and hash: 10 000 rows without an id, in pairs."""
+    rows = spark.range(10_000).selectExpr(
+        "IF(id % 2 = 0, NULL, 7) AS doc_id",
+        "array_join(transform(sequence(1, 30), k -> concat('w', id div 4, 'x', IF(k = 30 AND id % 4 > 1, 31, k))), ' ') AS text",
+    ).repartition(4)
+    begun = time.time()
+    got = near_join.near_classes(rows).collect()
+    assert len(got) == 10_000 and {r.n_links for r in got} == {3} and {r.class_id for r in got} == {7}
+    assert time.time() - begun < 120
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    links = [(0, k) for k in range(1, 900)] + [(k, k + 1) for k in range(2000, 2050)] + [(899, 2000)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    for cut in (10, 256):
+        monkeypatch.setattr(components_module, "HOT_LINKS", cut)
+        got = {r.node: r.root for r in components(frame).collect()}
+        assert got == {k: 0 for k in [*range(900), *range(2000, 2051)]}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 60)] + [(100, 200), (200, 300), (7, 7), (500, 500), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
