@@ -36,6 +36,7 @@ GRAM = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
 RECALL = 0.999
+SEEN = 0.95  # of pairs at the threshold, met at any prefix length that is tried
 VALUES = 100  # of a signature, at least
 # Pairs whose signatures agree by so many standard deviations less than pairs at the
 # threshold are not followed: at similarity 0.8 and 100 values that is below 0.58.
@@ -70,11 +71,12 @@ def next_depth(
 
     ``strata`` counts pairs by their share of equal values in hundredths, rounded down.
     Pairs below the threshold count as just at it, as their true similarity may be. Each
-    stratum must reach the recall by itself. That is ``depth`` if all do, and never less
-    than ``least``.
+    stratum must reach the recall by itself. A length at which pairs at the threshold would
+    seldom be seen proves nothing by finding none, so it is passed over. That is ``depth`` if
+    all is well with it, and never less than ``least``.
     """
     for d in range(depth, least, -1):
-        if all(met(max(threshold, s / 100), d, trees) >= recall for s, n in strata.items() if n):
+        if met(threshold, d, trees) >= SEEN and all(met(max(threshold, s / 100), d, trees) >= recall for s, n in strata.items() if n):
             return d
     return least
 
@@ -342,7 +344,7 @@ def near_classes(
             F.first("grams").alias("grams"), F.first("signature").alias("signature"),
         ), "classes",
     )
-    depth, links = DEPTH, None
+    depth, links = next_depth({}, DEPTH, shortest, threshold, trees, recall), None
     while True:
         found = stored(_links_at(classes, trees, depth, least_agreement(threshold, values)), "links")
         links = found if links is None else links.union(found)
