@@ -8,11 +8,11 @@ from checks import views
 from checks.rows import PAGE_SQL
 from checks.registered import query
 from checks.views import LIST_HI, LIST_LO, shown, with_views
-from noticiario.operators import dedup, joins, listing
+from noticiario.operators import dedup, joins, listing, sets
 from noticiario.plans.listings import candidates_from_pages, replay_source
 from noticiario.session import shared_path
 from noticiario.sources.keys import KeyStore
-from noticiario.sources.rules import ListingRule
+from noticiario.sources.rules import LISTINGS, ListingRule
 
 _COLUMNS = "periodico, termino, page, pos, link"
 _LO, _HI = f"TIMESTAMP '{LIST_LO}'", f"TIMESTAMP '{LIST_HI}'"
@@ -185,15 +185,18 @@ def page_span(spark, sf):
     return spans.select("periodico", "termino", "page", shown("desde"), shown("hasta"))
 
 
-@query(
-    "cap_per_group",
-    with_views(
-        ["listing"],
-        f"SELECT {_COLUMNS} FROM listing QUALIFY row_number() OVER ({_GROUP} ORDER BY page, pos) <= 50",
-    ),
-)
-def cap_per_group(spark, sf):
-    return columns(listing.cap_per_group(views.listing(spark, sf), 50))
+def _cap_query(name: str, n: int, keys: tuple[str, ...]) -> None:
+    sql = f"SELECT {_COLUMNS} FROM listing QUALIFY row_number() OVER (PARTITION BY {', '.join(keys)} " \
+        f"ORDER BY page, pos, link) <= {n}"
+
+    @query(name, with_views(["listing"], sql))
+    def cap(spark, sf):
+        return columns(listing.cap_per_group(views.listing(spark, sf), n, keys))
+
+
+_cap_query("cap_per_group", 50, ("periodico", "termino"))
+# a cap of another size has the same plan; pages of several listings lie in one here
+_cap_query("cap_per_group_large", 1500, ("periodico",))
 
 
 @query(
@@ -341,14 +344,75 @@ def stop_at_empty_page(spark, sf):
     return columns(listing.stop_at_empty_page(sparse(spark, sf)))
 
 
+# ── Listing rules of all sources ─────────────────────────────────────────────
+
+
+def _runs_sql(pages: str, n: int) -> str:
+    """First page of each listing that completes ``n`` counting pages in a row."""
+    return f"""SELECT periodico, termino, min(page) FILTER (n >= {n}) AS stop FROM (
+      SELECT *, sum(CASE WHEN counts THEN 1 ELSE 0 END) OVER (PARTITION BY periodico, termino, run ORDER BY page) AS n
+      FROM (SELECT *, sum(CASE WHEN counts THEN 0 ELSE 1 END) OVER ({_GROUP} ORDER BY page) AS run FROM ({pages}))
+    ) GROUP BY ALL"""
+
+
+def _until(rows: str, stops: str, kept: str) -> str:
+    return f"SELECT r.* FROM ({rows}) r LEFT JOIN ({stops}) s USING (periodico, termino) WHERE s.stop IS NULL OR {kept}"
+
+
+def _rule_sql(rule: ListingRule) -> str:
+    """The steps of a rule one inside the other."""
+    rows = "SELECT periodico, termino, page, pos, fecha, link FROM sparse"
+    if rule.first_older:
+        first = f"""SELECT periodico, termino, min((page, pos)) AS stop FROM ({rows})
+          WHERE {_OLDER} AND link IS NOT NULL GROUP BY ALL"""
+        rows = _until(rows, first, "(r.page, r.pos) < s.stop")
+    empty = f"SELECT periodico, termino, min(page) - 1 AS stop FROM (SELECT periodico, termino, page FROM ({rows}) " \
+        "GROUP BY ALL HAVING count(link) = 0) GROUP BY ALL"
+    if rule.empty_pages:
+        newer = f" AND count(*) FILTER (link IS NOT NULL AND {_NEWER}) = 0" if rule.newer_resets else ""
+        pages = f"""SELECT periodico, termino, page, count(link) > 0 AND count(*) FILTER (link IS NOT NULL AND {_KEPT}) = 0
+          {newer} AS counts FROM ({rows}) GROUP BY ALL"""
+        stops = _runs_sql(pages, rule.empty_pages)
+        if rule.empty_page_ends:
+            stops = f"SELECT periodico, termino, min(stop) AS stop FROM ({stops} UNION ALL {empty}) GROUP BY ALL"
+        rows = _until(rows, stops, "r.page <= s.stop")
+    elif rule.empty_page_ends:
+        rows = _until(rows, empty, "r.page <= s.stop")
+    rows = f"SELECT * FROM ({rows}) WHERE link IS NOT NULL"
+    if rule.old_pages:
+        pages = f"""SELECT periodico, termino, page, max(fecha) < {_LO} AS counts FROM ({rows})
+          WHERE fecha IS NOT NULL GROUP BY ALL"""
+        rows = _until(rows, _runs_sql(pages, rule.old_pages), "r.page <= s.stop")
+    first = "QUALIFY row_number() OVER (PARTITION BY periodico, termino, link ORDER BY page, pos) = 1"
+    if rule.older_batch:
+        rows = f"SELECT * FROM ({rows}) {first}"
+        old = f"""SELECT periodico, termino, min(page) AS stop FROM (SELECT periodico, termino, page FROM ({rows})
+          GROUP BY ALL HAVING count(fecha) > 0 AND count(fecha) = count(*) FILTER ({_OLDER})) GROUP BY ALL"""
+        rows = _until(rows, old, "r.page <= s.stop")
+    undated = "fecha IS NULL OR " if rule.keep_undated else ""
+    if rule.whole_last_day or not rule.keep_undated:
+        rows = f"SELECT * FROM ({rows}) WHERE {undated}fecha BETWEEN {_LO} AND TIMESTAMP '{LIST_HI} 23:59:59'"
+    elif rule.filter_dates:
+        rows = f"SELECT * FROM ({rows}) WHERE {_KEPT}"
+    return f"SELECT {_COLUMNS} FROM ({rows}) {first}"
+
+
+# Sources with equal rules share a result.
+_BY_RULE: dict[ListingRule, str] = {}
+for _source, _rule in LISTINGS.items():
+    _BY_RULE[_rule] = f"{_BY_RULE[_rule]} {_source}" if _rule in _BY_RULE else _source
+
+
 @query(
     "replay_source",
-    with_views(["listing"], "").rstrip()
-    + f""", places AS (SELECT c.* FROM listing c LEFT JOIN (SELECT periodico, termino, min((page, pos)) AS place FROM listing
-        WHERE {_OLDER} GROUP BY ALL) p USING (periodico, termino) WHERE place IS NULL OR (c.page, c.pos) < place)
-    SELECT {_COLUMNS} FROM places WHERE {_KEPT}
-    QUALIFY row_number() OVER (PARTITION BY periodico, termino, link ORDER BY page, pos) = 1""",
+    with_views(["listing"], "").rstrip() + f", {_SPARSE_SQL} " + " UNION ALL ".join(
+        f"SELECT '{names}' AS fuentes, * FROM ({_rule_sql(rule)})" for rule, names in _BY_RULE.items()
+    ),
 )
 def replay_source_query(spark, sf):
-    rule = ListingRule(first_older=True)
-    return columns(replay_source(views.listing(spark, sf), rule, LIST_LO, LIST_HI))
+    """The listing rules of all sources over all listings, pages without links included."""
+    rows = sparse(spark, sf).drop("ok")
+    return sets.union_all([
+        columns(replay_source(rows, rule, LIST_LO, LIST_HI)).withColumn("fuentes", F.lit(names))
+        for rule, names in _BY_RULE.items()
+    ])

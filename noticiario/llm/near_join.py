@@ -76,7 +76,10 @@ def next_depth(
     all is well with it, and never less than ``least``.
     """
     for d in range(depth, least, -1):
-        if met(threshold, d, trees) >= SEEN and all(met(max(threshold, s / 100), d, trees) >= recall for s, n in strata.items() if n):
+        enough = all(
+            met(max(threshold, s / 100), d, trees) >= recall for s, n in strata.items() if n
+        )
+        if enough and met(threshold, d, trees) >= SEEN:
             return d
     return least
 

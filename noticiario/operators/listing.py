@@ -255,30 +255,72 @@ def page_span(listing: DataFrame, keys: Sequence[str] = LISTING_KEYS) -> DataFra
 # ── Caps ─────────────────────────────────────────────────────────────────────
 
 
+def _nth_unit(counts: DataFrame, n: Column, keys: Sequence[str]) -> DataFrame:
+    """The unit of each listing in which its ``n``-th row lies: ``_stop``, and ``_left``, the
+    rows wanted from it. Listings with fewer rows are absent.
+
+    ``counts`` holds ``_unit`` and ``_n``, its rows. Units are added up in blocks first, and
+    the sums of the blocks are then run through, so no task sees more than a block of units
+    or the blocks of a listing.
+    """
+    blocked = counts.withColumn("_block", F.floor(F.col("_unit") / BLOCK_PAGES))
+    whole = blocked.groupBy(*keys, "_block").agg(F.sum("_n").alias("_sum"))
+    over = Window.partitionBy(*keys).orderBy("_block")
+    whole = whole.withColumn("_before", F.sum("_sum").over(over) - F.col("_sum"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_unit")
+    before = F.col("_before") + F.col("_inside") - F.col("_n")
+    return (
+        blocked.withColumn("_inside", F.sum("_n").over(inside))
+        .join(whole.drop("_sum"), [*keys, "_block"])
+        .filter((before < n) & (before + F.col("_n") >= n))
+        .select(*keys, F.col("_unit").alias("_stop"), (n - before).alias("_left"))
+    )
+
+
+def _counted(listing: DataFrame, unit: Column, keys: Sequence[str], *also: str) -> DataFrame:
+    rows = listing.withColumn("_unit", unit)
+    return rows.groupBy(*keys, *also, "_unit").agg(F.count("*").alias("_n"))
+
+
 def cap_per_group(
-    listing: DataFrame, n: int, keys: Sequence[str] = LISTING_KEYS, salts: int = 32
+    listing: DataFrame, n: int, keys: Sequence[str] = LISTING_KEYS
 ) -> DataFrame:
     """First ``n`` rows of each listing: the source's own limit on articles.
 
-    Listings are few and may be huge, hence the salted first stage.
+    The ``n``-th row is found by selection, with one plan for any ``n``: rows are counted by
+    page, then those of the page where it lies by blocks of positions; only the rows of that
+    one block are ordered. A hot listing is counted in the map tasks. A page or position
+    that is null comes first.
     """
-    return first_per_group(
-        listing, keys, [F.col("page"), F.col("pos"), F.col("link")], n=n, salts=salts
+    page, block = _order_of("page"), F.floor(_order_of("pos") / BLOCK_PAGES)
+    stops = _nth_unit(_counted(listing, page, keys), F.lit(n), keys)
+    marked = listing.join(stops, list(keys), "left")
+    sooner = marked.filter(F.col("_stop").isNull() | (page < F.col("_stop"))).drop("_stop", "_left")
+    last = marked.filter(page == F.col("_stop")).drop("_stop").withColumnRenamed("_left", "_want")
+    places = _nth_unit(
+        _counted(last, block, keys, "_want"), F.col("_want"), [*keys, "_want"]
+    )
+    placed = last.join(places, [*keys, "_want"]).filter(block <= F.col("_stop"))
+    first = Window.partitionBy(*keys).orderBy("pos", "link")
+    cut = (
+        placed.filter(block == F.col("_stop")).withColumn("_row", F.row_number().over(first))
+        .filter(F.col("_row") <= F.col("_left")).drop("_row")
     )
+    columns = listing.columns
+    whole = placed.filter(block < F.col("_stop"))
+    return sooner.select(columns).union(whole.select(columns)).union(cut.select(columns))
+
+
+def _order_of(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(-1)).cast("long")
 
 
 def stop_after_articles(
-    listing: DataFrame, n: int, keys: Sequence[str] = LISTING_KEYS, salts: int = 32
+    listing: DataFrame, n: int, keys: Sequence[str] = LISTING_KEYS
 ) -> DataFrame:
     """Whole pages up to the one in which the ``n``-th row appears."""
-    first = cap_per_group(listing.select(*keys, "page", "pos", "link"), n, keys, salts)
-    stops = (
-        first.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.max("page").alias("_stop"))
-        .filter(F.col("_n") >= n)
-        .drop("_n")
-    )
-    return _before(listing, stops, keys, F.col("page") <= F.col("_stop"))
+    stops = _nth_unit(_counted(listing, _order_of("page"), keys), F.lit(n), keys)
+    return _before(listing, stops.drop("_left"), keys, _order_of("page") <= F.col("_stop"))
 
 
 def cap_pages(listing: DataFrame, n: int, page_size: int, total: Column | None = None) -> DataFrame:

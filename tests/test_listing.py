@@ -189,11 +189,45 @@ def test_stop_batch_all_older(case):
     assert as_set(got) == place(expected)
 
 
-@pytest.mark.parametrize("salts", [1, 8])
-def test_cap(case, salts):
+@pytest.mark.parametrize("n", [1, 9, 40, 10_000])
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_cap_per_group(case, monkeypatch, n, block):
     rows, df = case
-    expected = [r for group in listings(rows).values() for r in group[:9]]
-    assert as_set(listing.cap_per_group(df, 9, salts=salts)) == place(expected)
+    monkeypatch.setattr(listing, "BLOCK_PAGES", block)
+    expected = [r for group in listings(rows).values() for r in group[:n]]
+    assert as_set(listing.cap_per_group(df, n)) == place(expected)
+    whole = []
+    for group in listings(rows).values():
+        last = group[n - 1][2] if len(group) >= n else None
+        whole += [r for r in group if last is None or r[2] <= last]
+    assert as_set(listing.stop_after_articles(df, n)) == place(whole)
+
+
+def test_cap_of_a_hot_listing_and_odd_places(spark):
+    """One page holds all rows of a listing; pages and positions may be null."""
+    rows = spark.range(30_000).selectExpr(
+        "'p' AS periodico", "'t' AS termino", "1 AS page", "cast(id as int) AS pos", "concat('l', id) AS link",
+        "CAST(NULL AS TIMESTAMP) AS fecha",
+    ).repartition(8)
+    for n in (6000, 29_999, 30_001):
+        got = listing.cap_per_group(rows, n)
+        assert got.count() == min(n, 30_000) and got.agg(F.max("pos")).first()[0] == min(n, 30_000) - 1
+    odd = spark.createDataFrame(
+        [("p", "t", None, 5, "a", None), ("p", "t", 1, None, "b", None), ("p", "t", 1, 0, "c", None), ("p", "t", 1, 0, "d", None)],
+        SCHEMA,
+    )
+    for n in range(1, 6):
+        kept_links = sorted(r.link for r in listing.cap_per_group(odd, n).collect())
+        assert kept_links == ["a", "b", "c", "d"][:n]
+    assert listing.cap_per_group(odd.limit(0), 3).count() == 0
+
+
+def test_caps_of_all_sizes_have_one_plan(spark, case):
+    def shape(n):
+        plan = listing.cap_per_group(case[1], n)._jdf.queryExecution().executedPlan().toString()
+        return [line.split("(")[0].strip(" :+-*") for line in plan.splitlines() if "Exchange" in line or "Window" in line]
+
+    assert shape(50) == shape(6000) and not any("WindowGroupLimit" in line for line in shape(6000))
 
 
 def test_cap_pages(spark):

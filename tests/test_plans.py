@@ -53,9 +53,11 @@ def test_keep_first_is_cut_before_the_shuffle(spark, sf_small):
     assert exchanges(plan) == 1
 
 
-def test_listing_cap_is_cut_before_the_shuffle(spark, sf_small):
+def test_listing_cap_counts_before_the_shuffle(spark, sf_small):
     plan = plan_of(listing.cap_per_group(views.listing(spark, sf_small), 2000))
-    assert len(re.findall(r"row_number\(\), 2000, Partial", plan)) == 2
+    # rows are counted in the map tasks; only those of one block of a page are ordered
+    assert "partial_count" in plan and "Partial" not in plan.replace("partial_count", "")
+    assert len(re.findall(r"row_number\(\)", plan)) >= 1
 
 
 def test_merge_takes_one_shuffle(spark, sf_small):
