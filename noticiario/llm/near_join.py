@@ -23,8 +23,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,39 +176,38 @@ def _paths(trees: int, depth: int, prefix: int):
 
 
 def _meetings(rows: DataFrame, group: str, work, schema: str) -> DataFrame:
-    """``work`` on the rows of each ``(group, i, j)``, one of them after the other.
+    """``work`` on the rows of whole meetings ``(group, i, j)``, with where each begins.
 
-    Rows are dealt and sorted by these keys and streamed, so a task holds one meeting of
-    two blocks at a time, however many it is dealt.
+    Rows are dealt and sorted by these keys and streamed: a task holds one batch and one
+    unfinished meeting of two blocks at a time, however many meetings it is dealt.
     """
     keys = [group, "i", "j"]
     kinds = {"binary": pa.binary(), "long": pa.int64()}
     fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def done() -> pa.RecordBatch:
-            rows = work(pa.Table.from_batches(held).to_pandas())
-            return pa.RecordBatch.from_pandas(rows, schema=fields, preserve_index=False)
+        def done(whole: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            columns = {k: whole.column(k).combine_chunks() for k in whole.column_names}
+            return pa.RecordBatch.from_arrays(work(columns, np.append(starts, len(whole))), schema=fields)
 
+        held = None
         for batch in batches:
-            if not batch.num_rows:
+            part = pa.Table.from_batches([batch])
+            whole = part if held is None else pa.concat_tables([held, part])
+            if not len(whole):
                 continue
-            places = batch.select(keys).to_pandas()
-            new = (places != places.shift()).any(axis=1).to_numpy()
+            new = np.ones(len(whole), dtype=bool)
+            new[1:] = False
+            for k in keys:
+                column = whole.column(k).combine_chunks()
+                changed = pc.not_equal(column.slice(1), column.slice(0, len(column) - 1))
+                new[1:] |= changed.to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(new)
-            for k, at in enumerate(starts.tolist()):
-                to = int(starts[k + 1]) if k + 1 < len(starts) else batch.num_rows
-                key = tuple(places.iloc[at])
-                if held and key != last:
-                    yield done()
-                    held = []
-                last = key
-                held.append(batch.slice(at, to - at))
-        if held:
-            yield done()
+            if len(starts) > 1:
+                yield done(whole.slice(0, int(starts[-1])), starts[:-1])
+            held = whole.slice(int(starts[-1]))
+        if held is not None:
+            yield done(held, np.zeros(1, dtype=np.int64))
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, schema)
@@ -231,20 +230,27 @@ def _spread(matrix: np.ndarray, alike) -> np.ndarray:
 
 
 def _node_links(least: float):
-    """Links between the classes of a trie node whose signatures agree enough.
+    """Links between the classes of each trie node whose signatures agree enough.
 
-    ``share`` is that of equal values, in hundredths.
+    ``share`` is that of equal values, in hundredths. Nodes of two classes, nearly all of
+    them, are compared together.
     """
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        values = np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(len(part), -1)
-        parent = _spread(values, lambda i, o: (values[o] == values[i]).mean(axis=1) >= least)
-        found = np.flatnonzero(parent >= 0)
-        classes = part["class"].to_numpy()
-        share = (values[found] == values[parent[found]]).mean(axis=1)
-        return pd.DataFrame({
-            "a": classes[found], "b": classes[parent[found]],
-            "share": np.floor(100 * share + 1e-9).astype(np.int64),
-        })
+    def run(columns: dict[str, pa.Array], bounds: np.ndarray) -> list[pa.Array]:
+        rows = len(columns["class"])
+        values = np.frombuffer(b"".join(columns["signature"].to_pylist()), np.uint32).reshape(rows, -1)
+        sizes = np.diff(bounds)
+        first = bounds[:-1][sizes == 2]
+        alike = (values[first] == values[first + 1]).mean(axis=1) >= least
+        child, parent = [first[alike] + 1], [first[alike]]
+        for at, to in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
+            own = values[at:to]
+            links = _spread(own, lambda i, o, v=own: (v[o] == v[i]).mean(axis=1) >= least)
+            linked = np.flatnonzero(links >= 0)
+            child.append(at + linked)
+            parent.append(at + links[linked])
+        a, b = np.concatenate(child), np.concatenate(parent)
+        share = np.floor(100 * (values[a] == values[b]).mean(axis=1) + 1e-9).astype(np.int64)
+        return [columns["class"].take(pa.array(a)), columns["class"].take(pa.array(b)), pa.array(share)]
 
     return run
 
@@ -273,26 +279,30 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(threshold: float):
-    """Exact links in a meeting of a cluster: a row ``class, other, links`` for each class."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("class").sort_values("class", kind="stable")
-        sets = [np.frombuffer(s, "<u8") for s in part["grams"]]
-        copies = part["copies"].to_numpy()
-        sizes = np.array([len(s) for s in sets], dtype=np.float64)
-        common = _common(sets).astype(np.float64)
-        alike = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-        np.fill_diagonal(alike, False)
-        if part["i"].iloc[0] != part["j"].iloc[0]:  # of two blocks only the pairs between them
-            block = part["block"].to_numpy()
-            alike &= block[:, None] != block[None, :]
-        classes = part["class"].to_numpy()
-        parent = _spread(alike, lambda k, o: alike[k][o])
-        links = alike @ copies
-        linked = np.flatnonzero(links)
-        other = np.where(parent >= 0, parent, np.arange(len(parent)))
-        return pd.DataFrame({
-            "class": classes[linked], "other": classes[other[linked]], "links": links[linked].astype(np.int64),
-        })
+    """Exact links in each meeting of a cluster: a row ``class, other, links`` for each class."""
+    def run(columns: dict[str, pa.Array], bounds: np.ndarray) -> list[pa.Array]:
+        classes = columns["class"].to_pylist()
+        every = [np.frombuffer(s, "<u8") for s in columns["grams"].to_pylist()]
+        copies, block, i, j = (columns[k].to_numpy() for k in ("copies", "block", "i", "j"))
+        out: list[tuple] = []
+        for at, to in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            # a class fetched from several rows of one id and text is taken once
+            rows = sorted({classes[k]: k for k in range(at, to)}.items())
+            rows = np.array([k for _, k in rows])
+            sets = [every[k] for k in rows]
+            sizes = np.array([len(s) for s in sets], dtype=np.float64)
+            common = _common(sets).astype(np.float64)
+            alike = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+            np.fill_diagonal(alike, False)
+            if i[at] != j[at]:  # of two blocks only the pairs between them
+                alike &= block[rows][:, None] != block[rows][None, :]
+            parent = _spread(alike, lambda k, o, m=alike: m[k][o])
+            links = alike @ copies[rows]
+            other = np.where(parent >= 0, parent, np.arange(len(parent)))
+            out += [(classes[rows[k]], classes[rows[other[k]]], int(links[k])) for k in np.flatnonzero(links)]
+        kinds = (pa.binary(), pa.binary(), pa.int64())
+        found = zip(*out, strict=True) if out else ([], [], [])
+        return [pa.array(c, t) for c, t in zip(found, kinds, strict=True)]
 
     return run
 
