@@ -14,7 +14,7 @@ from checks.views import HI, LO, shown, with_views
 from noticiario import schema
 from noticiario.operators import dedup, reports, sets
 from noticiario.plans import consolidate, corpus, progress
-from noticiario.plans.health import health_report
+from noticiario.plans.health import health_report, write_health_document
 from noticiario.session import shared_path
 from noticiario.sources import manifest, readers, writers
 from noticiario.sources.keys import KeyStore
@@ -307,6 +307,37 @@ def write_health_report(spark, sf):
 _GROUPS = "(VALUES (1, 'The'), (1, 'De la'), (2, 'Der'), (2, 'El'), (3, 'Fuera')) AS d(grupo, departamento)"
 
 
+@query(
+    "health_document",
+    with_views(["runs"], "").rstrip()
+    + """, shown AS (SELECT tipo, CASE WHEN failure IS NOT NULL THEN 'roto' WHEN arts > 0 AND tiempo_s >= 60 THEN 'lento'
+        WHEN arts > 0 THEN 'ok' WHEN http_status BETWEEN 200 AND 399 THEN 'sin_resultados' ELSE 'roto' END AS s,
+        round(tiempo_s, 1) AS tiempo_s FROM runs),
+    whole AS (SELECT NULL AS tipo, * EXCLUDE (tipo) FROM shown)
+    SELECT tipo, '2024-02-01' AS fecha, '2023-11-01 → 2024-01-31' AS periodo,
+      round((SELECT sum(tiempo_s) FROM shown), 1) AS tiempo_total_s, (SELECT count(*) FROM shown) AS total,
+      count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'lento') AS lento,
+      count(*) FILTER (s = 'sin_resultados') AS sin_resultados, count(*) FILTER (s = 'roto') AS roto
+    FROM (SELECT * FROM shown UNION ALL SELECT * FROM whole) GROUP BY tipo""",
+)
+def health_document(spark, sf):
+    """The head of the report read back: a row for each type and one for all runs."""
+    path = shared_path(spark, "check")
+    write_health_document(views.runs(spark, sf), path, "2023-11-01", "2024-01-31", day="2024-02-01")
+    counts = "ok bigint, lento bigint, sin_resultados bigint, roto bigint"
+    head = spark.read.schema(
+        "fecha string, periodo string, tiempo_total_s double, "
+        f"resumen struct<total: bigint, {counts.replace(' bigint', ': bigint')}, "
+        f"por_tipo: map<string, struct<{counts.replace(' bigint', ': bigint')}>>>"
+    ).json(f"{path}/reporte")
+    names = ["ok", "lento", "sin_resultados", "roto"]
+    common = ["fecha", "periodo", "tiempo_total_s", F.col("resumen.total").alias("total")]
+    by_type = head.select(*common, F.explode("resumen.por_tipo").alias("tipo", "n"))
+    return by_type.select("tipo", "fecha", "periodo", "tiempo_total_s", "total", *[f"n.{n}" for n in names]).unionByName(
+        head.select(F.lit(None).cast("string").alias("tipo"), *common, *[f"resumen.{n}" for n in names])
+    )
+
+
 @query(
     "progress_report",
     with_views(["articles"], "").rstrip()

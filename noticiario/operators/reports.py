@@ -218,6 +218,29 @@ def health_by_type(classified: DataFrame) -> DataFrame:
     )
 
 
+def health_document(
+    classified: DataFrame, lo: str, hi: str, seconds: float | None = None, day: str | None = None
+) -> DataFrame:
+    """The head of the report as one row: ``fecha, periodo, tiempo_total_s, resumen``.
+
+    ``resumen`` has the runs in all and per status, and ``por_tipo``, a map of the same per
+    type (as many entries as types). ``seconds`` is the time of the whole check, or else the
+    sum of its runs; ``day`` the day of the check, or else today.
+    """
+    counted = lambda: [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]
+    types = classified.filter("tipo IS NOT NULL").groupBy("tipo").agg(F.struct(*counted()).alias("n"))
+    by_type = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tipo", "n")))).alias("por_tipo"))
+    total = classified.agg(
+        F.round(F.sum("tiempo_s") if seconds is None else F.max(F.lit(float(seconds))), 1).alias("tiempo_total_s"),
+        F.count("*").alias("total"), *counted(),
+    )
+    fecha = F.date_format(F.current_date() if day is None else F.lit(day).cast("date"), "yyyy-MM-dd")
+    return total.join(F.broadcast(by_type)).select(  # one row each
+        fecha.alias("fecha"), F.lit(f"{lo} → {hi}").alias("periodo"), "tiempo_total_s",
+        F.struct("total", *[s.lower() for s in STATUSES], "por_tipo").alias("resumen"),
+    )
+
+
 # ── Group progress ───────────────────────────────────────────────────────────
 
 

@@ -33,3 +33,22 @@ def test_entry(spark):
         "periodico", "titulo", "fecha", "texto", "url", "terminos_encontrado", "departamento",
     ]
     assert df.count() > 0
+
+
+def test_the_rest_runs_without_the_training_data_folders(tmp_path):
+    """On a copy without ``noticiario/llm``, with and without the pipeline beside it."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    leave = shutil.ignore_patterns(".git", "llm", "__pycache__", "*.json")
+    shutil.copytree(root, copy, ignore=leave)
+    told = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    for pipeline in (True, False):
+        if not pipeline and (copy / "corpus_pipeline.py").exists():
+            (copy / "corpus_pipeline.py").unlink()
+        done = subprocess.run([sys.executable, "-B", "-c", told], cwd=copy, capture_output=True, text=True, check=True)
+        assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLE)), "False"]
