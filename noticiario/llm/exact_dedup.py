@@ -35,9 +35,9 @@ def _best(doc_id: str, n_chars: str, row: str) -> Column:
 
 def _narrow(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return stored(docs.select(
-        F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-        F.length(empty_if_null(text)).cast("long").alias("n_chars"),
-        text_digest(text).alias("text_sha256"),
+        F.col(f"`{doc_id}`").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+        F.length(empty_if_null(f"`{text}`")).cast("long").alias("n_chars"),
+        text_digest(f"`{text}`").alias("text_sha256"),
     ), "digests")
 
 
@@ -91,7 +91,7 @@ def dedup(
     )
     digest, size, order, place = fresh(docs, "_digest", "_size", "_order", "_place")
     keyed = docs.withColumns({
-        digest: text_digest(text), size: F.length(empty_if_null(text)).cast("long"),
+        digest: text_digest(f"`{text}`"), size: F.length(empty_if_null(f"`{text}`")).cast("long"),
         order: row_order(docs),
     })
     w_digest, w_id, w_less = fresh(keyed, "_w_digest", "_w_id", "_w_less")

@@ -22,6 +22,7 @@ from .common import WORD, empty_if_null, fresh, positions, stored
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 TOLERANCE = 1e-9
+LEAST_TOLERANCE = 0.01  # with more left after the last step the mix is refused
 MOST_STEPS = 60
 
 
@@ -117,6 +118,9 @@ def _balanced(cells: DataFrame, targets: DataFrame, most: float) -> DataFrame:
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        if worst > LEAST_TOLERANCE:
+            raise RuntimeError(f"multipliers off by {worst:.2%} after {MOST_STEPS} steps")
     return state.select("source", "multiplier", "scale")
 
 

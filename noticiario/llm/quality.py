@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -271,7 +271,8 @@ def fit(
 ) -> Trees:
     """Fit on the labelled documents that pass the base rules.
 
-    A repeated id is good if any of its labels is; null labels and ids are left out. Without
+    A repeated id is good if any of its labels is, and one of its texts is used; null labels
+    and ids are left out. Without
     labels of both kinds nothing is dropped.
     """
     known = (
@@ -280,9 +281,12 @@ def fit(
     )
     part = min(1.0, fit_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < part * 1_000_000)
+    # of a repeated id one row; the least hash is found before rows are shuffled
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text")))
     sample = stored(
         docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-        .join(chosen, "id"), "labelled",
+        .join(F.broadcast(chosen), "id").withColumn("_first", first).where("_first = 1").drop("_first"),
+        "labelled",
     )
     rows = measure(sample).withColumn(
         "fold", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS))

@@ -463,3 +463,41 @@ def test_one_row_of_a_repeated_labelled_id(spark):
     hot = df.unionByName(df.where("doc_id = 3").crossJoin(spark.range(20_000)).drop("id"))
     one, many = toxicity.fit(df, labels, ["toxic"]), toxicity.fit(hot, labels, ["toxic"])
     assert one.words == many.words and np.allclose(one.weights[0], many.weights[0])
+
+
+def test_removed_texts_equal_brute_force(spark):
+    """Texts without the words of windows that start anywhere else, as ``removed`` gives them."""
+    rng, n = random.Random(2), repeats.WINDOW
+    shared = [f"s{rng.random()}" for _ in range(60)]
+    texts = [" ".join([*(f"{k}a{i}" for i in range(20)), *shared[: 30 + k], *(f"{k}b{i}" for i in range(9))]) for k in range(20)]
+    texts += ["short", None, ""]
+    windows = Counter(tuple(w[i : i + n]) for w in ((t or "").split() for t in texts) for i in range(len(w) - n + 1))
+    wanted = []
+    for t in texts:
+        words = (t or "").split()
+        gone = {i + j for i in range(len(words) - n + 1) if windows[tuple(words[i : i + n])] > 1 for j in range(n)}
+        wanted.append(t if not gone else " ".join(w for k, w in enumerate(words) if k not in gone))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in repeats.removed(df).collect()}
+    assert [got[k] for k in range(len(texts))] == wanted and wanted != texts
+
+
+def test_keep_good_equals_judge_and_repeated_ids_count_once(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_small}/labels.parquet")
+    hot = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
+    trees = quality.fit(docs, labels)
+    again = quality.fit(hot, labels)
+    assert np.allclose(trees.least, again.least)
+    judged = {r.doc_id: r.kept for r in quality.judge(docs, trees).collect()}
+    good = quality.keep_good(docs.withColumn("_good", docs.doc_id), trees)
+    assert good.columns == [*docs.columns, "_good"]
+    assert {r.doc_id for r in good.collect()} == {d for d, k in judged.items() if k}
+
+
+def test_exact_dedup_of_columns_with_odd_names(odd_docs):
+    named = odd_docs.withColumnsRenamed({"doc_id": "a.id", "text": "the text"})
+    got = exact_dedup.membership(named, "the text", "a.id")
+    assert ordered(got.collect()) == ordered(exact_dedup.membership(odd_docs).collect())
+    left = exact_dedup.dedup(named, "the text", "a.id")
+    assert left.columns == named.columns and left.count() == exact_dedup.dedup(odd_docs).count()
