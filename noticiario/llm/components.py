@@ -30,14 +30,15 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     )
     known = _content(edges)
     for _ in range(MOST_ROUNDS):
-        cut = max(HOT_LINKS, 2 * known[0] // HOT_NODES)
+        cut = max(HOT_LINKS, (known[0] or 0) // HOT_NODES)
+        hot = (known[-1] or 0) > cut
         # large star: every neighbour above a node goes to the least of its neighbours
         both = edges.union(edges.select("b", "a")).toDF("a", "b")
-        joined = _with_least(both, cut).withColumn("m", F.least("a", "m"))
+        joined = _with_least(both, cut, hot).withColumn("m", F.least("a", "m"))
         large = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(edges.where("a = b"))
         # small star: a node and its lower neighbours go to the least of them
-        joined = _with_least(large, cut)
+        joined = _with_least(large, cut, hot)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             joined.select("a", F.col("m").alias("b"))
         ).distinct()
@@ -50,13 +51,15 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
-def _with_least(links: DataFrame, cut: int) -> DataFrame:
+def _with_least(links: DataFrame, cut: int, hot: bool) -> DataFrame:
     """``a, b, m``: each link with the least ``b`` of its ``a``.
 
-    The minima are pre-aggregated in the map tasks. Those of nodes with more than ``cut``
-    links, few by the choice of the cut, are broadcast, so that the links of a hot node
-    stay where they are; all others are joined by shuffle.
+    The minima are pre-aggregated in the map tasks. If there are nodes with more than ``cut``
+    links, few by the choice of the cut, their minima are broadcast, so that the links of a
+    hot node stay where they are; all others are joined by shuffle.
     """
+    if not hot:
+        return links.join(links.groupBy("a").agg(F.min("b").alias("m")), "a")
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     hot = least.where(F.col("n") > cut).select("a", F.col("m").alias("hot"))
     known = links.join(F.broadcast(hot), "a", "left")
@@ -67,8 +70,11 @@ def _with_least(links: DataFrame, cut: int) -> DataFrame:
 
 
 def _content(edges: DataFrame) -> tuple:
-    """Count and two hash sums of a table of distinct links, to see whether a round changed it."""
+    """Ends and hash sums of a table of distinct links, to see whether a round changed it,
+    and the most links of a node."""
+    both = edges.union(edges.select("b", "a")).toDF("a", "b")
     first, second = F.xxhash64("a", "b"), F.xxhash64("b", "a", F.lit(1))
-    return tuple(edges.agg(
-        F.count("*"), F.sum(first.cast("decimal(38,0)")), F.bit_xor(second)
-    ).first())
+    nodes = both.groupBy("a").agg(
+        F.count("*").alias("n"), F.sum(first.cast("decimal(38,0)")).alias("s"), F.bit_xor(second).alias("x")
+    )
+    return tuple(nodes.agg(F.sum("n"), F.sum("s"), F.sum(F.col("x").cast("decimal(38,0)")), F.max("n")).first())
