@@ -10,7 +10,7 @@ from .common import stored
 MOST_ROUNDS = 40
 # Nodes of more links than this are joined to their minimum by broadcast. The cut rises with
 # the links, so that at most HOT_NODES nodes, of 16 to 40 bytes each, are above it.
-HOT_LINKS = 256
+HOT_LINKS = 10_000
 HOT_NODES = 50_000
 
 
