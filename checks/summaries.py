@@ -318,12 +318,20 @@ def pending_departments(spark, sf):
 
 @query(
     "orphan_files",
-    "SELECT s_suppkey AS n, lower(s_name) AS slug FROM supplier",
+    "SELECT DISTINCT o_custkey AS n, lower(c_name) AS slug FROM orders JOIN customer ON o_custkey = c_custkey "
+    "WHERE c_nationkey >= 5 UNION ALL SELECT s_suppkey, lower(s_name) FROM supplier",
 )
 def orphan_files(spark, sf):
-    """Stored names, by slug, that no group expects: customers are expected, suppliers not."""
-    names = views.read(spark, sf, "customer").select(F.col("c_custkey").alias("n"), F.col("c_name").alias("name"))
+    """Stored names, by slug, that no group of the first five nations expects.
+
+    Names are stored for every customer with an order and for every supplier.
+    """
+    stored = views.read(spark, sf, "orders").select("o_custkey").distinct()
+    customers = views.read(spark, sf, "customer")
+    names = stored.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_custkey").alias("n"), F.col("c_name").alias("name")
+    )
     others = views.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("n"), F.col("s_name").alias("name"))
     inventory = names.unionByName(others).select("n", text.slug(F.col("name")).alias("slug"))
-    expected = names.select(text.slug(F.col("name")).alias("slug"))
+    expected = customers.filter("c_nationkey < 5").select(text.slug(F.col("c_name")).alias("slug"))
     return joins.orphan_files(inventory, expected, "slug")

@@ -154,3 +154,15 @@ def test_consolidation_summaries(spark):
     assert tuple(parts["duplicados"].first()) == (2, 1, 1)
     assert [tuple(r) for r in parts["departamentos"].collect()] == [("Cesar", 1)]
     assert [tuple(r) for r in parts["archivos"].collect()] == [("f1", 1), ("f2", 1)]
+
+
+def test_orphan_names_cover_customers_with_orders_and_suppliers(spark, sf_small):
+    from checks import summaries, views
+
+    got = {(r.n, r.slug) for r in summaries.orphan_files(spark, sf_small).collect()}
+    nation = {r.c_custkey: r.c_nationkey for r in views.read(spark, sf_small, "customer").collect()}
+    ordered = {r.o_custkey for r in views.read(spark, sf_small, "orders").select("o_custkey").collect()}
+    customers = {n for n, slug in got if slug.startswith("customer")}
+    assert customers == {n for n in ordered if nation[n] >= 5} != set()
+    suppliers = views.read(spark, sf_small, "supplier").count()
+    assert len(got) - len(customers) == suppliers
