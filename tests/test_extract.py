@@ -165,6 +165,25 @@ def test_references_never_fail(spark):
     assert {r.t: r.u for r in df.select("t", unescape(F.col("t")).alias("u")).collect()} == cases
 
 
+def test_every_reference_is_found_in_the_same_time(spark):
+    import time
+    from html.entities import html5
+
+    from noticiario.functions import markup
+
+    names = [name for name in html5 if name.endswith(";")]
+
+    def seconds(name):
+        pages = spark.createDataFrame([(f"&{name}" * 200_000,)], "t string")
+        begun = time.time()
+        assert pages.select(F.contains(markup.unescape(F.col("t")), F.lit("&" + name))).first()[0] is False
+        return time.time() - begun
+
+    first, last = names[0], names[-1]
+    seconds(first)
+    assert min(seconds(last) for _ in range(2)) < 2.5 * min(seconds(first) for _ in range(2))
+
+
 def links_of(spark, source, html):
     pages = spark.createDataFrame([(html,)], "html string")
     return [r.link for r in extract_links(pages, RULES[source], now="2026-01-01 00:00:00").orderBy("pos").collect()]
