@@ -15,7 +15,7 @@ from noticiario import schema
 from noticiario.operators import dedup, reports, sets
 from noticiario.plans import consolidate, corpus, progress
 from noticiario.plans.health import health_report, write_health_document
-from noticiario.session import shared_path
+from noticiario.session import estimated_bytes, shared_path
 from noticiario.sources import manifest, readers, writers
 from noticiario.sources.keys import KeyStore
 from noticiario.streaming import arrivals
@@ -374,13 +374,24 @@ def progress_report(spark, sf):
 # ── Streaming ────────────────────────────────────────────────────────────────
 
 
+# Stored bytes of documents whose articles fill one arriving file, and micro-batches they come in.
+_FILE_BYTES = 16 << 20
+_BATCHES = 3
+
+
+def _arriving_files(spark, sf):
+    """How many files the articles fill; the more documents, the more files, none larger."""
+    return max(_BATCHES, -(-estimated_bytes(views.read(spark, sf, "documents")) // _FILE_BYTES))
+
+
 def _article_stream(spark, sf, name_filter):
-    """Article files arriving one per micro-batch."""
-    folder = shared_path(spark, "arrivals")
+    """Article files arriving in three micro-batches; files, and so tasks, are bounded."""
+    folder, files = shared_path(spark, "arrivals"), _arriving_files(spark, sf)
     rows = views.articles(spark, sf)
-    rows.repartition(3, "doc_id").write.parquet(folder)
+    rows.repartition(files, "doc_id").write.parquet(folder)
     return arrivals.stream_articles(
-        spark, folder, rows.schema, LO, HI, min_mentions=3, files_per_batch=1, name_filter=name_filter
+        spark, folder, rows.schema, LO, HI, min_mentions=3, files_per_batch=-(-files // _BATCHES),
+        name_filter=name_filter,
     ).withColumn("terminos_encontrado", F.col("tema"))
 
 

@@ -166,3 +166,17 @@ def test_orphan_names_cover_customers_with_orders_and_suppliers(spark, sf_small)
     assert customers == {n for n in ordered if nation[n] >= 5} != set()
     suppliers = views.read(spark, sf_small, "supplier").count()
     assert len(got) - len(customers) == suppliers
+
+
+def test_arriving_files_are_bounded_and_come_in_three_batches(spark, sf_small, tmp_path, monkeypatch):
+    from checks import storage, views
+
+    monkeypatch.setattr(storage, "_FILE_BYTES", 10_000, raising=False)
+    monkeypatch.setattr(storage, "shared_path", lambda spark, label: str(tmp_path / label))
+    stream = storage._article_stream(spark, sf_small, "*.parquet")
+    files = list((tmp_path / "arrivals").glob("*.parquet"))
+    assert len(files) > 3
+    assert spark.read.parquet(str(tmp_path / "arrivals")).count() == views.articles(spark, sf_small).count()
+    query = arrivals.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), True)
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 3
