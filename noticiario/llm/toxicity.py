@@ -30,6 +30,7 @@ FIT_WORDS = 200  # most telling words and parts of each category
 PARTS = (4, 5, 6)  # characters
 UNIT_Z = 5.0  # a word so many standard deviations from chance has the ridge RIDGE
 BATCH_WORDS = 100_000  # words and parts that are counted in a worker before they are sent
+SEEN_WORDS = 300_000  # words whose places a worker remembers (about 40 MB)
 BLOCK_ROWS = 1000  # labelled texts whose features are held at once
 FOLDS = 5
 RIDGE = 1.0
@@ -186,17 +187,30 @@ class _Places:
     """Which of the chosen words and parts a text has; remembers words it has seen."""
 
     def __init__(self, words: Sequence[str]):
-        self.place = {w: k for k, w in enumerate(words)}
+        self.place = {w: k for k, w in enumerate(words) if not w.startswith("~")}
+        self.parts = {w[1:]: k for k, w in enumerate(words) if w.startswith("~")}
+        self.width = len(words)
         self.bare: set[str] = set()  # words without any
         self.found: dict[str, list[int]] = {}
 
+    def _in(self, word: str) -> list[int]:
+        """Places of the word and of its parts (see ``parts_of``)."""
+        ends, parts = f"^{word}$", self.parts
+        out = [self.place[word]] if word in self.place else []
+        for n in PARTS:
+            for i in range(len(ends) - n + 1):
+                part = ends[i : i + n]
+                if part in parts:
+                    out.append(parts[part])
+        return out
+
     def of(self, text: str | None) -> set[int]:
         out: set[int] = set()
         for w in tokens_of(text) - self.bare:
             places = self.found.get(w)
             if places is None:
-                places = [self.place[g] for g in parts_of(w) if g in self.place]
-                if len(self.bare) + len(self.found) > BATCH_WORDS:
+                places = self._in(w)
+                if len(self.bare) + len(self.found) > SEEN_WORDS:
                     self.bare.clear()
                     self.found.clear()
                 if not places:
@@ -207,7 +221,7 @@ class _Places:
         return out
 
     def hits(self, texts: pd.Series) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.place)), dtype=np.float32)
+        out = np.zeros((len(texts), self.width), dtype=np.float32)
         for i, text in enumerate(texts):
             out[i, list(self.of(text))] = 1
         return out

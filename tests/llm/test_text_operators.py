@@ -501,3 +501,16 @@ def test_exact_dedup_of_columns_with_odd_names(odd_docs):
     assert ordered(got.collect()) == ordered(exact_dedup.membership(odd_docs).collect())
     left = exact_dedup.dedup(named, "the text", "a.id")
     assert left.columns == named.columns and left.count() == exact_dedup.dedup(odd_docs).count()
+
+
+def test_places_are_those_of_the_parts_of_each_word():
+    from noticiario.llm import toxicity
+
+    texts = ["Achlichkeit dumm, dumm! ab", "eré_1 x dummheit", "", None, "nichts davon"]
+    words = ["dumm", "~^dumm", "~keit", "~umm$", "~heit$", "ab", "~^ab$", "~eré_"]
+    places = toxicity._Places(words)
+    for _ in range(2):  # the second time from memory
+        for text in texts:
+            parts = set().union(*map(toxicity.parts_of, toxicity.tokens_of(text)), set())
+            assert places.of(text) == {k for k, w in enumerate(words) if w in parts}
+    assert places.hits(texts).shape == (5, 8) and places.hits(texts)[0].sum() == 6
