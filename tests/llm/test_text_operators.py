@@ -36,6 +36,33 @@ def test_encoder_equals_library():
     assert made.encode(texts) == [array("I", e.ids).tobytes() for e in wanted]
 
 
+@pytest.mark.parametrize("batch_bytes", [1, 1000, tokens.BATCH_BYTES])
+def test_encoder_cuts_no_word(monkeypatch, batch_bytes):
+    """Letters whose lower case lies beyond U+024F stay with the letters before them."""
+    monkeypatch.setattr(tokens, "BATCH_BYTES", batch_bytes)
+    made = tokens.Encoder(tokens.specification(tokens.default_path()))
+    texts = [form.format(chr(c)) for c in range(0x250) for form in ("a{0}b", "{0}.a{0}1 'S{0}", "{0}")]
+    texts += ["", "\n", "<|a", "中 a.b", None]
+    wanted = made.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert made.encode(texts) == [array("I", e.ids).tobytes() for e in wanted]
+    assert made.encode([]) == []
+
+
+def test_encoder_looks_up_different_pieces_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    made = tokens.Encoder(tokens.specification(tokens.default_path()))
+    made.known = Counted(made.known)
+    one, two = made.encode(["the cat. " * 5000, "a THE " * 5000])
+    assert (len(one), len(two)) == (4 * 15_000, 4 * 10_000)
+    assert Counted.asked <= 10
+
+
 @pytest.mark.parametrize("n", [0, 1, 1000])
 @pytest.mark.parametrize("top", [200, 49_408, 1 << 32])
 def test_codes_round_trip_and_random_access(n, top):
